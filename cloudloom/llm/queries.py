@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, packing, simhash, toxicity
+from . import ann, decontaminate, line_dedup, lm_score, packing, simhash, toxicity, zstd_ids
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -22,6 +27,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(_read(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of high quality."""
+    docs = _read(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs, _read(spark, sf_dir, "labels").where(F.col("quality") == 1)))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_read(spark, sf_dir, "documents"))
 
@@ -30,11 +45,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_zstd_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_ids.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index": op1_multi_index,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_cross_entropy": op5_cross_entropy,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
+    "op10_zstd_ids": op10_zstd_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
