@@ -3,13 +3,15 @@
 Each vector is cut into two halves, and each half is quantised by its own k-means
 (fitted on a bounded sample): a cell is a pair of centroids. A query takes cells in
 ascending order of its summed distances to the two centroids, by a heap over pairs
-of sorted lists, until they hold `share` of all vectors (at least `least`); every
-vector of these cells is reranked by its exact inner product.
+of sorted lists, until they hold a share of all vectors; every vector of these cells
+is reranked by its exact inner product. The share is that at which the fit's sample
+finds `recall` of its true neighbours: small for data with clusters, over half for
+vectors without any, as no quantiser orders these well.
 
 Equal vectors are folded into one entry with their smallest ids: more of them than
-neighbours are asked for can't be in any answer. Cells and their queries are dealt
-out in blocks, so a hot cell is several groups, and each group returns only the best
-of each query.
+neighbours are asked for can't be in any answer. Small cells are put together on
+shelves of about BLOCK entries, and a larger cell is cut into several; queries of a
+shelf are cut into blocks too. A group returns only the best of each of its queries.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import types as T
 
 from .shared import written
 
-#: Rows that the codebooks are fitted on at most.
-FIT_ROWS = 20_000
+#: Rows that the codebooks are fitted on at most, and of these the queries that the share is set by.
+FIT_ROWS, TRIED = 20_000, 100
 BLOCK = 4096
 
 
@@ -91,17 +93,46 @@ class Codebooks:
         return out
 
 
-def fit(vectors: DataFrame, rows: int) -> Codebooks:
-    """Codebooks of 16 centroids a half, more where cells would hold over 1,000 vectors, 1,024 at most."""
+def fit(vectors: DataFrame, rows: int, keep: int, recall: float) -> tuple[Codebooks, float]:
+    """Codebooks of 16 centroids a half (more where cells would hold over 1,000 vectors, 1,024 at most), and the share."""
     k = 16
     while k < 1024 and rows / (k * k) > 1000:
         k *= 2
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toPandas()
     x = np.array(sample["v"].to_list(), float)
-    d = max(1, x.shape[1] // 2)
-    if x.shape[1] == 1:
-        return Codebooks(kmeans(x, k), np.zeros((1, 0)))
-    return Codebooks(kmeans(x[:, :d], k), kmeans(x[:, d:], k))
+    d = x.shape[1] // 2
+    books = Codebooks(kmeans(x[:, :d], k) if d else np.zeros((1, 0)), kmeans(x[:, d:], k))
+    return books, needed_share(books, x, keep, recall)
+
+
+def needed_share(books: Codebooks, x: np.ndarray, keep: int, recall: float) -> float:
+    """The share of the sample that queries must take for `recall` of their true neighbours in it."""
+    cells = books.cells(x)
+    counts = np.bincount(cells, minlength=len(books.first) * len(books.second))
+    a, b = books.halves(x[:TRIED])
+    mass = []
+    for i in range(len(a)):
+        order = np.argsort((a[i][:, None] + b[i][None]).ravel(), kind="stable")
+        upto = np.empty(len(order))
+        upto[order] = np.cumsum(counts[order])
+        near = x @ x[i]
+        near[i] = -np.inf
+        mass.append(upto[cells[np.argsort(-near)[: min(keep, len(x) - 1)]]])
+    return float(np.quantile(np.concatenate(mass), recall)) / len(x) if len(x) > 1 else 1.0
+
+
+def shelves(sizes: dict[int, int]) -> tuple[dict[int, int], list[int]]:
+    """The shelf of each cell, and into how many blocks of entries each shelf is cut."""
+    of: dict[int, int] = {}
+    cut: list[int] = []
+    held = BLOCK + 1
+    for cell in sorted(sizes):
+        if held + sizes[cell] > BLOCK:
+            cut.append(-(-sizes[cell] // BLOCK))
+            held = 0
+        of[cell] = len(cut) - 1
+        held += sizes[cell]
+    return of, cut
 
 
 def distinct(vectors: DataFrame, keep: int) -> DataFrame:
@@ -118,26 +149,27 @@ def distinct(vectors: DataFrame, keep: int) -> DataFrame:
 
 def _best(keep: int):
     def each(key, g: pd.DataFrame) -> pd.DataFrame:
-        """Of each query of the group, its best entries: score and ids."""
-        e, q = g[g["query"] == 0], g[g["query"] == 1]
-        none = pd.DataFrame({"q": [], "score": [], "ids": []})
-        if e.empty or q.empty:
-            return none
-        x = np.array(e["v"].to_list(), float)
-        ids = e["ids"].to_numpy()
-        least = np.array([i[0] for i in ids])
+        """Of each query of the group, its best entries among its cells: score and ids."""
+        e, q = g[g["query"] == 0].sort_values("cell", kind="stable"), g[g["query"] == 1]
         out_q, out_s, out_i = [], [], []
-        for at in range(0, len(q), 512):
-            y = np.array(q["v"].iloc[at : at + 512].to_list(), float)
-            near = y @ x.T
-            for name, row, v in zip(q["id"].iloc[at : at + 512], near, y, strict=True):
-                # Ties at the border are kept until the exact scores are known.
-                some = np.flatnonzero(row >= np.partition(row, -keep)[-keep] - 1e-9) if len(row) > keep else np.arange(len(row))
-                s = (x[some] * v).sum(1)
-                for k in np.lexsort((least[some], -s))[:keep]:
+        if len(e) and len(q):
+            x = np.array(e["v"].to_list(), float)
+            ids, cells = e["ids"].to_numpy(), e["cell"].to_numpy()
+            least = np.array([i[0] for i in ids])
+            for name, v, own in zip(q["id"], q["v"], q["cells"], strict=True):
+                at = np.flatnonzero(np.isin(cells, own))
+                if not len(at):
+                    continue
+                v = np.asarray(v, float)
+                row = x[at] @ v
+                if len(at) > keep:
+                    # Ties at the border are kept until the exact scores are known.
+                    at = at[row >= np.partition(row, -keep)[-keep] - 1e-9]
+                s = (x[at] * v).sum(1)
+                for k in np.lexsort((least[at], -s))[:keep]:
                     out_q.append(name)
                     out_s.append(s[k])
-                    out_i.append(ids[some[k]])
+                    out_i.append(ids[at[k]])
         return pd.DataFrame({"q": out_q, "score": out_s, "ids": out_i})
 
     return each
@@ -147,7 +179,7 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def search(
-    vectors: DataFrame, queries: Column, keep: int = 20, share: float = 0.1, least: int = 4096
+    vectors: DataFrame, queries: Column, keep: int = 20, recall: float = 0.96, share: float | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the `keep` nearest other rows of each row of (vec_id, embedding) that `queries` picks.
 
@@ -164,7 +196,8 @@ def search(
         return spark.createDataFrame([], RESULT)
     rows = rows.where(F.size("v") == first[0])
     total = rows.count()
-    books = spark.sparkContext.broadcast(fit(rows, total))
+    fitted, fit_share = fit(rows, total, keep, recall)
+    books = spark.sparkContext.broadcast(fitted)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,30 +208,38 @@ def search(
     entries = written(entries.mapInPandas(coded, "v array<double>, ids array<long>, cell int"), "ann-entries")
     # Counts by cell: at most the square of the number of centroids.
     sizes = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()}
-    sent = spark.sparkContext.broadcast(sizes)
-    want = max(least, int(share * sum(sizes.values())))
+    of, cut = shelves(sizes)
+    sent = spark.sparkContext.broadcast((sizes, of))
+    want = max(keep + 1, int((fit_share if share is None else share) * sum(sizes.values())))
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, n = books.value, sent.value
+        m, (n, of) = books.value, sent.value
         for b in batches:
-            if len(b):
-                a, c = m.halves(np.array(b["v"].to_list(), float))
-                yield b.assign(cells=[m.traverse(x, y, n, want) for x, y in zip(a, c, strict=True)])
+            out = []
+            a, c = m.halves(np.array(b["v"].to_list(), float).reshape(len(b), -1)) if len(b) else ([], [])
+            for name, v, x, y in zip(b["id"], b["v"], a, c, strict=True):
+                by: dict[int, list[int]] = {}
+                for cell in m.traverse(x, y, n, want):
+                    by.setdefault(of[cell], []).append(cell)
+                out += [(name, v, s, cells) for s, cells in by.items()]
+            yield pd.DataFrame(out, columns=["id", "v", "shelf", "cells"])
 
     asked = rows.where("is_query").select("vec_id", "v")
     named = asked.groupBy("v").agg(F.min("vec_id").alias("id"))
-    plan = written(named.mapInPandas(probes, "v array<double>, id long, cells array<int>"), "ann-probes")
-    busy = plan.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()
-    blocks = [(c, -(-sizes[c] // BLOCK), -(-r["n"] // BLOCK)) for r in busy for c in [r["cell"]]]
-    shape = T.StructType([T.StructField(c, T.IntegerType()) for c in ("cell", "eb", "qb")])
-    cut = spark.createDataFrame(blocks, shape)
-    none = F.lit(None).cast("array<long>")
+    plan = named.select("id", "v").mapInPandas(probes, "id long, v array<double>, shelf int, cells array<int>")
+    plan = written(plan, "ann-probes")
+    # One row a shelf: as few as a BLOCK-th of the entries.
+    busy = plan.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb"))
+    shape = T.StructType([T.StructField(c, T.IntegerType()) for c in ("cell", "shelf", "eb")])
+    places = spark.createDataFrame([(c, s, cut[s]) for c, s in of.items()], shape)
+    places = places.join(busy, "shelf")
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int").alias(n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n)
-    es = entries.join(cut, "cell").select("cell", deal("v", "eb"), every("qb"), F.lit(0).alias("query"), F.lit(None).cast("long").alias("id"), "v", "ids")
-    qs = plan.select("id", "v", F.explode("cells").alias("cell")).join(cut, "cell")
-    qs = qs.select("cell", every("eb"), deal("id", "qb"), F.lit(1).alias("query"), "id", "v", none.alias("ids"))
-    near = es.unionByName(qs).groupBy("cell", "eb", "qb").applyInPandas(_best(keep + 1), "q long, score double, ids array<long>")
+    null = lambda t: F.lit(None).cast(t)
+    es = entries.join(places, "cell").select("shelf", deal("v", "eb"), every("qb"), F.lit(0).alias("query"), null("long").alias("id"), "v", "ids", "cell", null("array<int>").alias("cells"))
+    qs = plan.join(places.select("shelf", "eb", "qb").distinct(), "shelf")
+    qs = qs.select("shelf", every("eb"), deal("id", "qb"), F.lit(1).alias("query"), "id", "v", null("array<long>").alias("ids"), null("int").alias("cell"), "cells")
+    near = es.unionByName(qs).groupBy("shelf", "eb", "qb").applyInPandas(_best(keep + 1), "q long, score double, ids array<long>")
     # The best of each different query vector, then of each row that asks it.
     flat = near.select("q", "score", F.explode("ids").alias("vec_id"))
     order = "PARTITION BY {} ORDER BY score DESC, vec_id"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, lm_score, packing, simhash, toxicity, zstd_ids
+from . import ann, chat, decontaminate, licenses, line_dedup, lm_score, packing, simhash, toxicity, zstd_ids
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(_read(spark, sf_dir, "conversations"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_zstd_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_ids.digest(_read(spark, sf_dir, "documents"))
 
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_cross_entropy": op5_cross_entropy,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
+    "op8_chat": op8_chat,
+    "op9_licenses": op9_licenses,
     "op10_zstd_ids": op10_zstd_ids,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudloom.llm import line_dedup, packing, simhash, toxicity
+from cloudloom.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from cloudloom.llm.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,6 +30,11 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.dedup(docs.select(*COLUMNS))
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of `benchmark`."""
+    return decontaminate.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in training sequences."""
     return packing.digest(docs)
@@ -39,6 +44,7 @@ STAGES = [
     ("toxicity", clean),
     ("line_dedup", dedup_lines),
     ("near_dedup", dedup_documents),
+    ("decontamination", decontaminated),
     ("packing", pack),
 ]
 
