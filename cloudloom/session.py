@@ -50,3 +50,11 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the folder of spark.checkpoint.dir, or in a local one where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+    return df.checkpoint()
