@@ -141,7 +141,8 @@ def train(docs: DataFrame, target_ids: DataFrame) -> Models:
     """Models of the documents whose doc_id is in `target_ids`, and of all others."""
     vocab = vocabulary(docs)
     flags = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(flags, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # The target's ids grow with the corpus, so they are merged with it, never broadcast.
+    marked = docs.select("doc_id", "text").join(flags.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     uni, pair = counted(marked, vocab)
     share = uni[0].sum() / max(1.0, uni[1].sum())
     uni[1] *= share
