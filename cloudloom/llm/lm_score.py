@@ -81,6 +81,9 @@ class Models:
     uni: np.ndarray
     pair: np.ndarray
 
+    def __post_init__(self):
+        self.one = (self.uni + 1) / (self.uni.sum(1, keepdims=True) + self.ids.size)
+
     def losses(self, text: str | None) -> tuple[int, float, float]:
         """Tokens, and the summed losses of the target and background models."""
         n, out = 0, np.zeros(2)
@@ -88,8 +91,7 @@ class Models:
             c, a, b = cells(part), part[:-1], part[1:]
             n += len(c)
             for k in (0, 1):
-                p1 = (self.uni[k][b] + 1) / (self.uni[k].sum() + self.ids.size)
-                context = self.uni[k][a]
+                p1, context = self.one[k][b], self.uni[k][a]
                 # A cell may hold several bigrams: no more of it counts than its context has.
                 p2 = (np.minimum(self.pair[k][c], context) + KAPPA * p1) / (context + KAPPA)
                 out[k] -= np.log(p2).sum()
