@@ -9,24 +9,29 @@ keeps a bounded table of the pieces it has met. All ids come from the library.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
 _TABLES: dict[str, Pieces] = {}
-#: A space with white space or an end of the text beside it.
-_LOOSE = re.compile(r"(?:\A|\s) | (?=\s|\Z)")
+#: White space but spaces and newlines; and single spaces between other characters.
+_RARE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 END_OF_WORD = "</w>"
 MARK = "|"
+#: Pieces that are looked up together.
+BATCH = 100_000
 
 
-class Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers, as encoded behind a space."""
+class Pieces:
+    """A tokenizer and the pieces met lately, with their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 600_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 300_000):
         self.most = most
+        #: The pieces met since the table was last full, and those of the time before.
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.library.no_padding()
@@ -36,65 +41,137 @@ class Pieces(dict):
         self.words = any(k.endswith(END_OF_WORD) for k in vocab)
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for k, i in vocab.items():
-            self.sizes[i] = len(k)
+            self.sizes[i] = len(k.removesuffix(END_OF_WORD)) if self.words else len(k)
         self.mark = vocab.get(MARK + END_OF_WORD)
+        self.stops = {c: self.one(c) for c in ".,"}
 
     def one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def fill(self, pieces: list[str]) -> None:
-        """Encode pieces that aren't known: all in one text where they can be told apart, else one by one."""
-        if len(self) > self.most:
-            self.clear()
-        joined = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and MARK not in p]
-        for p in set(pieces).difference(joined):
-            self[p] = self.one(p if self.words else " " + p)
-        for at in range(0, len(joined), 5000):
-            some = joined[at : at + 5000]
-            ids = np.array(self.library.encode((f" {MARK} " if self.words else " ").join(["", *some]), add_special_tokens=False).ids, "<u4")
-            if self.words:
-                ends = np.append(np.flatnonzero(ids == self.mark)[1:], len(ids))
-                starts = np.flatnonzero(ids == self.mark) + 1
-                fits = len(ends) == len(starts) == len(some)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text as it is."""
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _behind(self, piece: str) -> str:
+        """The piece as it stands in a text: a byte-level piece takes the space before it along, but not behind a newline."""
+        return piece if self.words or piece[0] == "\n" else " " + piece
+
+    def _sized(self, piece: str) -> bool:
+        """Whether the bytes of the piece's tokens are those of the piece itself."""
+        if not self.words:
+            return True
+        return piece.isascii() or (piece == piece.lower() and unicodedata.is_normalized("NFC", piece))
+
+    def fill(self, pieces: list[str], out: dict[str, bytes]) -> None:
+        """Put the ids of pieces into `out`: many in one text where they can be told apart."""
+        sized, marked, alone = [], [], []
+        for p in pieces:
+            body = p[1:] if not self.words and p[0] == "\n" else p
+            if len(body.split()) != 1 or body[0].isspace() or body[-1].isspace():
+                alone.append(p)
+            elif self._sized(p):
+                sized.append(p)
+            else:
+                (alone if MARK in p else marked).append(p)
+        if alone:
+            out.update(zip(alone, self.many([self._behind(p) for p in alone]), strict=True))
+        for some in (sized[i : i + 5000] for i in range(0, len(sized), 5000)):
+            stand = [" " + p for p in some] if self.words else [self._behind(p) for p in some]
+            ids = np.array(self.library.encode_batch_fast(["".join(stand)], add_special_tokens=False)[0].ids, "<u4")
+            done = np.cumsum(self.sizes[ids])
+            want = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in (some if self.words else stand)])
+            ends = np.searchsorted(done, want) + 1
+            if len(done) and ends[-1] == len(ids) and (done[ends - 1] == want).all():
+                self._split(ids, np.append(0, ends[:-1]), ends, some, out)
             else:
-                done = np.cumsum(self.sizes[ids])
-                want = np.cumsum([1 + len(p.encode("utf-8", "surrogatepass")) for p in some])
-                ends = np.searchsorted(done, want) + 1
-                starts = np.append(0, ends[:-1])
-                fits = len(done) and (done[np.minimum(ends, len(ids)) - 1] == want).all()
-            raw = ids.tobytes()
-            for p, s, e in zip(some, starts.tolist(), ends.tolist(), strict=False) if fits else ():
-                self[p] = raw[4 * s : 4 * e]
-            for p in () if fits else some:
-                self[p] = self.one(p if self.words else " " + p)
+                out.update(zip(some, self.many([self._behind(p) for p in some]), strict=True))
+        for some in (marked[i : i + 5000] for i in range(0, len(marked), 5000)):
+            ids = np.array(self.library.encode_batch_fast([f" {MARK} ".join(["", *some])], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark)
+            self._split(ids, at + 1, np.append(at[1:], len(ids)), some, out)
+
+    @staticmethod
+    def _split(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: list[str], out: dict[str, bytes]) -> None:
+        raw = ids.tobytes()
+        for p, s, e in zip(pieces, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+            out[p] = raw[s:e]
 
     def _cut(self, text: str) -> list[str]:
+        """Pieces of the text; in byte-level ones a newline between other characters opens a piece."""
         if self.words:  # white space is dropped, so any space or newline parts pieces
+            low = text.lower()
+            if low != text and "\u03a3" not in text and (low.isascii() or all(unicodedata.is_normalized("NFC", x) for x in (text, low))):
+                text = low  # as the library's own normaliser does
             return text.replace("\n", " ").split(" ")
-        return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+        ends = text[:1] + text[-1:]
+        loose = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or " " in ends or "\n" in ends
+        return _CUT.split(text) if loose or _RARE.search(text) else text.replace("\n", " \n").split(" ")
+
+    def _get(self, piece: str) -> bytes | None:
+        ids = self.new.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is not None:
+                self.new[piece] = ids
+        return ids
+
+    def _known(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of the pieces: a small table for one batch, so that most lookups stay in the processor's caches.
+
+        A full stop or comma behind letters is a token of its own, so that pieces with one are put together.
+        """
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        out, fresh, closed = {}, set(), []
+        for p in pieces:
+            ids = self._get(p)
+            if ids is not None:
+                out[p] = ids
+            elif p[-1] in self.stops and p[:-1].removeprefix("\n").isalpha():
+                closed.append(p)
+                if p[:-1] not in pieces:
+                    ids = self._get(p[:-1])
+                    if ids is None:
+                        fresh.add(p[:-1])
+                    else:
+                        out[p[:-1]] = ids
+            else:
+                fresh.add(p)
+        met: dict[str, bytes] = {}
+        if fresh:
+            self.fill(list(fresh), met)
+            out.update(met)
+        for p in closed:
+            met[p] = out[p] = out[p[:-1]] + self.stops[p[-1]]
+        self.new.update(met)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, equal to the library's own for the whole text."""
-        cut = [self._cut(t) for t in texts]
-        out, at = [], 0
-        while at < len(cut):
-            # As many texts as have some 100,000 pieces.
-            last, n = at, 0
-            while last < len(cut) and n < 100_000:
-                n += len(cut[last])
-                last += 1
-            rest = cut[at:last] if self.words else [c[1:] for c in cut[at:last]]
-            new = set().union(*rest).difference(self)
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = set().union(*rest)
-            self.fill(list(new))
-            get = self.__getitem__
-            for i, c in zip(range(at, last), rest, strict=True):
-                # A byte-level text's first piece has no space before it.
-                head = b"" if self.words else self.one(cut[i][0]) if cut[i][0] else b""
-                out.append(head + b"".join(map(get, c)))
-            at = last
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            cut, n = [], 0
+            while at < len(texts) and n < BATCH:
+                cut.append(self._cut(texts[at]))
+                n += len(cut[-1])
+                at += 1
+            if not self.words:
+                # A byte-level text's first piece has no space before it: it stands as behind a newline.
+                heads = [c[0] for c in cut]
+                odd = [i for i, h in enumerate(heads) if not h.isalpha()]
+                for c, h in zip(cut, heads, strict=True):
+                    c[0] = "\n" + h if h.isalpha() else ""
+                first = dict(zip(odd, self.many([heads[i] for i in odd]), strict=True)) if odd else {}
+            pieces = set().union(*cut)
+            pieces.discard("")
+            known = self._known(pieces)
+            known[""] = b""
+            get = known.__getitem__
+            if self.words:
+                out += [b"".join(map(get, c)) for c in cut]
+            else:
+                out += [first[i] + b"".join(map(get, c)) if i in first else b"".join(map(get, c))[4:] for i, c in enumerate(cut)]
         return out
 
 
