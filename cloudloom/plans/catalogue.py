@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import rot
 from ..functions import vec as v
-from ..operators import cleaning, clouds, evaluate, features, neighbors, poses, register
+from ..operators import cleaning, clouds, evaluate, features, mesh, neighbors, poses, register
 from . import views as w
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 CFG = features.MatchConfig()
-PI = "3.141592653589793"
 #: The fixed motion that queries move clouds by.
 ANGLES = ("0.3e0", "-0.2e0", "0.5e0")
 SHIFT = ("0.01e0", "-0.02e0", "0.03e0")
@@ -31,10 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def columns(*groups: str) -> str:
-    return ", ".join(groups)
-
-
 # Pairs, index and votes
 
 R = CFG.pair_distance
@@ -125,7 +120,7 @@ def sample_uniform(spark, sf_dir):
 
 
 _SUMS = ", ".join(f"sum({v.fixed(c)}) AS {c}" for c in _COORDS)
-_MEAN = ["n", *[f"round(cast({c} AS double) / 1e6 / n, 6) AS {c}" for c in "xyz"]]
+_MEAN = ["n", *[f"round(cast({c} AS double) / 1e6 / n, 12) AS {c}" for c in "xyz"]]
 
 
 def _voxel_sql(cells: str, names: str) -> str:
@@ -139,7 +134,7 @@ _BINS = f"cast(floor(round(acos({v.clamp1('nz')}), 9) / 0.8) AS bigint) AS ca, c
 
 
 def _voxels(df: DataFrame, *names: str) -> DataFrame:
-    return df.selectExpr("obj", *names, *_MEAN[:1], *w.rounded("x y z"))
+    return df.selectExpr("obj", *names, "n", *w.rounded("x y z", 12))
 
 
 @query(w.with_("pts", _PB, select=_voxel_sql(_REL, "cx, cy, cz")))
@@ -312,9 +307,9 @@ def loop_outlier_select(spark, sf_dir):
     return cleaning.outlier_scores(w.points(spark, sf_dir), 8, 0.2).where("round(score, 6) > 0.6").select("obj", "pt_id")
 
 
-@query(w.with_("pts", w.knn(6, include_self=True), select=f"SELECT q_obj AS obj, q_pt_id AS pt_id, round(cast(sum({v.fixed('z')}) AS double) / 1e6 / count(*), 6) AS z FROM nn GROUP BY q_obj, q_pt_id"))
+@query(w.with_("pts", w.knn(6, include_self=True), select=f"SELECT q_obj AS obj, q_pt_id AS pt_id, round(cast(sum({v.fixed('z')}) AS double) / 1e6 / count(*), 12) AS z FROM nn GROUP BY q_obj, q_pt_id"))
 def smooth_quality(spark, sf_dir):
-    return cleaning.smooth(w.points(spark, sf_dir), "z", 6, 0.2).selectExpr("obj", "pt_id", "round(z, 6) AS z")
+    return cleaning.smooth(w.points(spark, sf_dir), "z", 6, 0.2).selectExpr("obj", "pt_id", "round(z, 12) AS z")
 
 
 # Statistics
@@ -389,8 +384,8 @@ def overlap_ratio(spark, sf_dir):
 
 _CELL = ", ".join(f"cast(floor({c} / 0.1) AS bigint) AS c{c}" for c in "xyz")
 _FREE = f"""full_ AS (SELECT DISTINCT {_CELL} FROM pts WHERE obj = 2),
-bx AS (SELECT {', '.join(f'min(c{c}) AS a{c}, max(c{c}) AS b{c}' for c in 'xyz')} FROM full_),
-free_ AS (SELECT x.c AS cx, y.c AS cy, z.c AS cz FROM bx, {', '.join(f'unnest(range(a{c}, b{c} + 1)) AS {c}(c)' for c in 'xyz')} EXCEPT SELECT cx, cy, cz FROM full_)"""
+bx AS (SELECT {', '.join(f'min(c{c}) AS lo{c}, max(c{c}) AS hi{c}' for c in 'xyz')} FROM full_),
+free_ AS (SELECT x.c AS cx, y.c AS cy, z.c AS cz FROM bx, {', '.join(f'unnest(range(lo{c}, hi{c} + 1)) AS {c}(c)' for c in 'xyz')} EXCEPT SELECT cx, cy, cz FROM full_)"""
 
 
 @query(w.with_("pts", "poses", _PLACED, _FREE, select=f"SELECT pose_id, count(*) AS n, count(f.cx) AS in_free, round(count(f.cx) / count(*), 6) AS ratio FROM (SELECT pose_id, {_CELL} FROM pp) AS p LEFT JOIN free_ f USING (cx, cy, cz) GROUP BY pose_id"))
@@ -572,3 +567,57 @@ def success_except(spark, sf_dir):
 def success_compare(spark, sf_dir):
     r = w.results(spark, sf_dir)
     return evaluate.compare_keys(r.where("value > 20"), r.where("value < 80"))
+
+
+# Triangles
+
+_FACES = "fc AS (SELECT * FROM (SELECT obj, pt_id AS face, pt_id AS a, lead(pt_id, 1) OVER (PARTITION BY obj ORDER BY pt_id) AS b, lead(pt_id, 2) OVER (PARTITION BY obj ORDER BY pt_id) AS c FROM pts) AS t WHERE c IS NOT NULL)"
+_CORNERED = "cf AS (SELECT fc.*, " + ", ".join(f"p{k}.{x} AS {k}_{x}" for k in "abc" for x in "xyz") + " FROM fc " + " ".join(f"JOIN pts p{k} ON p{k}.obj = fc.obj AND p{k}.pt_id = fc.{k}" for k in "abc") + ")"
+_WIDE = mesh.normal_exprs()
+_EDGES = "ed AS (SELECT obj, p, q, count(*) AS faces FROM (" + " UNION ALL ".join(f"SELECT obj, least({x}, {y}) AS p, greatest({x}, {y}) AS q FROM fc" for x, y in ("ab", "bc", "ca")) + ") AS t GROUP BY obj, p, q)"
+
+
+def _faces(spark, sf_dir):
+    p = w.points(spark, sf_dir)
+    return mesh.strip(p), p
+
+
+@query(w.with_("pts", _FACES, _CORNERED, select=f"SELECT obj, count(*) AS n, cast(sum({v.fixed(v.norm(_WIDE) + ' / 2', 9)}) AS double) / 1e9 AS area FROM cf GROUP BY obj"))
+def mesh_area(spark, sf_dir):
+    return mesh.areas(*_faces(spark, sf_dir))
+
+
+_VN = "vn AS (SELECT obj, pt_id, count(*) AS faces, " + ", ".join(f"cast(sum({v.fixed(f'w{x}', 9)}) AS double) AS w{x}" for x in "xyz") + " FROM (SELECT obj, unnest([a, b, c]) AS pt_id, " + ", ".join(f"{e} AS w{x}" for e, x in zip(_WIDE, "xyz", strict=True)) + " FROM cf) AS t GROUP BY obj, pt_id)"
+_VN_SHOWN = ["obj", "pt_id", "faces", *[f"round({e}, 6) AS n{x}" for e, x in zip(v.unit(v.scale(v.vec("w"), "1e-9")), "xyz", strict=True)]]
+
+
+@query(w.with_("pts", _FACES, _CORNERED, _VN, select=f"SELECT {', '.join(_VN_SHOWN)} FROM vn"))
+def mesh_vertex_normals(spark, sf_dir):
+    return mesh.vertex_normals(*_faces(spark, sf_dir)).selectExpr("obj", "pt_id", "faces", *w.rounded("nx ny nz"))
+
+
+@query(w.with_("pts", _FACES, _EDGES, select="SELECT obj, p, q, faces FROM ed"))
+def mesh_edges(spark, sf_dir):
+    return mesh.edges(_faces(spark, sf_dir)[0])
+
+
+@query(
+    w.with_("pts", _FACES, _EDGES, select="""SELECT obj, points, edges, faces, borders, points - edges + faces AS euler FROM
+    (SELECT obj, count(DISTINCT p) AS points FROM (SELECT obj, unnest([a, b, c]) AS p FROM fc) AS t GROUP BY obj) AS x JOIN
+    (SELECT obj, count(*) AS edges, count(CASE WHEN faces = 1 THEN 1 END) AS borders FROM ed GROUP BY obj) AS y USING (obj) JOIN
+    (SELECT obj, count(*) AS faces FROM fc GROUP BY obj) AS z USING (obj)""")
+)
+def mesh_euler(spark, sf_dir):
+    return mesh.euler_numbers(_faces(spark, sf_dir)[0])
+
+
+@query(w.with_("dense", select="SELECT obj, a, b, c, min(face) AS face FROM (SELECT obj, pt_id AS face, x, y, z, cast(x AS bigint) AS a, cast(floor(y) AS bigint) AS b, cast(z AS bigint) AS c FROM (SELECT obj, pt_id, x, y, floor(z) AS z FROM dense) AS d) AS f WHERE a < b AND b < c GROUP BY obj, a, b, c"))
+def mesh_duplicate_faces(spark, sf_dir):
+    f = w.dense(spark, sf_dir).selectExpr("obj", "pt_id AS face", "cast(x AS bigint) AS a", "cast(floor(y) AS bigint) AS b", "cast(floor(z) AS bigint) AS c")
+    return mesh.drop_duplicate_faces(f.where("a < b AND b < c")).select("obj", "a", "b", "c", "face")
+
+
+@query(w.with_("pts", _FACES, select="SELECT obj, pt_id FROM pts WHERE pt_id % 3 = 0 AND (obj, pt_id) NOT IN (SELECT obj, a FROM fc)"))
+def mesh_unreferenced(spark, sf_dir):
+    f, p = _faces(spark, sf_dir)
+    return mesh.unreferenced(p.where("pt_id % 3 = 0"), f.selectExpr("obj", "a", "a AS b", "a AS c")).select("obj", "pt_id")
