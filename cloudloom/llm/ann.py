@@ -170,7 +170,8 @@ def _best(keep: int):
                     out_q.append(name)
                     out_s.append(s[k])
                     out_i.append(ids[at[k]])
-        return pd.DataFrame({"q": out_q, "score": out_s, "ids": out_i})
+        out = pd.DataFrame({"q": out_q, "score": out_s, "ids": out_i}, dtype=object)
+        return out.astype({"q": "int64", "score": "float64"})
 
     return each
 
@@ -222,7 +223,8 @@ def search(
                 for cell in m.traverse(x, y, n, want):
                     by.setdefault(of[cell], []).append(cell)
                 out += [(name, v, s, cells) for s, cells in by.items()]
-            yield pd.DataFrame(out, columns=["id", "v", "shelf", "cells"])
+            if out:
+                yield pd.DataFrame(out, columns=["id", "v", "shelf", "cells"])
 
     asked = rows.where("is_query").select("vec_id", "v")
     named = asked.groupBy("v").agg(F.min("vec_id").alias("id"))

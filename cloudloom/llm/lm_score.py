@@ -45,7 +45,8 @@ def vocabulary(docs: DataFrame, size: int = VOCAB) -> list[str]:
                 if len(seen) > 400_000:
                     yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     counts = docs.select("text").mapInPandas(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(size)
@@ -164,7 +165,7 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         m = sent.value
         for b in batches:
             rows = [(n, t / n, g / n, (t - g) / n) if n else (0, None, None, None) for n, t, g in map(m.losses, b["text"])]
-            out = pd.DataFrame(rows, columns=["n_tokens", "target_loss", "background_loss", "score"])
+            out = pd.DataFrame(rows, columns=["n_tokens", "target_loss", "background_loss", "score"], dtype=object)
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
