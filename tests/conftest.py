@@ -13,7 +13,7 @@ from cloudloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("tests", "8", 4)
+    s = local_session("tests", os.environ.get("TEST_CORES", "8"), 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
