@@ -13,6 +13,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 AROUND = [f"struct({a} AS a, {b} AS b, {c} AS c)" for a, b, c in product((-1, 0, 1), repeat=3)]
 
 
@@ -43,13 +45,13 @@ def knn(
     """The k nearest of each query in its cloud: radius_join's columns and rank from 1; ties to the smaller id.
 
     A query whose k-th neighbour lies within the radius is done; the others are asked again
-    with twice the radius, and those of clouds with too few points take all of these.
+    with twice the radius, and those of clouds with too few points take all of these. Each
+    round is checkpointed, so a later one doesn't repeat it.
     """
     out, left, r = None, queries, radius
-    size = refs.groupBy(key).agg(
-        F.count("*").alias("size"), *[(F.max(c) - F.min(c)).alias(f"w{c}") for c in "xyz"]
-    )
-    widest = size.agg(F.max(F.greatest("wx", "wy", "wz"))).first()[0] or 0.0
+    # Beyond twice the width of both clouds together, a radius takes all.
+    xyz = refs.select("x", "y", "z").unionByName(queries.select("x", "y", "z"))
+    widest = max((w or 0.0 for w in xyz.agg(*[(F.max(c) - F.min(c)) for c in "xyz"]).first()), default=0.0)
     order = f"PARTITION BY q_{key}, q_{point} ORDER BY d2, {point}"
     while True:
         last = r > 2 * widest
@@ -59,11 +61,12 @@ def knn(
         near = near.withColumn("rank", F.expr(f"row_number() OVER ({order})")).where(F.col("rank") <= k)
         if last:
             return near if out is None else out.unionByName(near)
+        near = checkpointed(near)
         done = near.where(F.col("rank") == k).select(F.col(f"q_{key}").alias(key), F.col(f"q_{point}").alias(point))
         full = near.join(done.select(F.col(key).alias(f"q_{key}"), F.col(point).alias(f"q_{point}")), [f"q_{key}", f"q_{point}"], "left_semi")
         full = full.select(*near.columns)
         out = full if out is None else out.unionByName(full)
-        left = left.join(done, [key, point], "left_anti")
+        left = checkpointed(left.join(done, [key, point], "left_anti"))
         if left.isEmpty():
             return out
         r *= 2
