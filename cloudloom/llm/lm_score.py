@@ -133,10 +133,16 @@ def counted(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     rows = docs.select("text", "target").mapInPandas(each, "i long, t long, g long")
     sums = rows.groupBy("i").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
-    # One row a word of the vocabulary and a cell at most.
-    pdf = sums.toPandas()
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"b": [b[["i", "t", "g"]].to_numpy(np.int64).tobytes()]})
+
+    # One count a word of the vocabulary and a cell at most, as bytes of whole batches.
     out = np.zeros((2, width))
-    out[0, pdf["i"]], out[1, pdf["i"]] = pdf["t"], pdf["g"]
+    for r in sums.mapInPandas(packed, "b binary").toLocalIterator():
+        i, t, g = np.frombuffer(r["b"], np.int64).reshape(-1, 3).T
+        out[0, i], out[1, i] = t, g
     return out[:, : len(vocab) + 2], out[:, len(vocab) + 2 :]
 
 
