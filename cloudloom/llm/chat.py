@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import partitions, written
 
 ROLES = ["system", "user", "assistant"]
 #: Speaker words and the class of marker that they form.
@@ -118,6 +118,17 @@ def _path(tables: np.ndarray, before: int, last: int) -> np.ndarray:
     return out
 
 
+def _runs(g: pd.DataFrame, *by: str) -> list[tuple[int, int]]:
+    """Ends of the runs of rows that are alike in these columns."""
+    new = np.zeros(len(g), bool)
+    new[:1] = True
+    for c in by:
+        x = g[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new).tolist()
+    return list(zip(at, [*at[1:], len(g)], strict=True))
+
+
 def decode(lines: DataFrame, model: Hmm) -> DataFrame:
     """`lines` as observed (conv_id, pos, line, opens, symbol, said, start) with the role that Viterbi gives each.
 
@@ -128,39 +139,46 @@ def decode(lines: DataFrame, model: Hmm) -> DataFrame:
     cut = lines.withColumn("block", F.floor(F.col("pos") / BLOCK))
     k = len(ROLES)
 
-    def reduced(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable")
-        tables = sent.value.moves(g["symbol"].to_numpy(), g["opens"].to_numpy(bool), g["start"].to_numpy(bool))
-        total = tables[0]
-        for t in tables[1:]:
-            total = _product(total, t)
-        return pd.DataFrame({"conv_id": [key[0]], "block": [key[1]], "t": [total.ravel()]})
-
-    def chained(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("block", kind="stable")
-        tables = np.stack(g["t"].to_list()).reshape(-1, k, k)
-        last = _path(tables, 0, int((tables[0] if len(tables) == 1 else _all(tables))[0].argmax()))
-        before = np.concatenate([[0], last[:-1]])
-        return pd.DataFrame({"conv_id": key[0], "block": g["block"].to_numpy(), "before": before, "last": last})
-
-    def _all(tables: np.ndarray) -> np.ndarray:
-        out = tables[0]
-        for t in tables[1:]:
-            out = _product(out, t)
-        return out
+    def moves(g: pd.DataFrame) -> np.ndarray:
+        return sent.value.moves(g["symbol"].to_numpy(), g["opens"].to_numpy(bool), g["start"].to_numpy(bool))
+
+    def reduced(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["conv_id", "block", "pos"], kind="stable")
+        tables, rows = moves(g), []
+        for i, j in _runs(g, "conv_id", "block"):
+            total = tables[i]
+            for t in tables[i + 1 : j]:
+                total = _product(total, t)
+            rows.append((g["conv_id"].iat[i], g["block"].iat[i], total.ravel()))
+        return pd.DataFrame(rows, columns=["conv_id", "block", "t"])
+
+    def chained(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["conv_id", "block"], kind="stable")
+        tables, rows = np.stack(g["t"].to_list()).reshape(-1, k, k), []
+        for i, j in _runs(g, "conv_id"):
+            total = tables[i]
+            for t in tables[i + 1 : j]:
+                total = _product(total, t)
+            last = _path(tables[i:j], 0, int(total[0].argmax()))
+            before = np.concatenate([[0], last[:-1]])
+            rows += zip([g["conv_id"].iat[i]] * (j - i), g["block"].to_numpy()[i:j], before, last, strict=True)
+        return pd.DataFrame(rows, columns=["conv_id", "block", "before", "last"])
 
     schema = T.StructType([f for f in cut.schema if f.name not in ("before", "last")] + [T.StructField("role_id", T.IntegerType())])
 
-    def decoded(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos", kind="stable")
-        tables = sent.value.moves(g["symbol"].to_numpy(), g["opens"].to_numpy(bool), g["start"].to_numpy(bool))
-        roles = _path(tables, int(g["before"].iloc[0]), int(g["last"].iloc[0]))
-        return g.drop(columns=["before", "last"]).assign(role_id=roles)
+    def decoded(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["conv_id", "block", "pos"], kind="stable")
+        tables, before, last = moves(g), g["before"].to_numpy(), g["last"].to_numpy()
+        roles = [_path(tables[i:j], int(before[i]), int(last[i])) for i, j in _runs(g, "conv_id", "block")]
+        return g.drop(columns=["before", "last", "deal"]).assign(role_id=np.concatenate(roles))
 
+    # Blocks are dealt out by their hash, many to a group, so that short transcripts don't cost a call each.
+    groups = F.lit(4 * partitions(spark))
+    dealt = lambda df, *by: df.withColumn("deal", F.pmod(F.xxhash64(*by), groups)).groupBy("deal")
     slim = cut.select("conv_id", "block", "pos", "symbol", "opens", "start")
-    tables = slim.groupBy("conv_id", "block").applyInPandas(reduced, "conv_id long, block long, t array<double>")
-    ends = tables.groupBy("conv_id").applyInPandas(chained, "conv_id long, block long, before long, last long")
-    out = cut.join(ends, ["conv_id", "block"]).groupBy("conv_id", "block").applyInPandas(decoded, schema)
+    tables = dealt(slim, "conv_id", "block").applyInPandas(reduced, "conv_id long, block long, t array<double>")
+    ends = dealt(tables, "conv_id").applyInPandas(chained, "conv_id long, block long, before long, last long")
+    out = dealt(cut.join(ends, ["conv_id", "block"]), "conv_id", "block").applyInPandas(decoded, schema)
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("role_id") + 1)
     return out.withColumn("role", role).drop("role_id", "block")
 
