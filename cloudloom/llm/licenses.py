@@ -3,9 +3,9 @@
 DataFrame functions only. The terms are the templates' words; their document
 frequencies are counted over all texts. A line is a sparse vector of its terms, and
 all its other words weigh as words of one document, so a line of other matter isn't
-near a template. Lines without any of the templates' anchor words are left out where
-that can't change a result: the share of a template's weight that its other words
-have bounds the cosine (checked on the fitted weights; else all lines are scored).
+near a template. Each template's heaviest words are its anchors: so many that the
+others alone can't reach the cosine asked for. Lines without any anchor are left out,
+which changes no result.
 
 A document whose best line reaches COSINE has that licence itself. If its licence
 lines hold FILE_SHARE of its words, it is a licence file and gives its licence to its
@@ -37,8 +37,6 @@ TEMPLATES = [
     ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license version 2.0"),
     ("Proprietary", "copyright all rights reserved no part may be reproduced without permission"),
 ]
-#: Words of which every template has one at least.
-ANCHORS = ["bsd", "copyright", "license", "licensed", "permission", "permitted"]
 
 
 def terms(text: Column) -> Column:
@@ -73,12 +71,17 @@ def _vectors(idf: dict[str, float]) -> list[tuple[int, str, str, float]]:
     return out
 
 
-def _anchored(vectors: list[tuple[int, str, str, float]]) -> bool:
-    """Whether no line without an anchor word can reach COSINE."""
-    rest: dict[int, float] = {}
-    for k, _, w, x in vectors:
-        rest[k] = rest.get(k, 0.0) + (0 if w in ANCHORS else x * x)
-    return all(math.sqrt(r) < COSINE for r in rest.values())
+def anchors(vectors: list[tuple[int, str, str, float]], cosine: float) -> list[str]:
+    """Words such that a line without any of them has a cosine under `cosine` with every template."""
+    out: set[str] = set()
+    for k in {v[0] for v in vectors}:
+        rest = 1.0
+        for x, w in sorted(((x, w) for i, _, w, x in vectors if i == k), reverse=True):
+            if math.sqrt(max(rest, 0.0)) < cosine - 1e-6:
+                break
+            out.add(w)
+            rest -= x * x
+    return sorted(out)
 
 
 def lines(docs: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -86,8 +89,8 @@ def lines(docs: DataFrame, cosine: float = COSINE) -> DataFrame:
     idf, other = weights(docs)
     vectors = _vectors(idf)
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
-    if _anchored(vectors):
-        line = line.where(F.lower("t").rlike("|".join(ANCHORS)))
+    words = "|".join(anchors(vectors, cosine))
+    line = line.where(F.lower("t").rlike(f"(?<![\\p{{L}}\\p{{N}}])(?:{words})(?![\\p{{L}}\\p{{N}}])"))
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("license"), F.lit(w).alias("w"), F.lit(x).alias("x")) for k, n, w, x in vectors])
     table = docs.sparkSession.range(1).select(F.inline(rows))
     known = F.map_from_arrays(F.array(*[F.lit(w) for w in idf]), F.array(*[F.lit(x) for x in idf.values()]))
