@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -19,15 +20,24 @@ _TABLES: dict[str, Pieces] = {}
 _RARE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 END_OF_WORD = "</w>"
-MARK = "|"
 #: Pieces that are looked up together.
 BATCH = 100_000
 
 
+def _alphabet() -> dict[int, str]:
+    """The characters that stand for bytes: printable Latin-1 ones for themselves, the others in order from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+ALPHABET = _alphabet()
+
+
 class Pieces:
     """A tokenizer and the pieces met lately, with their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.most = most
         #: The pieces met since the table was last full, and those of the time before.
         self.new: dict[str, bytes] = {}
@@ -36,13 +46,9 @@ class Pieces:
         self.library.encode_special_tokens = True
         self.library.no_padding()
         self.library.no_truncation()
-        vocab = self.library.get_vocab()
+        self.model = self.library.model
         #: Byte-level vocabularies stand for each byte by one character and keep the space before a word.
-        self.words = any(k.endswith(END_OF_WORD) for k in vocab)
-        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
-        for k, i in vocab.items():
-            self.sizes[i] = len(k.removesuffix(END_OF_WORD)) if self.words else len(k)
-        self.mark = vocab.get(MARK + END_OF_WORD)
+        self.words = any(k.endswith(END_OF_WORD) for k in self.library.get_vocab())
         self.stops = {c: self.one(c) for c in ".,"}
 
     def one(self, text: str) -> bytes:
@@ -52,49 +58,30 @@ class Pieces:
         """The library's ids of each text as it is."""
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _behind(self, piece: str) -> str:
-        """The piece as it stands in a text: a byte-level piece takes the space before it along, but not behind a newline."""
-        return piece if self.words or piece[0] == "\n" else " " + piece
-
-    def _sized(self, piece: str) -> bool:
-        """Whether the bytes of the piece's tokens are those of the piece itself."""
-        if not self.words:
-            return True
-        return piece.isascii() or (piece == piece.lower() and unicodedata.is_normalized("NFC", piece))
-
     def fill(self, pieces: list[str], out: dict[str, bytes]) -> None:
-        """Put the ids of pieces into `out`: many in one text where they can be told apart."""
-        sized, marked, alone = [], [], []
+        """Put the ids of pieces into `out`. Letters alone are one word, which the library's model takes in its own alphabet."""
+        tokenize, rest = self.model.tokenize, []
         for p in pieces:
-            body = p[1:] if not self.words and p[0] == "\n" else p
-            if len(body.split()) != 1 or body[0].isspace() or body[-1].isspace():
-                alone.append(p)
-            elif self._sized(p):
-                sized.append(p)
+            w = p
+            if not p.isalpha():
+                rest.append(p)
+                continue
+            if self.words:
+                w = p.lower()
+                if not p.isascii() and (w != p or not unicodedata.is_normalized("NFC", p)):
+                    rest.append(p)
+                    continue
             else:
-                (alone if MARK in p else marked).append(p)
-        if alone:
-            out.update(zip(alone, self.many([self._behind(p) for p in alone]), strict=True))
-        for some in (sized[i : i + 5000] for i in range(0, len(sized), 5000)):
-            stand = [" " + p for p in some] if self.words else [self._behind(p) for p in some]
-            ids = np.array(self.library.encode_batch_fast(["".join(stand)], add_special_tokens=False)[0].ids, "<u4")
-            done = np.cumsum(self.sizes[ids])
-            want = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in (some if self.words else stand)])
-            ends = np.searchsorted(done, want) + 1
-            if len(done) and ends[-1] == len(ids) and (done[ends - 1] == want).all():
-                self._split(ids, np.append(0, ends[:-1]), ends, some, out)
+                w = " " + p
+            if p.isascii():
+                w = w.replace(" ", ALPHABET[32])
             else:
-                out.update(zip(some, self.many([self._behind(p) for p in some]), strict=True))
-        for some in (marked[i : i + 5000] for i in range(0, len(marked), 5000)):
-            ids = np.array(self.library.encode_batch_fast([f" {MARK} ".join(["", *some])], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.mark)
-            self._split(ids, at + 1, np.append(at[1:], len(ids)), some, out)
-
-    @staticmethod
-    def _split(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: list[str], out: dict[str, bytes]) -> None:
-        raw = ids.tobytes()
-        for p, s, e in zip(pieces, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-            out[p] = raw[s:e]
+                w = w.encode().decode("latin-1").translate(ALPHABET)
+            out[p] = array("I", [t.id for t in tokenize(w)]).tobytes()
+        if rest:
+            # A byte-level piece takes the space before it along, but not behind a newline.
+            stand = rest if self.words else [p if p[0] == "\n" else " " + p for p in rest]
+            out.update(zip(rest, self.many(stand), strict=True))
 
     def _cut(self, text: str) -> list[str]:
         """Pieces of the text; in byte-level ones a newline between other characters opens a piece."""
@@ -107,71 +94,69 @@ class Pieces:
         loose = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or " " in ends or "\n" in ends
         return _CUT.split(text) if loose or _RARE.search(text) else text.replace("\n", " \n").split(" ")
 
-    def _get(self, piece: str) -> bytes | None:
-        ids = self.new.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is not None:
-                self.new[piece] = ids
-        return ids
-
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of the pieces: a small table for one batch, so that most lookups stay in the processor's caches.
+    def _learned(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't in the newer table, which takes them up.
 
         A full stop or comma behind letters is a token of its own, so that pieces with one are put together.
         """
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        out, fresh, closed = {}, set(), []
+        newer, older, stops = self.new.get, self.old.get, self.stops
+        met, fresh, closed = {}, [], []
         for p in pieces:
-            ids = self._get(p)
+            ids = older(p)
             if ids is not None:
-                out[p] = ids
-            elif p[-1] in self.stops and p[:-1].removeprefix("\n").isalpha():
+                met[p] = ids
+            elif p[-1] in stops and p[:-1].isalpha():
                 closed.append(p)
-                if p[:-1] not in pieces:
-                    ids = self._get(p[:-1])
-                    if ids is None:
-                        fresh.add(p[:-1])
-                    else:
-                        out[p[:-1]] = ids
             else:
-                fresh.add(p)
-        met: dict[str, bytes] = {}
+                fresh.append(p)
+        for p in closed:
+            base = p[:-1]
+            if base not in pieces and base not in met:
+                ids = newer(base) or older(base)
+                if ids is None:
+                    fresh.append(base)
+                met[base] = ids
         if fresh:
-            self.fill(list(fresh), met)
-            out.update(met)
+            self.fill(fresh, met)
         for p in closed:
-            met[p] = out[p] = out[p[:-1]] + self.stops[p[-1]]
+            met[p] = met[p[:-1]] + stops[p[-1]]
         self.new.update(met)
-        return out
+        return met
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, equal to the library's own for the whole text."""
         out: list[bytes] = []
         at = 0
         while at < len(texts):
+            if len(self.new) > self.most:
+                self.old, self.new = self.new, {}
+            self.new[""] = b""
             cut, n = [], 0
             while at < len(texts) and n < BATCH:
                 cut.append(self._cut(texts[at]))
                 n += len(cut[-1])
                 at += 1
+            heads = []
             if not self.words:
-                # A byte-level text's first piece has no space before it: it stands as behind a newline.
-                heads = [c[0] for c in cut]
-                odd = [i for i, h in enumerate(heads) if not h.isalpha()]
-                for c, h in zip(cut, heads, strict=True):
-                    c[0] = "\n" + h if h.isalpha() else ""
-                first = dict(zip(odd, self.many([heads[i] for i in odd]), strict=True)) if odd else {}
-            pieces = set().union(*cut)
-            pieces.discard("")
-            known = self._known(pieces)
-            known[""] = b""
-            get = known.__getitem__
+                # A byte-level text's first piece has no space before it: letters stand as behind a newline.
+                for c in cut:
+                    heads.append("" if c[0].isalpha() else c[0])
+                    c[0] = "\n" + c[0] if c[0].isalpha() else ""
+            known = self.new.get
+            found = [list(map(known, c)) for c in cut]
+            missing: set[str] = set()
+            for c, ids in zip(cut, found, strict=True):
+                if None in ids:
+                    missing.update([p for p, x in zip(c, ids, strict=True) if x is None])
+            if missing:
+                met = self._learned(missing)
+                found = [[met[p] if x is None else x for p, x in zip(c, ids, strict=True)] if None in ids else ids for c, ids in zip(cut, found, strict=True)]
+            whole = map(b"".join, found)
             if self.words:
-                out += [b"".join(map(get, c)) for c in cut]
+                out += whole
             else:
-                out += [first[i] + b"".join(map(get, c)) if i in first else b"".join(map(get, c))[4:] for i, c in enumerate(cut)]
+                first = iter(self.many([h for h in heads if h]))
+                out += [next(first) + x if h else x[4:] if c[0] else x for h, c, x in zip(heads, cut, whole, strict=True)]
         return out
 
 
