@@ -12,6 +12,10 @@
    subsequence of the item and the window's surroundings, and whether the item's
    answer (its last sentence, or the column `answer`) is there too. An edited copy
    passes by its subsequence alone, a looser paraphrase only with its answer.
+5. A copy's words are common where it stands in many texts, and then its cosine is
+   low. So places are compared too, whatever their cosine, that have as many of an
+   item's rarer words as any place with `EDITED` of its words must have; with `LOOSE`
+   of them, where most of the item's weight lies in common words.
 
 The benchmark is held on every worker in blocks of `BLOCK` items; a larger one
 takes more passes.
@@ -19,6 +23,7 @@ takes more passes.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,9 +39,9 @@ SENTENCE = re.compile(r"[.!?\n]+")
 SAMPLE, PASSAGE, RANK, WEIGHT = 3000, 64, 224, 8.0
 BLOCK = 512
 COSINE = 0.4
-#: Words in more than this share of the texts weigh nothing in vectors; subsequences have all words.
-COMMON = 0.1
-#: Least share of an item's words in common order, alone or with its answer; of its idf mass; of the answer's words.
+#: A word with a lower idf is common: one in over a tenth of the texts.
+COMMON = math.log(10)
+#: Least share of an item's words in common order, alone or with its answer; then also of its idf mass and of the answer's words.
 EDITED, LOOSE, MASS, ANSWER = 0.75, 0.5, 0.6, 0.8
 SCALES = [8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024]
 #: Words of a text that are scored together.
@@ -152,7 +157,6 @@ def basis(docs: DataFrame, items: list[Item], vocab: list[str], idf: np.ndarray,
 class Index:
     """What a task needs to score texts against a block of items."""
 
-    #: Place of each word that weighs something; -2 for the items' common words.
     vocab: dict[str, int]
     idf: np.ndarray
     other: float
@@ -160,11 +164,31 @@ class Index:
     items: list[Item]
     scales: list[tuple[int, np.ndarray]]
 
+    def __post_init__(self):
+        """The items that have each word among their rarer ones, one word after the other, and how many of these a copy has."""
+        self.scale = np.zeros(len(self.items), np.int64)
+        for size, which in self.scales:
+            self.scale[which] = size
+        self.need = np.zeros(len(self.items), np.int64)
+        of: list[list[int]] = [[] for _ in self.vocab]
+        for i, item in enumerate(self.items):
+            ids = sorted((self.vocab[w] for w in item.words), key=lambda k: (-self.idf[k], k))
+            weights = self.idf[ids]
+            share = LOOSE if 2 * weights[weights < COMMON].sum() > weights.sum() else EDITED
+            lost = len(ids) - math.ceil(share * len(ids))
+            # All but `lost` words of any choice are in a copy. All places of a word count.
+            chosen = set(ids[: 2 * lost + 1])
+            self.need[i] = sum(k in chosen for k in ids) - lost
+            for k in chosen:
+                of[k].append(i)
+        self.first = np.cumsum([0] + [len(x) for x in of])
+        self.rarer = np.array([i for x in of for i in x], np.int16)
+
     def find(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         """(item_id, cosine, share of the item's words in order, answer found) of each item that the text holds."""
         w = words(text)
         best: dict[int, tuple[float, float, bool]] = {}
-        reach = self.scales[-1][0]
+        reach = 2 * self.scales[-1][0]
         for at in range(0, len(w), SPAN):
             part = w[at : at + SPAN + reach]
             for i, c, lo, hi in self._windows(part):
@@ -178,7 +202,7 @@ class Index:
         get = self.vocab.get
         ids = np.array([get(x, -1) for x in part], np.int64)
         known = ids >= 0
-        squares = np.where(known, self.idf[ids] ** 2, np.where(ids == -1, self.other**2, 0))
+        squares = np.where(known, self.idf[ids], self.other) ** 2
         norm = np.concatenate([[0], np.cumsum(squares)])
         # Sums over the known words only; `before` maps a place in the text to a place among them.
         before = np.concatenate([[0], np.cumsum(known)])
@@ -193,16 +217,38 @@ class Index:
             score = (sums[before[ends]] - sums[before[starts]])[:, which] / length[:, None]
             for k, i in zip(*np.nonzero(score >= COSINE), strict=True):
                 yield int(which[i]), float(score[k, i]), int(starts[k] - size // 2), int(ends[k] + size // 2)
+        for i, lo in self._sharing(ids):
+            size = int(self.scale[i])
+            s, e = min(n, lo + size // 2), min(n, lo + size // 2 + size)
+            c = (sums[before[e], i] - sums[before[s], i]) / math.sqrt(max(norm[e] - norm[s], 1e-9))
+            yield i, float(c), lo, lo + 2 * size
+
+    def _sharing(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(item, lo): stretches of two windows that hold every place of one and a half with the share of an item's words."""
+        at = np.flatnonzero(ids >= 0)
+        first = self.first[ids[at]]
+        count = self.first[ids[at] + 1] - first
+        total = int(count.sum())
+        item = self.rarer[np.repeat(first - np.cumsum(count) + count, count) + np.arange(total)]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order].astype(np.int64), np.repeat(at, count)[order]
+        last = np.arange(total) + self.need[item] - 1
+        held = last < total
+        last = np.where(held, last, 0)
+        held &= (item[last] == item) & (2 * (place[last] - place) < 3 * self.scale[item])
+        item, half = item[held], self.scale[item[held]] // 2
+        return sorted(set(zip(item.tolist(), (place[held] // half * half).tolist(), strict=True)))
 
     def _compare(self, i: int, near: list[str]) -> tuple[float, bool] | None:
         item = self.items[i]
         there = set(near)
-        mass = lambda ws: sum(self.idf[k] for x in ws if (k := self.vocab[x]) >= 0)
-        if mass(x for x in item.words if x in there) < MASS * mass(item.words):
+        held = [x for x in item.words if x in there]
+        if len(held) < LOOSE * len(item.words):
             return None
         share = lcs(places(item.words), len(item.words), near) / len(item.words)
         answer = lcs(places(item.answer), len(item.answer), near) >= ANSWER * len(item.answer)
-        if share >= EDITED or share >= LOOSE and answer:
+        mass = lambda ws: sum(self.idf[self.vocab[x]] for x in ws)
+        if share >= EDITED or share >= LOOSE and answer and mass(held) >= MASS * mass(item.words):
             return share, answer
         return None
 
@@ -210,7 +256,7 @@ class Index:
 def index(docs: DataFrame, items: list[Item]) -> Index:
     vocab = sorted({w for i in items for w in i.words})
     df, total = frequencies(docs, vocab)
-    idf = np.where(df > COMMON * max(total, 20), 0.0, np.log((total + 1) / (df + 0.5)).clip(0.01))
+    idf = np.log((total + 1) / (df + 0.5)).clip(0.01)
     place = {w: i for i, w in enumerate(vocab)}
     q = basis(docs, items, vocab, idf, total)
     b = np.zeros((len(items), len(vocab)))
@@ -223,8 +269,7 @@ def index(docs: DataFrame, items: list[Item]) -> Index:
     of = [next((s for s in SCALES if s >= len(i.words)), SCALES[-1]) for i in items]
     scales = [(s, np.array([k for k, x in enumerate(of) if x == s])) for s in sorted(set(of))]
     # A word that the benchmark lacks weighs as much as a word of middling frequency.
-    weighed = {w: i if idf[i] > 0 else -2 for w, i in place.items()}
-    return Index(weighed, idf, float(np.median(idf[idf > 0])) if idf.any() else 1.0, np.ascontiguousarray(table), items, scales)
+    return Index(place, idf, float(np.median(idf)), np.ascontiguousarray(table), items, scales)
 
 
 FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean"

@@ -156,6 +156,32 @@ def test_decontamination_kinds(spark):
     assert got[3, 7]["answer_found"] and got[3, 7]["lcs_share"] < decontaminate.EDITED <= got[2, 7]["lcs_share"]
 
 
+def test_decontamination_of_common_words(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(5, 9)))
+    often, vocab = [word() for _ in range(40)], [word() for _ in range(3000)]
+    prose = lambda n: [rng.choice(often) if rng.random() < 0.4 else rng.choice(vocab) for _ in range(n)]
+    passage, frequent = [word() for _ in range(28)], list(rng.permutation(often))[:30]
+    mixed = [w if i % 5 else word() for i, w in enumerate(rng.permutation(often)[:30])]
+    edit = lambda item, step: [w if i % step else word() for i, w in enumerate(item)]
+    texts = {i: (prose(60 + i) + passage + prose(50), 7) for i in range(98)}
+    texts |= {98: (prose(60) + edit(passage, 5) + prose(90), 7), 99: (prose(5000) + edit(passage, 6) + prose(90), 7)}
+    texts |= {100: (prose(70) + frequent + prose(80), 8), 101: (prose(33) + edit(frequent, 6) + prose(80), 8)}
+    # A looser copy of the passage, with its answer.
+    texts[103] = prose(70) + edit(passage[:20], 2) + passage[20:] + prose(80), 7
+    # Of this item all rare words differ.
+    texts |= {102: (prose(70) + edit(mixed, 5) + prose(80), 9)}
+    rows = [(i, " ".join(t)) for i, (t, _) in texts.items()] + [(1000 + i, " ".join(prose(250))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(7, " ".join(passage[:20]) + ". " + " ".join(passage[20:])), (8, " ".join(frequent)), (9, " ".join(mixed))]
+    items += [(i, " ".join(word() for _ in range(30))) for i in range(10, 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["lcs_share"] for r in decontaminate.find(docs, bench).collect()}
+    assert set(got) == {(i, item) for i, (_, item) in texts.items()}
+    assert all(got[i, 7] == 1 for i in range(98)) and got[100, 8] == 1
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == set(range(1000, 1200))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_lcs(a, b):
