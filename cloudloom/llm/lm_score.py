@@ -1,162 +1,92 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-One vocabulary is counted over all texts: the `VOCAB` most frequent words; all other
-words are one unknown word. Both models are bigram models over it, with the same
+Both models are bigram models over one vocabulary, all words of all texts, with the same
 smoothing (Dirichlet towards the unigrams of the same corpus) and the same weight of
 evidence: the background's counts are scaled to the target's number of tokens. A
 document's score is its mean loss a token under the target model less that under the
 background model, so the most target-like documents score lowest.
 
-Bigrams are counted in 2 ** BITS hashed cells, which bounds what a task holds and what
-reaches the driver; the counts are of all texts. A task sends one count a cell.
+Words and pairs of next words are counted in tables, which grow with the corpus; only totals
+reach the driver. A text's pairs are joined with the losses of the counted pairs and
+summed a row; pairs that weren't counted are joined with their words.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WORD = re.compile(r"\w+")
-VOCAB, BITS = 1 << 16, 20
 #: Pseudo-counts of the unigrams in each bigram context.
 KAPPA = 20.0
-CHUNK = 1 << 16
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def vocabulary(docs: DataFrame, size: int = VOCAB) -> list[str]:
-    """The `size` most frequent words of all texts, ties in order of the word."""
+def spelled(docs: DataFrame, other: str) -> DataFrame:
+    """The column `other` (name and type), n (words), said (the words, each after a space) of each row."""
+    name = other.split()[0]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
         for b in batches:
-            for t in b["text"]:
-                seen.update(words(t))
-                if len(seen) > 400_000:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-
-    counts = docs.select("text").mapInPandas(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.select("word").toLocalIterator()]
-
+            w = [words(t) for t in b["text"]]
+            yield pd.DataFrame({name: b[name], "n": [len(x) for x in w], "said": ["".join(" " + y for y in x) for x in w]})
 
-def cells(ids: np.ndarray) -> np.ndarray:
-    """Hashed cells of the pairs of next words."""
-    a, b = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
-    return ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
+    return docs.select(name, "text").mapInPandas(each, f"{other}, n long, said string")
 
 
-class Ids:
-    """Word ids: 0 opens a text, 1 is any other word."""
-
-    def __init__(self, vocab: list[str]):
-        self.of = {w: i + 2 for i, w in enumerate(vocab)}
-        self.size = len(vocab) + 2
-
-    def parts(self, text: str | None) -> Iterator[np.ndarray]:
-        """The text's ids, in parts that share their border word."""
-        get, w = self.of.get, words(text)
-        for at in range(0, len(w), CHUNK):
-            before = [get(w[at - 1], 1) if at else 0]
-            yield np.array(before + [get(x, 1) for x in w[at : at + CHUNK]], np.int64)
+def pairs(said: DataFrame, *keep: str) -> DataFrame:
+    """a, b: each word and the word before it, which is empty for the first."""
+    w = said.where("n > 0").select(*keep, F.split("said", " ").alias("w"))
+    return w.selectExpr(*keep, "inline(arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1))) AS (a, b)")
 
 
 @dataclass
 class Models:
-    """Counts of the target (row 0) and of the scaled background (row 1)."""
-
-    ids: Ids
-    uni: np.ndarray
-    pair: np.ndarray
-
-    def __post_init__(self):
-        self.one = (self.uni + 1) / (self.uni.sum(1, keepdims=True) + self.ids.size)
-
-    def losses(self, text: str | None) -> tuple[int, float, float]:
-        """Tokens, and the summed losses of the target and background models."""
-        n, out = 0, np.zeros(2)
-        for part in self.ids.parts(text):
-            c, a, b = cells(part), part[:-1], part[1:]
-            n += len(c)
-            for k in (0, 1):
-                p1, context = self.one[k][b], self.uni[k][a]
-                # A cell may hold several bigrams: no more of it counts than its context has.
-                p2 = (np.minimum(self.pair[k][c], context) + KAPPA * p1) / (context + KAPPA)
-                out[k] -= np.log(p2).sum()
-        return n, float(out[0]), float(out[1])
-
-
-def counted(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Unigrams and hashed bigrams of the rows with `target` true (row 0) and others (row 1)."""
-    sent = docs.sparkSession.sparkContext.broadcast(Ids(vocab))
-    width = len(vocab) + 2 + (1 << BITS)
+    """Counts of the target (t) and of the background (g): a, b, t, g and w, t, g; the opening is the empty word."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = sent.value
-        total = np.zeros((2, width), np.int64)
-        for b in batches:
-            held: list[list[np.ndarray]] = [[], []]
-            n = 0
-
-            def add() -> None:
-                for k in (0, 1):
-                    if held[k]:
-                        total[k] += np.bincount(np.concatenate(held[k]), minlength=width)
-                        held[k].clear()
-
-            for t, target in zip(b["text"], b["target"], strict=True):
-                for part in ids.parts(t):
-                    # An opening counts as the context that it is.
-                    held[0 if target else 1] += [part[1:] if part[0] else part, cells(part) + ids.size]
-                    n += 2 * len(part)
-                if n > 1 << 20:
-                    add()
-                    n = 0
-            add()
-        at = np.flatnonzero(total.sum(0))
-        for s in range(0, len(at), 100_000):
-            i = at[s : s + 100_000]
-            yield pd.DataFrame({"i": i, "t": total[0][i], "g": total[1][i]})
-
-    rows = docs.select("text", "target").mapInPandas(each, "i long, t long, g long")
-    sums = rows.groupBy("i").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"b": [b[["i", "t", "g"]].to_numpy(np.int64).tobytes()]})
+    grams: DataFrame
+    words: DataFrame
+    #: Tokens and openings of both, and the different words, an opening and an unknown one.
+    t: int
+    g: int
+    size: int
+
+    def loss(self, k: str) -> Column:
+        """Of a row with the pair's counts (t or g), its first word's (at or ag) and its second's (bt or bg)."""
+        scale = 1.0 if k == "t" else self.t / max(1, self.g)
+        count = lambda c: F.coalesce(F.col(c), F.lit(0)) * F.lit(scale)
+        total = scale * (self.t if k == "t" else self.g)
+        p1 = (count("b" + k) + 1) / F.lit(total + self.size)
+        return -F.log((count(k) + KAPPA * p1) / (count("a" + k) + KAPPA))
 
-    # One count a word of the vocabulary and a cell at most, as bytes of whole batches.
-    out = np.zeros((2, width))
-    for r in sums.mapInPandas(packed, "b binary").toLocalIterator():
-        i, t, g = np.frombuffer(r["b"], np.int64).reshape(-1, 3).T
-        out[0, i], out[1, i] = t, g
-    return out[:, : len(vocab) + 2], out[:, len(vocab) + 2 :]
+    def losses(self, of: DataFrame, *keep: str) -> DataFrame:
+        """lt, lg of each row a, b, t, g."""
+        side = lambda x: self.words.select(F.col("w").alias(x), F.col("t").alias(x + "t"), F.col("g").alias(x + "g"))
+        return of.join(side("a"), "a", "left").join(side("b"), "b", "left").select(*keep, self.loss("t").alias("lt"), self.loss("g").alias("lg"))
 
 
 def train(docs: DataFrame, target_ids: DataFrame) -> Models:
     """Models of the documents whose doc_id is in `target_ids`, and of all others."""
-    vocab = vocabulary(docs)
-    flags = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
+    flags = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(1))
     # The target's ids grow with the corpus, so they are merged with it, never broadcast.
-    marked = docs.select("doc_id", "text").join(flags.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    uni, pair = counted(marked, vocab)
-    share = uni[0].sum() / max(1.0, uni[1].sum())
-    uni[1] *= share
-    pair[1] *= share
-    return Models(Ids(vocab), uni, pair)
+    marked = docs.select("doc_id", "text").join(flags.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
+    each = pairs(spelled(marked, "target int"), "target")
+    grams = written(each.groupBy("a", "b").agg(F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("g")), "bigrams")
+    sums = F.sum("t").alias("t"), F.sum("g").alias("g")
+    opening = grams.where("a = ''").groupBy(F.col("a").alias("w")).agg(*sums)
+    counts = written(grams.groupBy(F.col("b").alias("w")).agg(*sums).unionByName(opening), "unigrams")
+    r = counts.agg(F.sum("t"), F.sum("g"), F.count(F.when(F.col("w") != "", 1))).first()
+    return Models(grams, counts, r[0] or 0, r[1] or 0, r[2] + 2)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -165,16 +95,15 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     A text without words (null and empty ones too) has 0 tokens and null losses and score.
     Without target documents both models are the uniform one over unigrams and scores are 0.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for b in batches:
-            rows = [(n, t / n, g / n, (t - g) / n) if n else (0, None, None, None) for n, t, g in map(m.losses, b["text"])]
-            out = pd.DataFrame(rows, columns=["n_tokens", "target_loss", "background_loss", "score"], dtype=object)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(
-        each, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    )
+    # Row numbers differ from run to run, so they are written before they are joined.
+    said = written(spelled(docs, "doc_id long").withColumn("row", F.monotonically_increasing_id()), "spelled")
+    known = models.losses(models.grams, "a", "b")
+    met = pairs(said, "row").join(known, ["a", "b"], "left")
+    new = F.collect_list(F.when(F.col("lt").isNull(), F.struct("a", "b"))).alias("new")
+    sums = written(met.groupBy("row").agg(F.sum("lt").alias("lt"), F.sum("lg").alias("lg"), new), "losses")
+    unseen = sums.select("row", F.inline("new")).withColumns({"t": F.lit(0), "g": F.lit(0)})
+    more = models.losses(unseen, "row").groupBy("row").agg(F.sum("lt").alias("mt"), F.sum("lg").alias("mg"))
+    at = said.select("row", "doc_id", "n").join(sums.drop("new"), "row", "left").join(more, "row", "left")
+    mean = lambda x, y: F.when(F.col("n") > 0, (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))) / F.col("n"))
+    out = at.select("doc_id", F.col("n").alias("n_tokens"), mean("lt", "mt").alias("target_loss"), mean("lg", "mg").alias("background_loss"))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -226,6 +226,35 @@ def test_lm_losses(spark):
         assert got[i]["target_loss"] == pytest.approx(loss[0]) and got[i]["background_loss"] == pytest.approx(loss[1])
 
 
+def test_lm_counts_every_word(spark):
+    # More words than 2 ** 16; the second half of the texts, which no model has met, mixes counted and new words.
+    rng = np.random.default_rng(2)
+    texts = {i: " ".join(f"w{k}" for k in np.concatenate([np.arange(i * 900, i * 900 + 900), rng.zipf(1.5, 300) % 900])) for i in range(80)}
+    fresh = {100 + i: f"{texts[i][:300]} new{i} w5 {texts[i + 1][-200:]}" for i in range(4)}
+    frame = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    models = lm_score.train(frame(texts), frame(texts).where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r for r in lm_score.score(frame(texts | fresh), models).collect()}
+    uni, big = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in texts.items():
+        w = ["", *t.split()]
+        uni[i % 2].update(w)
+        big[i % 2].update(zip(w, w[1:]))
+    size = len(set(uni[0]) | set(uni[1])) + 1
+    assert size > 1 << 16 and len(got) == 84
+    total = uni[0].total()
+    scale = [1.0, total / uni[1].total()]
+    for i, t in (texts | fresh).items():
+        w, loss = ["", *t.split()], [0.0, 0.0]
+        for k in (0, 1):
+            for a, b in zip(w, w[1:]):
+                p1 = (scale[k] * uni[k][b] + 1) / (total + size)
+                loss[k] -= math.log((scale[k] * big[k][a, b] + lm_score.KAPPA * p1) / (scale[k] * uni[k][a] + lm_score.KAPPA))
+        n = len(w) - 1
+        assert got[i]["n_tokens"] == n
+        assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx((loss[0] / n, loss[1] / n))
+        assert got[i]["score"] == pytest.approx((loss[0] - loss[1]) / n)
+
+
 def brute_lines(rows):
     keys = {d: [re.sub(r"^[ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+$", "", re.sub("[A-Z]", lambda m: m[0].lower(), x)) for x in (t or "").split("\n")] for d, t, _ in rows}
     holders = defaultdict(set)
