@@ -1,9 +1,11 @@
 """Token ids of whole texts by the tokenizers library.
 
 No token crosses the border between a character that isn't white space and one
-single space with another such character behind it. So texts are cut there, the
-library encodes each different piece once for a batch of texts, and each worker
-keeps a bounded table of the pieces it has met. All ids come from the library.
+single space with another such character behind it. So texts are cut there, and
+each worker keeps a bounded table of the pieces it has met. A piece of letters, and
+a run of ASCII punctuation behind it, are words of their own to the library's
+pre-tokenizers, so its model takes them directly; any other piece goes through the
+whole library. All ids come from the library.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ _TABLES: dict[str, Pieces] = {}
 #: White space but spaces and newlines; and single spaces between other characters.
 _RARE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters with punctuation behind them, but no apostrophe, which may open a contraction, and no underscore.
+_TAILED = re.compile(r"(\n?)([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
 END_OF_WORD = "</w>"
-#: Pieces that are looked up together.
-BATCH = 100_000
 
 
 def _alphabet() -> dict[int, str]:
@@ -32,16 +34,29 @@ def _alphabet() -> dict[int, str]:
 
 
 ALPHABET = _alphabet()
+_SPACE = ALPHABET[32]
+
+
+class _Met(dict):
+    """Pieces met since the table was last full, with their ids; `old` has those of the time before."""
+
+    def __init__(self, of: Pieces, old: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.of, self.old = of, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.of.spelled(piece)
+        self[piece] = ids
+        return ids
 
 
 class Pieces:
     """A tokenizer and the pieces met lately, with their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.most = most
-        #: The pieces met since the table was last full, and those of the time before.
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.library.no_padding()
@@ -49,114 +64,60 @@ class Pieces:
         self.model = self.library.model
         #: Byte-level vocabularies stand for each byte by one character and keep the space before a word.
         self.words = any(k.endswith(END_OF_WORD) for k in self.library.get_vocab())
-        self.stops = {c: self.one(c) for c in ".,"}
+        self.met = _Met(self, {})
+        self.tails = {"": b"", "\n": b"" if self.words else self.one("\n")}
 
     def one(self, text: str) -> bytes:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of each text as it is."""
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def fill(self, pieces: list[str], out: dict[str, bytes]) -> None:
-        """Put the ids of pieces into `out`. Letters alone are one word, which the library's model takes in its own alphabet."""
-        tokenize, rest = self.model.tokenize, []
-        for p in pieces:
-            w = p
-            if not p.isalpha():
-                rest.append(p)
-                continue
-            if self.words:
-                w = p.lower()
-                if not p.isascii() and (w != p or not unicodedata.is_normalized("NFC", p)):
-                    rest.append(p)
-                    continue
-            else:
-                w = " " + p
-            if p.isascii():
-                w = w.replace(" ", ALPHABET[32])
-            else:
-                w = w.encode().decode("latin-1").translate(ALPHABET)
-            out[p] = array("I", [t.id for t in tokenize(w)]).tobytes()
-        if rest:
-            # A byte-level piece takes the space before it along, but not behind a newline.
-            stand = rest if self.words else [p if p[0] == "\n" else " " + p for p in rest]
-            out.update(zip(rest, self.many(stand), strict=True))
+        """The library's ids of the text as it is."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, w: str) -> bytes:
+        """The ids of one word of the pre-tokenizer, by the library's model in its own alphabet."""
+        w = w.replace(" ", _SPACE) if w.isascii() else w.encode().decode("latin-1").translate(ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
+
+    def spelled(self, p: str) -> bytes:
+        """The ids of a piece behind a space (or, byte-level, behind a newline that opens it)."""
+        if p.isalpha():
+            if not self.words:
+                return self._word(" " + p)
+            low = p.lower()
+            return self._word(low) if p.isascii() or (low == p and unicodedata.is_normalized("NFC", p)) else self.one(p)
+        m = _TAILED.fullmatch(p)
+        if m and m[2].isalpha() and (m[1] or m[3]):
+            lead, w, tail = m.groups()
+            if tail not in self.tails:
+                self.tails[tail] = self._word(tail)
+            return (self.tails[lead] + self._word(w) if lead and not self.words else self.met[w]) + self.tails[tail]
+        # A byte-level piece takes the space before it along, but not behind a newline.
+        return self.one(p if self.words or p[0] == "\n" else " " + p)
 
     def _cut(self, text: str) -> list[str]:
         """Pieces of the text; in byte-level ones a newline between other characters opens a piece."""
         if self.words:  # white space is dropped, so any space or newline parts pieces
             low = text.lower()
-            if low != text and "\u03a3" not in text and (low.isascii() or all(unicodedata.is_normalized("NFC", x) for x in (text, low))):
+            if low != text and "Σ" not in text and (low.isascii() or all(unicodedata.is_normalized("NFC", x) for x in (text, low))):
                 text = low  # as the library's own normaliser does
             return text.replace("\n", " ").split(" ")
         ends = text[:1] + text[-1:]
         loose = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or " " in ends or "\n" in ends
         return _CUT.split(text) if loose or _RARE.search(text) else text.replace("\n", " \n").split(" ")
 
-    def _learned(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that aren't in the newer table, which takes them up.
-
-        A full stop or comma behind letters is a token of its own, so that pieces with one are put together.
-        """
-        newer, older, stops = self.new.get, self.old.get, self.stops
-        met, fresh, closed = {}, [], []
-        for p in pieces:
-            ids = older(p)
-            if ids is not None:
-                met[p] = ids
-            elif p[-1] in stops and p[:-1].isalpha():
-                closed.append(p)
-            else:
-                fresh.append(p)
-        for p in closed:
-            base = p[:-1]
-            if base not in pieces and base not in met:
-                ids = newer(base) or older(base)
-                if ids is None:
-                    fresh.append(base)
-                met[base] = ids
-        if fresh:
-            self.fill(fresh, met)
-        for p in closed:
-            met[p] = met[p[:-1]] + stops[p[-1]]
-        self.new.update(met)
-        return met
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, equal to the library's own for the whole text."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            if len(self.new) > self.most:
-                self.old, self.new = self.new, {}
-            self.new[""] = b""
-            cut, n = [], 0
-            while at < len(texts) and n < BATCH:
-                cut.append(self._cut(texts[at]))
-                n += len(cut[-1])
-                at += 1
-            heads = []
-            if not self.words:
+        out = []
+        for t in texts:
+            if len(self.met) > self.most:
+                self.met.old = {}
+                self.met = _Met(self, self.met)
+            if len(self.tails) > self.most:
+                self.tails = {k: self.tails[k] for k in ("", "\n")}
+            cut, head = self._cut(t), b""
+            if not self.words and cut[0]:
                 # A byte-level text's first piece has no space before it: letters stand as behind a newline.
-                for c in cut:
-                    heads.append("" if c[0].isalpha() else c[0])
-                    c[0] = "\n" + c[0] if c[0].isalpha() else ""
-            known = self.new.get
-            found = [list(map(known, c)) for c in cut]
-            missing: set[str] = set()
-            for c, ids in zip(cut, found, strict=True):
-                if None in ids:
-                    missing.update([p for p, x in zip(c, ids, strict=True) if x is None])
-            if missing:
-                met = self._learned(missing)
-                found = [[met[p] if x is None else x for p, x in zip(c, ids, strict=True)] if None in ids else ids for c, ids in zip(cut, found, strict=True)]
-            whole = map(b"".join, found)
-            if self.words:
-                out += whole
-            else:
-                first = iter(self.many([h for h in heads if h]))
-                out += [next(first) + x if h else x[4:] if c[0] else x for h, c, x in zip(heads, cut, whole, strict=True)]
+                head = self.met["\n" + cut[0]][4:] if cut[0].isalpha() else self.one(cut[0])
+                cut[0] = ""
+            out.append(head + b"".join(map(self.met.__getitem__, cut)))
         return out
 
 
