@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
 
@@ -40,3 +41,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_spread(rows: DataFrame, by: DataFrame, *keys: str) -> DataFrame:
+    """`rows` joined with `by` (one row a key at most) on keys that aren't null, hot keys cut into parts.
+
+    A key with more than its share of a task's rows is salted, and its row of `by` is copied
+    to each part. There are fewer such keys than four a partition, so they are broadcast.
+    """
+    most = max(1000, rows.count() // (4 * partitions(rows.sparkSession)))
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_parts")).where(F.col("_parts") > most)
+    hot = written(hot.withColumn("_parts", F.ceil(F.col("_parts") / most).cast("int")), "hot-keys")
+    if not hot.take(1):
+        return rows.join(by, list(keys))
+    hot = F.broadcast(hot)
+    left = rows.join(hot, list(keys), "left")
+    rest = [c for c in rows.columns if c not in keys]
+    left = left.withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("_parts")).cast("int")))
+    right = by.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [*keys, "_salt"]).drop("_salt")

@@ -332,20 +332,73 @@ def test_simhash_links(spark, radius, segments, dense):
     assert {i: roots.get(i, i) for i in fp} == brute_groups(fp, radius)
 
 
-def test_similar_texts(spark):
+def brute_shingles(t, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def alike(x, y):
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def brute_similar(sets, least):
+    """The least id of each id's group, linked by a similarity of at least `least`."""
+    ids, up = sorted(sets), {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if alike(sets[a], sets[b]) >= least:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize(("edits", "length"), [(2, 150), (5, 300), (6, 300), (10, 300), (14, 300)])
+def test_similar_texts(spark, edits, length):
     rng = np.random.default_rng(8)
     vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)]
-    texts, found = [], 0
-    for i in range(60):
-        w = [vocab[k] for k in rng.integers(0, 4000, 150)]
-        texts.append((2 * i, " ".join(w)))
-        for k in rng.choice(150, 2, replace=False):
+    texts = {}
+    for i in range(80):
+        w = [vocab[k] for k in rng.integers(0, 4000, length)]
+        texts[2 * i] = " ".join(w)
+        for k in rng.choice(length, edits, replace=False):
             w[k] = vocab[rng.integers(0, 4000)]
-        texts.append((2 * i + 1, " ".join(w)))
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    kept = {r["doc_id"] for r in simhash.dedup(docs).collect()}
-    found = sum(2 * i + 1 not in kept for i in range(60))
-    assert all(2 * i in kept for i in range(60)) and found >= 54
+        texts[2 * i + 1] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    sets = {d: brute_shingles(t, 5) for d, t in texts.items()}
+    near = {2 * i for i in range(80) if alike(sets[2 * i], sets[2 * i + 1]) >= 0.8}
+    linked = {2 * i for i in range(80) if got[2 * i + 1] == 2 * i}
+    assert linked <= near and len(linked) >= 0.95 * len(near)
+    assert all(got[d] == d for d in texts if d % 2 == 0)
+    assert edits > 6 or len(near) > 70
+
+
+def test_similar_texts_in_one_dense_group(spark, monkeypatch):
+    # Edited copies of one text and a text of another kind in the same buckets, block by block.
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)]
+    base, texts = [vocab[k] for k in rng.integers(0, 4000, 200)], {}
+    for i in range(120):
+        w = base[:]
+        for k in rng.choice(200, 3 if i % 10 else 18, replace=False):
+            w[k] = vocab[rng.integers(0, 4000)]
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, dense=8).collect()}
+    assert got == brute_similar({d: brute_shingles(t, 5) for d, t in texts.items()}, 0.8)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=700))
+def test_bit_counts(h):
+    assert simhash.bit_counts(np.array(h, np.uint64)).tolist() == [sum(x >> i & 1 for x in h) for i in range(64)]
 
 
 def test_components_of_a_chain(spark):

@@ -3,16 +3,15 @@
 import sys
 from pathlib import Path
 
-import numpy as np
 import pytest
 
 ROOT = Path(__file__).resolve().parents[2]
 sys.path[:0] = [str(ROOT), str(Path(__file__).resolve().parent)]
 
 import corpus_pipeline as p  # noqa: E402
-from test_methods import brute_lines, library  # noqa: E402
+from test_methods import brute_lines, brute_shingles, brute_similar, library  # noqa: E402
 
-from cloudloom.llm import decontaminate, simhash, toxicity  # noqa: E402
+from cloudloom.llm import decontaminate, toxicity  # noqa: E402
 from cloudloom.llm.shared import written  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -54,25 +53,8 @@ def test_repeated_lines_go(kept):
 
 def test_one_of_each_group_stays(kept):
     before, after = texts(kept[2]), texts(kept[3])
-    how = simhash.SIMILAR
-    fp = {d: simhash.fingerprint(t, how["words"], how["parts"]) for d, t in before.items()}
-    cuts = simhash.plan(64 * how["parts"], how["radius"], how["segments"], how["ball"])
-    up = {d: d for d in fp}
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a in fp:
-        for b in fp:
-            if b < a:
-                x = fp[a] ^ fp[b]
-                near = any((int(x[s // 64]) >> s % 64 & (1 << n) - 1).bit_count() <= ball for s, n, ball in cuts)
-                if near and np.bitwise_count(x).sum() <= how["radius"]:
-                    i, j = root(a), root(b)
-                    up[max(i, j)] = min(i, j)
-    assert set(after) == {d for d in fp if root(d) == d}
+    sets = {d: brute_shingles(t, 5) for d, t in before.items()}
+    assert set(after) == {d for d, root in brute_similar(sets, 0.8).items() if d == root}
 
 
 def test_benchmark_passages_go(spark, kept):
