@@ -1,24 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words are counted over all texts.
-2. A randomised SVD of TF-IDF passages gives a latent space: Spark tasks form their
-   part of A'(A W) for a random W, Spark sums the parts, and a QR of the sum is the
-   basis. A holds the benchmark's items, weighted, and the passages of a bounded
-   sample of texts (`SAMPLE` documents); its columns are the benchmark's words.
-3. Each item is folded into that space. The cosine of a window of a text with an
-   item's latent vector is a sum over the window's words, so one table of word by
-   item weights scores all windows of all whole texts.
-4. A window of at least `COSINE` is compared word for word: the longest common
-   subsequence of the item and the window's surroundings, and whether the item's
-   answer (its last sentence, or the column `answer`) is there too. An edited copy
-   passes by its subsequence alone, a looser paraphrase only with its answer.
-5. A copy's words are common where it stands in many texts, and then its cosine is
-   low. So places are compared too, whatever their cosine, that have as many of an
-   item's rarer words as any place with `EDITED` of its words must have; with `LOOSE`
-   of them, where most of the item's weight lies in common words.
-
-The benchmark is held on every worker in blocks of `BLOCK` items; a larger one
-takes more passes.
+1. Texts are split into words once; a table in the shared folder keeps each text's words as
+   numbers of the benchmark's vocabulary. All later steps read that table alone.
+2. Document frequencies are counted over all texts.
+3. A randomised SVD of the TF-IDF passages of all texts gives a latent space. Each task forms
+   its part of A'(A W) for a random W, Spark sums the parts, and a QR of the sum gives a range Q;
+   a second pass sums Q'A'A Q, whose eigenvectors turn Q to the leading right singular vectors.
+   A's rows are the passages and the benchmark's items (all items together weigh as much as all
+   passages), its columns the benchmark's words.
+4. Windows of all texts and the items are folded into that space, and windows near an item by
+   cosine are candidates.
+5. A copy's words are common where it stands in many texts, and then its cosine is low. So
+   places are candidates too, whatever their cosine, that have as many of an item's rarer words
+   as any place with `EDITED` of its words must have; with `LOOSE` of them, where most of the
+   item's weight lies in common words.
+6. Candidates are compared word for word: the longest common subsequence of the item and the
+   window's surroundings, and whether the item's answer (its last sentence, or the column
+   `answer`) is there too. An edited copy passes by its subsequence alone, a looser paraphrase
+   only with its answer.
+
+The benchmark is held on every worker in blocks whose vectors take at most `BLOCK_BYTES`; a larger
+one takes more passes. Windows are as long as the items, however long these are.
 """
 
 from __future__ import annotations
@@ -26,26 +28,29 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import partitions, written
+
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]+")
-#: The fit: documents whose passages are sampled, words in a passage, rank, weight of the benchmark's rows.
-SAMPLE, PASSAGE, RANK, WEIGHT = 3000, 64, 224, 8.0
-BLOCK = 512
+#: Words of a passage, dimensions of the latent space, and further ones of the range it is taken from.
+PASSAGE, RANK, SPARE = 64, 56, 8
+BLOCK_BYTES = 64 << 20
 COSINE = 0.4
 #: A word with a lower idf is common: one in over a tenth of the texts.
 COMMON = math.log(10)
 #: Least share of an item's words in common order, alone or with its answer; then also of its idf mass and of the answer's words.
 EDITED, LOOSE, MASS, ANSWER = 0.75, 0.5, 0.6, 0.8
-SCALES = [8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024]
-#: Words of a text that are scored together.
-SPAN = 4096
+#: Windows begin at multiples of STEP words. Texts are put together up to SPAN words.
+STEP, SPAN = 4, 16384
 
 
 def words(text: str | None) -> list[str]:
@@ -59,17 +64,15 @@ class Item:
     answer: list[str]
 
 
-def _items(rows: list) -> list[Item]:
-    out = []
-    for r in rows:
-        w = words(r["text"])
-        if w and r["item_id"] is not None:
-            said = r["answer"] if "answer" in r and r["answer"] else [s for s in SENTENCE.split(r["text"]) if words(s)][-1]
-            out.append(Item(r["item_id"], w, words(said)))
-    return out
+def _item(r: dict) -> Item | None:
+    w = words(r["text"])
+    if not w or r["item_id"] is None:
+        return None
+    said = r["answer"] if r.get("answer") else [s for s in SENTENCE.split(r["text"]) if words(s)][-1]
+    return Item(r["item_id"], w, words(said))
 
 
-def lcs(masks: dict[str, int], size: int, other: list[str]) -> int:
+def lcs(masks: dict, size: int, other: list) -> int:
     """Length of the longest common subsequence; masks: the places of each word in the first sequence of `size` words."""
     full = (1 << size) - 1
     row = full
@@ -81,98 +84,207 @@ def lcs(masks: dict[str, int], size: int, other: list[str]) -> int:
     return size - row.bit_count()
 
 
-def places(sequence: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
+def places(sequence: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(sequence):
         out[w] = out.get(w, 0) | 1 << i
     return out
 
 
-def frequencies(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int]:
-    """In how many texts each word of `vocab` stands, and the number of texts. One count a word and task is shuffled."""
+def coded(vocab: list[str]) -> Column:
+    """The column `text` as numbers of its words (binary of 32-bit integers), -1 for words out of the vocabulary."""
     index = {w: i for i, w in enumerate(vocab)}
 
+    @F.pandas_udf("binary")
+    def each(text: pd.Series) -> pd.Series:
+        ids = [np.fromiter(map(index.get, w, repeat(-1)), np.int32, len(w)).tobytes() for w in map(words, text)]
+        return pd.Series(ids, dtype=object)
+
+    return each(F.col("text"))
+
+
+def _numbers(b: pd.Series) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x, np.int32) for x in b)
+
+
+def frequencies(codes: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many texts (`codes`) each word stands, and the number of texts. One count a word and task is shuffled."""
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(len(index) + 1, np.int64)
+        n = np.zeros(size + 1, np.int64)
         for b in batches:
-            for t in b["text"]:
-                n[[index[w] for w in index.keys() & set(words(t))]] += 1
+            for x in _numbers(b["codes"]):
+                n[np.unique(x[x >= 0])] += 1
             n[-1] += len(b)
         at = np.flatnonzero(n)
         yield pd.DataFrame({"i": at, "n": n[at]})
 
-    rows = docs.select("text").mapInPandas(each, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(vocab) + 1, np.int64)
-    out[rows["i"]] = rows["n"]
+    out = np.zeros(size + 1, np.int64)
+    for r in codes.mapInPandas(each, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["i"]] = r["n"]
     return out[:-1], int(out[-1])
 
 
-def basis(docs: DataFrame, items: list[Item], vocab: list[str], idf: np.ndarray, total: int) -> np.ndarray:
-    """Orthonormal columns that span the leading latent directions, by a randomised SVD."""
-    index = {w: i for i, w in enumerate(vocab)}
-    rank = min(RANK, len(vocab))
-    start = np.random.default_rng(11).standard_normal((len(vocab), rank)).astype(np.float32)
-
-    def gram(passages: list[list[str]], omega: np.ndarray) -> np.ndarray:
-        a = np.zeros((len(passages), len(vocab)), np.float32)
-        for row, p in zip(a, passages, strict=True):
-            for w in p:
-                if (i := index.get(w)) is not None:
-                    row[i] += idf[i]
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6)
-        return a.T @ (a @ omega)
+@dataclass
+class Passages:
+    """Rows of A: passage (ascending), word and weight of each entry; each row has unit norm."""
+
+    row: np.ndarray
+    word: np.ndarray
+    x: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray], idf: np.ndarray, length: int | None = PASSAGE) -> Passages:
+        """Of the words' numbers of some texts; with a `length` of None each text is one row."""
+        cut = [t[i : i + length] for t in texts for i in range(0, len(t), length)] if length else texts
+        row, word = np.repeat(np.arange(len(cut)), [len(c) for c in cut]), np.concatenate([np.zeros(0, np.int32), *cut])
+        at, n = np.unique((row * len(idf) + word)[word >= 0], return_counts=True)
+        row, word = at // len(idf), at % len(idf)
+        x = n * idf[word]
+        return cls(row, word, (x / np.sqrt(np.bincount(row, x * x))[row]).astype(np.float32), len(cut))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """A w, for the rows that have entries."""
+        if not len(self.row):
+            return np.zeros((0, w.shape[1]), np.float32)
+        return np.add.reduceat(w[self.word] * self.x[:, None], self._starts(self.row), axis=0)
+
+    def back(self, y: np.ndarray, out: np.ndarray) -> None:
+        """out += A'y."""
+        if not len(self.row):
+            return
+        order = np.argsort(self.word, kind="stable")
+        rank = np.cumsum(np.concatenate([[0], np.diff(self.row) > 0]))
+        starts = self._starts(self.word[order])
+        out[self.word[order][starts]] += np.add.reduceat(y[rank[order]] * self.x[order][:, None], starts, axis=0)
+
+    @staticmethod
+    def _starts(sorted_: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1])
+
+
+def _together(batches: Iterator[pd.DataFrame], most: int = 8 * SPAN) -> Iterator[list[np.ndarray]]:
+    """Texts' numbers, some at a time."""
+    held, n = [], 0
+    for b in batches:
+        for x in _numbers(b["codes"]):
+            for at in range(0, len(x), most):
+                held.append(x[at : at + most])
+                n += len(held[-1])
+                if n >= most:
+                    yield held
+                    held, n = [], 0
+    if held:
+        yield held
 
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(start)
+
+def _summed(codes: DataFrame, rows: int, part) -> np.ndarray:
+    """The sum over all tasks of the matrix (of `rows` rows) that part(matrix or None, texts) adds up, row by row in Spark."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, held = np.zeros((len(index), rank), np.float32), []
+        out = None
+        for texts in _together(batches):
+            out = part(out, texts)
+        if out is not None:
+            at = np.flatnonzero(np.abs(out).sum(1))
+            for k in range(0, len(at), 500):
+                yield pd.DataFrame({"i": at[k : k + 500], "y": list(out[at[k : k + 500]].astype(np.float32))})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict[int, np.ndarray] = {}
         for b in batches:
-            for t in b["text"]:
-                w = words(t)
-                held += [w[i : i + PASSAGE] for i in range(0, len(w), PASSAGE)]
-                while len(held) >= 256:
-                    out += gram(held[:256], sent.value)
-                    held = held[256:]
-        if held:
-            out += gram(held, sent.value)
-        at = np.flatnonzero(np.abs(out).sum(1))
-        if len(at):
-            yield pd.DataFrame({"i": at, "y": [r.astype(np.float64) for r in out[at]]})
-
-    sample = docs.select("text", "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).repartition(8, "doc_id")
-    parts = sample.select("text").mapInPandas(each, "i long, y array<double>")
-
-    def summed(key, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [key[0]], "y": [np.sum(np.stack(g["y"].to_list()), axis=0)]})
-
-    y = WEIGHT**2 * gram([i.words for i in items], start).astype(np.float64)
-    # At most eight rows of each word: one a task of the sample.
-    for r in parts.groupBy("i").applyInPandas(summed, "i long, y array<double>").toLocalIterator():
-        y[r["i"]] += r["y"]
-    return np.linalg.qr(y)[0]
+            for i, y in zip(b["i"].tolist(), b["y"], strict=True):
+                out[i] = out[i] + y if i in out else y.astype(float)
+        if out:
+            yield pd.DataFrame({"i": list(out), "y": list(out.values())})
+
+    n = min(rows, partitions(codes.sparkSession))
+    total = None
+    sums = codes.mapInPandas(each, "i long, y array<float>").repartition(n, "i").mapInPandas(added, "i long, y array<double>")
+    # At most as many rows as the benchmark has words.
+    for r in sums.toLocalIterator():
+        if total is None:
+            total = np.zeros((rows, len(r["y"])))
+        total[r["i"]] = r["y"]
+    return total
+
+
+def basis(codes: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int = RANK, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors (as columns) of all passages and the weighted items, and the singular values."""
+    wide = min(rank + spare, len(idf))
+    start = np.random.default_rng(11).standard_normal((len(idf), wide)).astype(np.float32)
+    own = Passages.of(items, idf, None)
+
+    def range_of(w: np.ndarray):
+        sent = codes.sparkSession.sparkContext.broadcast((w, idf))
+
+        def part(out: np.ndarray | None, texts: list[np.ndarray]) -> np.ndarray:
+            w, idf = sent.value
+            # The last row counts the passages.
+            out = np.zeros((len(idf) + 1, w.shape[1])) if out is None else out
+            p = Passages.of(texts, idf)
+            p.back(p.times(w), out[:-1])
+            out[-1] += p.n
+            return out
+
+        return _summed(codes, len(idf) + 1, part)
+
+    def within(q: np.ndarray):
+        sent = codes.sparkSession.sparkContext.broadcast((q, idf))
+
+        def part(out: np.ndarray | None, texts: list[np.ndarray]) -> np.ndarray:
+            q, idf = sent.value
+            y = Passages.of(texts, idf).times(q)
+            return y.T @ y + (0 if out is None else out)
+
+        return _summed(codes, wide, part)
+
+    y = range_of(start)
+    weight = 1.0 if y is None else max(1.0, y[-1, 0] / max(1, own.n))
+    y = np.zeros((len(idf), wide)) if y is None else y[:-1]
+    mine = np.zeros_like(y)
+    own.back(own.times(start), mine)
+    q = np.linalg.qr(y + weight * mine)[0]
+    inner = within(q.astype(np.float32))
+    z = own.times(q)
+    values, turn = np.linalg.eigh((0 if inner is None else inner) + weight * (z.T @ z))
+    top = np.argsort(-values)[: min(rank, len(values))]
+    return q @ turn[:, top], np.sqrt(np.maximum(values[top], 0))
+
+
+def scale_of(n: int) -> int:
+    """The window for an item of n words: the least of 8, 12, 16, 24, 32, 48 and so on that isn't less."""
+    size = 8
+    while size < n:
+        size = size * 3 // 2 if size & (size - 1) == 0 else size * 4 // 3
+    return size
 
 
 @dataclass
 class Index:
-    """What a task needs to score texts against a block of items."""
+    """What a task needs to find a block of items: sorted by their windows, with words as numbers."""
 
-    vocab: dict[str, int]
-    idf: np.ndarray
-    other: float
-    table: np.ndarray
     items: list[Item]
-    scales: list[tuple[int, np.ndarray]]
+    codes: list[np.ndarray]
+    answers: list[np.ndarray]
+    idf: np.ndarray
+    vectors: np.ndarray
+    latent: np.ndarray
+    scale: np.ndarray
+    #: A word that the benchmark lacks weighs as much as a word of middling frequency.
+    other: float = 0.0
+    masks: dict[int, tuple[dict, dict]] = field(default_factory=dict)
 
     def __post_init__(self):
         """The items that have each word among their rarer ones, one word after the other, and how many of these a copy has."""
-        self.scale = np.zeros(len(self.items), np.int64)
-        for size, which in self.scales:
-            self.scale[which] = size
+        self.other = float(np.median(self.idf))
+        edges = [0, *(np.flatnonzero(np.diff(self.scale)) + 1).tolist(), len(self.scale)]
+        self.scales = [(int(self.scale[a]), a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
         self.need = np.zeros(len(self.items), np.int64)
-        of: list[list[int]] = [[] for _ in self.vocab]
-        for i, item in enumerate(self.items):
-            ids = sorted((self.vocab[w] for w in item.words), key=lambda k: (-self.idf[k], k))
+        of: list[list[int]] = [[] for _ in self.idf]
+        for i, code in enumerate(self.codes):
+            ids = sorted(code.tolist(), key=lambda k: (-self.idf[k], k))
             weights = self.idf[ids]
             share = LOOSE if 2 * weights[weights < COMMON].sum() > weights.sum() else EDITED
             lost = len(ids) - math.ceil(share * len(ids))
@@ -182,56 +294,86 @@ class Index:
             for k in chosen:
                 of[k].append(i)
         self.first = np.cumsum([0] + [len(x) for x in of])
-        self.rarer = np.array([i for x in of for i in x], np.int16)
-
-    def find(self, text: str | None) -> list[tuple[int, float, float, bool]]:
-        """(item_id, cosine, share of the item's words in order, answer found) of each item that the text holds."""
-        w = words(text)
-        best: dict[int, tuple[float, float, bool]] = {}
-        reach = 2 * self.scales[-1][0]
-        for at in range(0, len(w), SPAN):
-            part = w[at : at + SPAN + reach]
-            for i, c, lo, hi in self._windows(part):
-                lo, hi = at + lo, at + hi
-                if (got := self._compare(i, w[max(0, lo) : hi])) and (i not in best or got[0] > best[i][1]):
-                    best[i] = (c, *got)
-        return [(self.items[i].item_id, *x) for i, x in sorted(best.items())]
-
-    def _windows(self, part: list[str]) -> Iterator[tuple[int, float, int, int]]:
-        """(item, cosine, lo, hi): the words around each window that is near an item."""
-        get = self.vocab.get
-        ids = np.array([get(x, -1) for x in part], np.int64)
-        known = ids >= 0
-        squares = np.where(known, self.idf[ids], self.other) ** 2
-        norm = np.concatenate([[0], np.cumsum(squares)])
-        # Sums over the known words only; `before` maps a place in the text to a place among them.
-        before = np.concatenate([[0], np.cumsum(known)])
-        sums = np.zeros((before[-1] + 1, len(self.items)), np.float32)
-        np.cumsum(self.table[ids[known]], axis=0, out=sums[1:])
-        n = len(part)
-        for size, which in self.scales:
-            starts = np.arange(0, max(1, n - size // 2), size // 4)
-            ends = np.minimum(starts + size, n)
-            # A short text's norm counts as if it were half a window, so single words don't stand for an item.
-            length = np.sqrt(np.maximum(norm[ends] - norm[starts], 1e-9))
-            score = (sums[before[ends]] - sums[before[starts]])[:, which] / length[:, None]
-            for k, i in zip(*np.nonzero(score >= COSINE), strict=True):
-                yield int(which[i]), float(score[k, i]), int(starts[k] - size // 2), int(ends[k] + size // 2)
-        for i, lo in self._sharing(ids):
+        self.rarer = np.array([i for x in of for i in x], np.int32)
+
+    def scan(self, texts: list[np.ndarray]) -> list[dict[int, tuple[float, float, bool]]]:
+        """For each text: cosine, share of the item's words in order, and whether the answer is there, of each item it holds."""
+        out: list[dict[int, tuple[float, float, bool]]] = [{} for _ in texts]
+        most = int(self.scale[-1])
+        span, held, n = max(SPAN, 8 * most), [], 0
+        for k, t in enumerate(texts):
+            for at in range(0, max(1, len(t)), span):
+                part = t[at : at + span + 2 * most]
+                held.append((k, at, part))
+                n += len(part)
+                if n >= span:
+                    self._compare_all(held, texts, out)
+                    held, n = [], 0
+        self._compare_all(held, texts, out)
+        return out
+
+    def _compare_all(self, held: list[tuple[int, int, np.ndarray]], texts: list[np.ndarray], out: list) -> None:
+        """Put parts of texts together, with gaps between them as wide as half the longest window, and compare their candidates."""
+        if not held:
+            return
+        gap, at, pieces = int(self.scale[-1]) // 2, [], []
+        n = 0
+        for _, _, part in held:
+            room = -(-(len(part) + gap) // STEP) * STEP
+            at.append(n)
+            pieces += [part, np.full(room - len(part), -2, np.int32)]
+            n += room
+        starts, best = np.array(at), {}
+        for i, c, lo, hi in self._candidates(np.concatenate(pieces)):
+            p = int(np.searchsorted(starts, (lo + hi) // 2, "right")) - 1
+            k, first, _ = held[p]
+            place = (k, i, (first + lo - at[p]) // max(1, int(self.scale[i]) // 2))
+            if place not in best or best[place][0] < c:
+                best[place] = c, first + lo - at[p], first + hi - at[p]
+        for (k, i, _), (c, lo, hi) in best.items():
+            got = self._compare(i, texts[k][max(0, lo) : max(0, hi)].tolist())
+            if got and (i not in out[k] or got[0] > out[k][i][1]):
+                out[k][i] = (c, *got)
+
+    def _candidates(self, ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+        """(item, cosine, lo, hi): the surroundings of each window that is near an item or shares its rarer words."""
+        at = np.flatnonzero(ids >= 0)
+        square = np.where(ids >= 0, self.idf[ids], self.other) ** 2
+        square[ids == -2] = 0
+        chunks = len(ids) // STEP
+        norm = np.concatenate([[0], np.cumsum(square.reshape(chunks, STEP).sum(1))])
+        z = np.zeros((chunks + 1, self.vectors.shape[1]), np.float32)
+        if len(at):
+            chunk = at // STEP
+            first = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1])
+            z[chunk[first] + 1] = np.add.reduceat(self.vectors[ids[at]], first, axis=0)
+        np.cumsum(z, axis=0, out=z)
+        for size, a, b in self.scales:
+            wide = size // STEP
+            begin = np.arange(0, chunks, max(1, min(wide, max(2, wide // 3))))
+            end = np.minimum(begin + wide, chunks)
+            v = z[end] - z[begin]
+            # A window that hardly lies in the latent space, or hardly has words, is near nothing.
+            whole = np.maximum(norm[end] - norm[begin], self.other**2 * size / 2)
+            least = np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v), whole / 4)).astype(np.float32)
+            score = v @ self.latent[a:b].T
+            for k, i in zip(*np.nonzero(score >= COSINE * least[:, None]), strict=True):
+                lo = int(begin[k]) * STEP - size // 2
+                yield a + int(i), float(score[k, i] / least[k]), lo, lo + 2 * size
+        for i, lo in self._sharing(ids, at):
             size = int(self.scale[i])
-            s, e = min(n, lo + size // 2), min(n, lo + size // 2 + size)
-            c = (sums[before[e], i] - sums[before[s], i]) / math.sqrt(max(norm[e] - norm[s], 1e-9))
-            yield i, float(c), lo, lo + 2 * size
+            s, e = min(chunks, (lo + size // 2) // STEP), min(chunks, (lo + size // 2 + size) // STEP)
+            v = z[e] - z[s]
+            yield i, float(v @ self.latent[i] / max(np.linalg.norm(v), math.sqrt(max(norm[e] - norm[s], 1e-9)) / 2)), lo, lo + 2 * size
 
-    def _sharing(self, ids: np.ndarray) -> list[tuple[int, int]]:
+    def _sharing(self, ids: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
         """(item, lo): stretches of two windows that hold every place of one and a half with the share of an item's words."""
-        at = np.flatnonzero(ids >= 0)
         first = self.first[ids[at]]
         count = self.first[ids[at] + 1] - first
         total = int(count.sum())
         item = self.rarer[np.repeat(first - np.cumsum(count) + count, count) + np.arange(total)]
         order = np.argsort(item, kind="stable")
-        item, place = item[order].astype(np.int64), np.repeat(at, count)[order]
+        item, place = item[order], np.repeat(at, count)[order]
         last = np.arange(total) + self.need[item] - 1
         held = last < total
         last = np.where(held, last, 0)
@@ -239,37 +381,51 @@ class Index:
         item, half = item[held], self.scale[item[held]] // 2
         return sorted(set(zip(item.tolist(), (place[held] // half * half).tolist(), strict=True)))
 
-    def _compare(self, i: int, near: list[str]) -> tuple[float, bool] | None:
-        item = self.items[i]
-        there = set(near)
-        held = [x for x in item.words if x in there]
-        if len(held) < LOOSE * len(item.words):
+    def _compare(self, i: int, near: list[int]) -> tuple[float, bool] | None:
+        code, answer, there = self.codes[i], self.answers[i], set(near)
+        held = [k for k in code.tolist() if k in there]
+        if len(held) < LOOSE * len(code):
             return None
-        share = lcs(places(item.words), len(item.words), near) / len(item.words)
-        answer = lcs(places(item.answer), len(item.answer), near) >= ANSWER * len(item.answer)
-        mass = lambda ws: sum(self.idf[self.vocab[x]] for x in ws)
-        if share >= EDITED or share >= LOOSE and answer and mass(held) >= MASS * mass(item.words):
-            return share, answer
+        if i not in self.masks:
+            self.masks[i] = places(code.tolist()), places(answer.tolist())
+        share = lcs(self.masks[i][0], len(code), near) / len(code)
+        said = lcs(self.masks[i][1], len(answer), near) >= ANSWER * len(answer)
+        if share >= EDITED or share >= LOOSE and said and self.idf[held].sum() >= MASS * self.idf[code].sum():
+            return share, said
         return None
 
 
-def index(docs: DataFrame, items: list[Item]) -> Index:
-    vocab = sorted({w for i in items for w in i.words})
-    df, total = frequencies(docs, vocab)
-    idf = np.log((total + 1) / (df + 0.5)).clip(0.01)
+def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
+    """The benchmark's items, as many at a time as keep the vectors of their words within BLOCK_BYTES."""
+    keep = [c for c in ("item_id", "text", "answer") if c in benchmark.columns]
+    held, vocab = [], set()
+    for r in benchmark.select(*keep).where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+        if item := _item(r.asDict()):
+            more = vocab | set(item.words) | set(item.answer)
+            if held and 4 * (RANK + SPARE) * len(more) > BLOCK_BYTES:
+                yield held
+                held, more = [], set(item.words) | set(item.answer)
+            held.append(item)
+            vocab = more
+    if held:
+        yield held
+
+
+def index(docs: DataFrame, items: list[Item]) -> tuple[DataFrame, Index]:
+    """`docs` with the column `codes`, written to the shared folder, and the index of the items."""
+    vocab = sorted({w for i in items for w in (*i.words, *i.answer)})
     place = {w: i for i, w in enumerate(vocab)}
-    q = basis(docs, items, vocab, idf, total)
-    b = np.zeros((len(items), len(vocab)))
-    for row, item in zip(b, items, strict=True):
-        for w in item.words:
-            row[place[w]] += idf[place[w]]
-    latent = (b @ q) @ q.T
+    rows = written(docs.withColumn("codes", coded(vocab)), "word-codes")
+    df, total = frequencies(rows.select("codes"), len(vocab))
+    idf = np.log((total + 1) / (df + 0.5)).clip(0.01)
+    items = sorted(items, key=lambda i: scale_of(len(i.words)))
+    number = lambda ws: np.array([place[w] for w in ws], np.int32)
+    codes = [number(i.words) for i in items]
+    vectors = (basis(rows.select("codes"), codes, idf)[0] * idf[:, None]).astype(np.float32)
+    latent = np.stack([vectors[c].sum(0) for c in codes])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    table = (latent * idf).T.astype(np.float32)
-    of = [next((s for s in SCALES if s >= len(i.words)), SCALES[-1]) for i in items]
-    scales = [(s, np.array([k for k, x in enumerate(of) if x == s])) for s in sorted(set(of))]
-    # A word that the benchmark lacks weighs as much as a word of middling frequency.
-    return Index(place, idf, float(np.median(idf)), np.ascontiguousarray(table), items, scales)
+    scale = np.array([scale_of(len(c)) for c in codes])
+    return rows, Index(items, codes, [number(i.answer) for i in items], idf, vectors, latent, scale)
 
 
 FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean"
@@ -278,36 +434,41 @@ FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_foun
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_found: the documents that hold an item, once each item.
 
-    Null and empty texts and items hold nothing; repeated rows give repeated results;
-    an empty benchmark gives an empty table.
+    Null and empty texts and items hold nothing; repeated rows give repeated results, rows with a
+    null doc_id results with a null doc_id; an empty benchmark gives an empty table.
     """
     spark = docs.sparkSession
-    keep = [c for c in ("item_id", "text", "answer") if c in benchmark.columns]
-    rows = benchmark.select(*keep).where("text IS NOT NULL").orderBy("item_id", "text")
-    out, held = None, []
+    out = spark.createDataFrame([], FOUND)
+    for items in _blocks(benchmark):
+        rows, at = index(docs.select("doc_id", "text"), items)
+        out = out.unionByName(_found(rows, spark.sparkContext.broadcast(at)))
+    return out
 
-    def block(items: list[Item]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index(docs, items))
 
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at = sent.value
-            for b in batches:
-                if found := [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for x in at.find(t)]:
-                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_found"])
+def _holds_none(sent: Broadcast) -> Column:
+    @F.pandas_udf("boolean")
+    def clean(codes: pd.Series) -> pd.Series:
+        return pd.Series([not hits for hits in sent.value.scan(list(_numbers(codes)))], dtype=bool)
 
-        return docs.select("doc_id", "text").mapInPandas(each, FOUND)
+    return clean(F.col("codes"))
 
-    for r in rows.toLocalIterator():
-        held += _items([r.asDict()])
-        if len(held) == BLOCK:
-            part, held = block(held), []
-            out = part if out is None else out.unionByName(part)
-    if held:
-        part = block(held)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], FOUND) if out is None else out
+
+def _found(rows: DataFrame, sent: Broadcast) -> DataFrame:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = sent.value
+        for b in batches:
+            found = zip(b["doc_id"], at.scan(list(_numbers(b["codes"]))), strict=True)
+            if rows := [(d, at.items[i].item_id, *x) for d, hits in found for i, x in sorted(hits.items())]:
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_found"]).astype({"doc_id": "Int64"})
+
+    return rows.select("doc_id", "codes").mapInPandas(each, FOUND)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no item."""
-    return docs.join(find(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of `docs`, with all their columns but one named `codes`, that hold no item, each judged by itself: null and repeated doc_ids too."""
+    keep = [c for c in docs.columns if c != "codes"]
+    out = docs.select(*keep)
+    for items in _blocks(benchmark):
+        rows, at = index(out, items)
+        out = rows.where(_holds_none(docs.sparkSession.sparkContext.broadcast(at))).select(*keep)
+    return out

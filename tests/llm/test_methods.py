@@ -182,6 +182,63 @@ def test_decontamination_of_common_words(spark):
     assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == set(range(1000, 1200))
 
 
+def test_decontamination_of_long_items(spark):
+    rng = np.random.default_rng(6)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(5000)]
+    prose = lambda n: [vocab[k] for k in rng.integers(0, 5000, n)]
+    items = {1: prose(3000), 2: prose(5000), 3: prose(20)}
+    texts = {1: prose(700) + items[1] + prose(40), 2: items[2], 3: prose(20_000) + items[2] + prose(3000), 4: prose(9000), 5: prose(50) + items[3], None: prose(30) + items[3] + prose(10)}
+    docs = spark.createDataFrame([(i, " ".join(t), "x") for i, t in texts.items()] + [(9, None, "x"), (9, "", "x")], "doc_id long, text string, codes string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (5, 3), (None, 3)}
+    kept = decontaminate.drop_leaks(docs, bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 9, 9] and kept.columns == ["doc_id", "text"]
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30_000)
+    rng = np.random.default_rng(7)
+    item = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(20))
+    items = [(i, item()) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontaminate._blocks(bench))) > 2
+    docs = spark.createDataFrame([(i, f"{item()} {t} {item()}") for i, t in items] + [(100, item())], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()} == {(i, i) for i in range(12)}
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()] == [100]
+
+
+def test_latent_space(spark):
+    rng = np.random.default_rng(4)
+    topics = rng.dirichlet(np.full(60, 0.05), 5)
+    texts = [rng.choice(60, 640, p=topics[rng.integers(5)]).astype(np.int32) for _ in range(80)]
+    items = [rng.choice(60, 20, p=topics[k]).astype(np.int32) for k in range(3)]
+    idf = rng.uniform(0.5, 3, 60)
+    codes = spark.createDataFrame([(t.tobytes(),) for t in texts], "codes binary")
+    vectors, values = decontaminate.basis(codes, items, idf, 4, 16)
+    a = np.zeros((0, 60))
+    for ws, weight in [(t[i : i + 64], 1.0) for t in texts for i in range(0, 640, 64)] + [(i, math.sqrt(800 / 3)) for i in items]:
+        row = np.bincount(ws, minlength=60) * idf
+        a = np.vstack([a, weight * row / np.linalg.norm(row)])
+    _, want, right = np.linalg.svd(a)
+    assert values == pytest.approx(want[:4], rel=1e-3)
+    assert np.linalg.svd(right[:4] @ vectors)[1].min() > 0.99
+
+
+def test_paraphrase_by_the_latent_step_alone(spark, monkeypatch):
+    # Without the join on rarer words, windows near an item by cosine still find a copy with a third of its words changed.
+    monkeypatch.setattr(decontaminate.Index, "_sharing", lambda *_: [])
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(4, 8)))
+    vocab = [word() for _ in range(3000)]
+    prose = lambda n: [vocab[k] for k in rng.integers(0, 3000, n)]
+    item = prose(40)
+    loose = [w if i % 3 else word() for i, w in enumerate(item[:32])] + item[32:]
+    docs = spark.createDataFrame([(1, " ".join(prose(100) + loose + prose(150)))] + [(10 + i, " ".join(prose(300))) for i in range(40)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item[:32]) + ". " + " ".join(item[32:]))] + [(20 + i, " ".join(prose(30))) for i in range(30)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()} == {(1, 7)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_lcs(a, b):
