@@ -4,11 +4,14 @@ Both models are bigram models over one vocabulary, all words of all texts, with
 smoothing (Dirichlet towards the unigrams of the same corpus) and the same weight of
 evidence: the background's counts are scaled to the target's number of tokens. A
 document's score is its mean loss a token under the target model less that under the
-background model, so the most target-like documents score lowest.
-
-Words and pairs of next words are counted in tables, which grow with the corpus; only totals
-reach the driver. A text's pairs are joined with the losses of the counted pairs and
-summed a row; pairs that weren't counted are joined with their words.
+background model, so the most target-like documents score lowest. A document's own words
+count in the model of its side, as in the corpus that is to be selected from.
+
+Every word and every pair of next words is counted; what is gathered grows with the corpus.
+Texts are put into chunks of some millions of words. A chunk counts its different words and
+pairs, sends these counts to buckets by their hash (one entry a chunk and pair, however
+often it stands there), and gets back the sums over all chunks in the same order. The chunk
+then adds up the losses of its texts. No model is held anywhere as a whole.
 """
 
 from __future__ import annotations
@@ -17,93 +20,192 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop_path, mixed, new_path, partitions, word_hashes
 
 WORD = re.compile(r"\w+")
 #: Pseudo-counts of the unigrams in each bigram context.
 KAPPA = 20.0
+#: Words of a chunk, and characters of text for a bucket.
+CHUNK, BUCKET = 2_000_000, 16_000_000
+#: The hash of the word before the first.
+OPENING = np.uint64(0)
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def spelled(docs: DataFrame, other: str) -> DataFrame:
-    """The column `other` (name and type), n (words), said (the words, each after a space) of each row."""
-    name = other.split()[0]
+def _packed(x: np.ndarray) -> bytes:
+    """Bytes of equal places side by side, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            w = [words(t) for t in b["text"]]
-            yield pd.DataFrame({name: b[name], "n": [len(x) for x in w], "said": ["".join(" " + y for y in x) for x in w]})
 
-    return docs.select(name, "text").mapInPandas(each, f"{other}, n long, said string")
+def _unpacked(b: bytes, kind: type) -> np.ndarray:
+    plain = np.frombuffer(zstandard.decompress(b), np.uint8)
+    return np.ascontiguousarray(plain.reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
 
 
-def pairs(said: DataFrame, *keep: str) -> DataFrame:
-    """a, b: each word and the word before it, which is empty for the first."""
-    w = said.where("n > 0").select(*keep, F.split("said", " ").alias("w"))
-    return w.selectExpr(*keep, "inline(arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1))) AS (a, b)")
+@dataclass
+class Grams:
+    """The different words and pairs of some texts: 63-bit hashes with the highest bit set for words, bucket by bucket."""
+
+    keys: np.ndarray
+    #: Where each bucket begins.
+    cuts: np.ndarray
+    #: Of each token, the place in `keys` of its pair, of the word before it and of itself.
+    pair: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    opening: int
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, codes: np.ndarray, n: np.ndarray, buckets: int) -> Grams:
+        """Of texts of n words each, given as places in `hashes`."""
+        marked = lambda h, k, bit: (mixed(h, k) >> np.uint64(1)) | np.uint64(bit << 63)
+        plain = np.concatenate([[OPENING], hashes])
+        first = np.cumsum(n) - n
+        b = codes.astype(np.int64) + 1
+        a = np.concatenate([[0], b[:-1]]) if len(b) else b
+        a[first[n > 0]] = 0
+        pairs, inverse = np.unique(marked(mixed(plain[a]) + plain[b], 0, 0), return_inverse=True)
+        keys = np.concatenate([pairs, marked(plain, 1, 1)])
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        of_word = rank[len(pairs) :]
+        return cls(keys[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[inverse], of_word[a], of_word[b], int(of_word[0]))
+
+    def counts(self, weight: np.ndarray, texts: int) -> np.ndarray:
+        """How often each key stands in the texts, given each token's weight (0 or 1) and the number of openings."""
+        n = np.bincount(self.pair, weight, len(self.keys)) + np.bincount(self.word, weight, len(self.keys))
+        n[self.opening] += texts
+        return n.astype(np.int64)
+
+
+TEXTS = "chunk long, bucket int, doc_ids array<long>, n array<int>, x binary, y binary, z binary"
+
+
+def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of two kinds: a chunk's texts (bucket -1: x the words' hashes, y their places) and its counts in a bucket (x keys, y and z counts)."""
+
+    def chunk(number: int, ids: list, roles: list[int], texts: list[list[str]]) -> pd.DataFrame:
+        n = np.array([len(t) for t in texts], np.int64)
+        place: dict[str, int] = {}
+        codes = np.fromiter((place.setdefault(w, len(place)) for t in texts for w in t), np.int32, int(n.sum()))
+        hashes = word_hashes(list(place))
+        g, role = Grams.of(hashes, codes, n, buckets), np.array(roles)
+        t, o = (g.counts(np.repeat(role == k, n).astype(float), int(((role == k) & (n > 0)).sum())) for k in (0, 1))
+        rows = [(number, -1, ids, n.tolist(), _packed(hashes), _packed(codes), b"")]
+        for k, (lo, hi) in enumerate(zip(g.cuts, g.cuts[1:], strict=False)):
+            if lo < hi:
+                rows.append((number, k, None, None, _packed(g.keys[lo:hi] >> np.uint64(16)), _packed(t[lo:hi]), _packed(o[lo:hi])))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "doc_ids", "n", "x", "y", "z"])
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        ids, roles, texts, n = [], [], [], 0
+        for b in batches:
+            for d, r, t in zip(b["doc_id"], b["role"], b["text"], strict=True):
+                ids.append(None if pd.isna(d) else int(d))
+                roles.append(r)
+                texts.append(words(t))
+                n += len(texts[-1])
+                if n >= CHUNK:
+                    yield chunk(number, ids, roles, texts)
+                    number += 1
+                    ids, roles, texts, n = [], [], [], 0
+        if ids:
+            yield chunk(number, ids, roles, texts)
+
+    return docs.select("doc_id", "role", "text").mapInPandas(each, TEXTS)
+
+
+def _sums(key, g: pd.DataFrame) -> pd.DataFrame:
+    """The counts of a bucket's keys over all chunks, for each chunk in its order; and of all its words (chunk null)."""
+    keys = [_unpacked(x, np.uint64) for x in g["x"]]
+    at = np.cumsum([0] + [len(k) for k in keys])
+    names, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(inverse, np.concatenate([_unpacked(x, np.int64) for x in g[c]]), len(names)).astype(np.int64) for c in ("y", "z")]
+    rows = [(int(c), int(key[0]), *(_packed(s[inverse[lo:hi]]) for s in sums), None, None, None) for c, lo, hi in zip(g["chunk"], at, at[1:], strict=False)]
+    own = (names >> np.uint64(47) > 0) & (sums[0] + sums[1] > 0)
+    rows.append((None, int(key[0]), None, None, int(sums[0][own].sum()), int(sums[1][own].sum()), int(own.sum())))
+    out = pd.DataFrame(rows, columns=["chunk", "bucket", "y", "z", "t", "g", "words"])
+    return out.astype({"chunk": "Int64", "t": "Int64", "g": "Int64", "words": "Int64"})
+
+
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _losses(buckets: int, t: int, g: int, size: int):
+    """Scores of a chunk's texts from the counts of its keys; t, g: tokens and openings of both models; size: words of the vocabulary."""
+
+    def each(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        counts = counts.sort_values("bucket")
+        out = [texts.iloc[:0].assign(doc_id=[], n_tokens=[], target_loss=[], background_loss=[], score=[])[SCORED]]
+        for r in texts.itertuples():
+            n = np.array(r.n, np.int64)
+            grams = Grams.of(_unpacked(r.x, np.uint64), _unpacked(r.y, np.int32), n, buckets)
+            text, means = np.repeat(np.arange(len(n)), n), []
+            for column, scale, total in (("y", 1.0, t), ("z", t / max(1, g), g)):
+                c = scale * np.concatenate([_unpacked(x, np.int64) for x in counts[column]])
+                p = (c[grams.word] + 1) / (scale * total + size)
+                loss = -np.log((c[grams.pair] + KAPPA * p) / (c[grams.before] + KAPPA))
+                sums = np.bincount(text, loss, len(n))
+                means.append(np.divide(sums, n, out=np.full(len(n), np.nan), where=n > 0))
+            mean = lambda x: pd.Series(x, dtype=object).where(n > 0, None)
+            ids = pd.array([None if pd.isna(d) else int(d) for d in r.doc_ids], "Int64")
+            out.append(pd.DataFrame({"doc_id": ids, "n_tokens": n, "target_loss": mean(means[0]), "background_loss": mean(means[1]), "score": mean(means[0] - means[1])}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    return each
+
+
+SCORED = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+
+
+def _with_roles(docs: DataFrame, target_ids: DataFrame, others: DataFrame | None) -> DataFrame:
+    """doc_id, text, role: 0 for the target, 1 for the background, 2 for texts that are only scored.
+
+    The target's ids grow with the corpus, so they are merged with it; rows with a null doc_id aren't, as they'd meet in one task.
+    """
+    flags = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("role", F.lit(0))
+    rows = docs.select("doc_id", "text")
+    named = rows.where("doc_id IS NOT NULL").join(flags, "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(1)).alias("role"))
+    out = named.unionByName(rows.where("doc_id IS NULL").withColumn("role", F.lit(1)))
+    return out if others is None else out.unionByName(others.select("doc_id", "text", F.lit(2).alias("role")))
 
-@dataclass
-class Models:
-    """Counts of the target (t) and of the background (g): a, b, t, g and w, t, g; the opening is the empty word."""
-
-    grams: DataFrame
-    words: DataFrame
-    #: Tokens and openings of both, and the different words, an opening and an unknown one.
-    t: int
-    g: int
-    size: int
-
-    def loss(self, k: str) -> Column:
-        """Of a row with the pair's counts (t or g), its first word's (at or ag) and its second's (bt or bg)."""
-        scale = 1.0 if k == "t" else self.t / max(1, self.g)
-        count = lambda c: F.coalesce(F.col(c), F.lit(0)) * F.lit(scale)
-        total = scale * (self.t if k == "t" else self.g)
-        p1 = (count("b" + k) + 1) / F.lit(total + self.size)
-        return -F.log((count(k) + KAPPA * p1) / (count("a" + k) + KAPPA))
-
-    def losses(self, of: DataFrame, *keep: str) -> DataFrame:
-        """lt, lg of each row a, b, t, g."""
-        side = lambda x: self.words.select(F.col("w").alias(x), F.col("t").alias(x + "t"), F.col("g").alias(x + "g"))
-        return of.join(side("a"), "a", "left").join(side("b"), "b", "left").select(*keep, self.loss("t").alias("lt"), self.loss("g").alias("lg"))
-
-
-def train(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """Models of the documents whose doc_id is in `target_ids`, and of all others."""
-    flags = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(1))
-    # The target's ids grow with the corpus, so they are merged with it, never broadcast.
-    marked = docs.select("doc_id", "text").join(flags.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
-    each = pairs(spelled(marked, "target int"), "target")
-    grams = written(each.groupBy("a", "b").agg(F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("g")), "bigrams")
-    sums = F.sum("t").alias("t"), F.sum("g").alias("g")
-    opening = grams.where("a = ''").groupBy(F.col("a").alias("w")).agg(*sums)
-    counts = written(grams.groupBy(F.col("b").alias("w")).agg(*sums).unionByName(opening), "unigrams")
-    r = counts.agg(F.sum("t"), F.sum("g"), F.count(F.when(F.col("w") != "", 1))).first()
-    return Models(grams, counts, r[0] or 0, r[1] or 0, r[2] + 2)
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
+
+def score(docs: DataFrame, target_ids: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (their difference; all a token) of each row.
 
+    The target are the rows whose doc_id is in `target_ids` (doc_id), the background all other rows, those with a
+    null doc_id too; rows of `others` (doc_id, text) are scored without being counted. Repeated rows count each time.
     A text without words (null and empty ones too) has 0 tokens and null losses and score.
-    Without target documents both models are the uniform one over unigrams and scores are 0.
+    Without target documents both models are uniform and scores are 0. An empty table gives an empty one.
     """
-    # Row numbers differ from run to run, so they are written before they are joined.
-    said = written(spelled(docs, "doc_id long").withColumn("row", F.monotonically_increasing_id()), "spelled")
-    known = models.losses(models.grams, "a", "b")
-    met = pairs(said, "row").join(known, ["a", "b"], "left")
-    new = F.collect_list(F.when(F.col("lt").isNull(), F.struct("a", "b"))).alias("new")
-    sums = written(met.groupBy("row").agg(F.sum("lt").alias("lt"), F.sum("lg").alias("lg"), new), "losses")
-    unseen = sums.select("row", F.inline("new")).withColumns({"t": F.lit(0), "g": F.lit(0)})
-    more = models.losses(unseen, "row").groupBy("row").agg(F.sum("lt").alias("mt"), F.sum("lg").alias("mg"))
-    at = said.select("row", "doc_id", "n").join(sums.drop("new"), "row", "left").join(more, "row", "left")
-    mean = lambda x, y: F.when(F.col("n") > 0, (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))) / F.col("n"))
-    out = at.select("doc_id", F.col("n").alias("n_tokens"), mean("lt", "mt").alias("target_loss"), mean("lg", "mg").alias("background_loss"))
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    spark = docs.sparkSession
+    rows = _with_roles(docs, target_ids, others)
+    size = docs.select(F.length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
+    # So many that a bucket's keys fit in a task.
+    buckets = max(partitions(spark), min(1 << 17, -(-size // BUCKET)))
+    path = new_path(spark, "grams")
+    kinds = _chunks(rows, buckets).withColumn("kind", F.when(F.col("bucket") < 0, "texts").otherwise("counts"))
+    kinds.write.option("compression", "none").partitionBy("kind").parquet(path)
+    read = lambda kind: spark.read.schema(TEXTS + ", kind string").parquet(path).where(F.col("kind") == kind)
+    each = "chunk long, bucket int, y binary, z binary, t long, g long, words long"
+    sums_at = new_path(spark, "gram-sums")
+    read("counts").groupBy("bucket").applyInPandas(_sums, each).write.option("compression", "none").parquet(sums_at)
+    drop_path(spark, f"{path}/kind=counts")
+    sums = spark.read.schema(each).parquet(sums_at)
+    r = sums.where("chunk IS NULL").agg(F.sum("t"), F.sum("g"), F.sum("words")).first()
+    back = sums.where("chunk IS NOT NULL").select("chunk", "bucket", "y", "z")
+    texts = read("texts").select("chunk", "doc_ids", "n", "x", "y")
+    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(_losses(buckets, r[0] or 0, r[1] or 0, (r[2] or 0) + 1), SCORES)

@@ -34,7 +34,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as of high quality."""
     docs = _read(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs, _read(spark, sf_dir, "labels").where(F.col("quality") == 1)))
+    return lm_score.score(docs, _read(spark, sf_dir, "labels").where(F.col("quality") == 1))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

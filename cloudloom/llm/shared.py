@@ -5,12 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
 
 
+def mixed(h: np.ndarray, k: int = 0) -> np.ndarray:
+    """Hashes of 64-bit numbers, others for each k."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class _Words(dict):
+    """Hashes of the words met lately."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[w] = h = xxhash.xxh64_intdigest(w)
+        return h
+
+
+_MET = _Words()
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(_MET.__getitem__, words), np.uint64, len(words))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, or one local folder where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

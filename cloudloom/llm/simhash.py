@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_path, join_spread, new_path, written
+from .shared import drop_path, join_spread, mixed, new_path, word_hashes, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = {ord(c): c.lower() for c in UPPER}
@@ -67,33 +67,12 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
 
 
-def mixed(h: np.ndarray, k: int = 0) -> np.ndarray:
-    """Hashes of the numbers, others for each k."""
-    h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class _Words(dict):
-    """Hashes of the words met lately."""
-
-    def __missing__(self, w: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[w] = h = xxhash.xxh64_intdigest(w)
-        return h
-
-
-_MET = _Words()
-
-
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The different hashes of the text's shingles, ascending; a text of fewer words is one shingle, one without words none."""
     w = words_of(text)
     if not w:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_MET.__getitem__, w), np.uint64, len(w))
+    h = word_hashes(w)
     n, size = (len(w) - words + 1, words) if len(w) >= words else (1, len(w))
     out = h[:n]
     for k in range(1, size):

@@ -260,8 +260,7 @@ def test_lm_losses(spark):
     texts = {i: " ".join(["red green blue"] * 5 if i % 3 else ["one two three four"] * 4) for i in range(30)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     target = docs.where("doc_id % 3 <> 0")
-    models = lm_score.train(docs, target)
-    got = {r["doc_id"]: r for r in lm_score.score(docs, models).collect()}
+    got = {r["doc_id"]: r for r in lm_score.score(docs, target).collect()}
     assert got[1]["score"] < 0 < got[0]["score"]
     # The same by dictionaries of counts.
     uni, big = [Counter(), Counter()], [Counter(), Counter()]
@@ -283,14 +282,15 @@ def test_lm_losses(spark):
         assert got[i]["target_loss"] == pytest.approx(loss[0]) and got[i]["background_loss"] == pytest.approx(loss[1])
 
 
-def test_lm_counts_every_word(spark):
+@pytest.mark.parametrize("chunk", [2_000, 2_000_000])
+def test_lm_counts_every_word(spark, monkeypatch, chunk):
     # More words than 2 ** 16; the second half of the texts, which no model has met, mixes counted and new words.
     rng = np.random.default_rng(2)
     texts = {i: " ".join(f"w{k}" for k in np.concatenate([np.arange(i * 900, i * 900 + 900), rng.zipf(1.5, 300) % 900])) for i in range(80)}
     fresh = {100 + i: f"{texts[i][:300]} new{i} w5 {texts[i + 1][-200:]}" for i in range(4)}
     frame = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string")
-    models = lm_score.train(frame(texts), frame(texts).where("doc_id % 2 = 0"))
-    got = {r["doc_id"]: r for r in lm_score.score(frame(texts | fresh), models).collect()}
+    monkeypatch.setattr(lm_score, "CHUNK", chunk)
+    got = {r["doc_id"]: r for r in lm_score.score(frame(texts), frame(texts).where("doc_id % 2 = 0"), frame(fresh)).collect()}
     uni, big = [Counter(), Counter()], [Counter(), Counter()]
     for i, t in texts.items():
         w = ["", *t.split()]
