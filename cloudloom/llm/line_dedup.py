@@ -11,8 +11,8 @@ compactions shuffle a run.
 Rules: a text is split at newlines, and a null or empty text is one empty line.
 The key is the line without ASCII white space at both ends, A-Z in lower case.
 A key of `min_chars` code points or more that `min_docs` documents hold loses all
-its lines but those of the largest doc_id that holds it. A repeated row counts as
-a further document; a null doc_id counts as the smallest.
+its lines but those of the largest doc_id that holds it. Rows with equal doc_ids are
+one document; null doc_ids are one too, the smallest.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_path, partitions, written
+from .shared import join_spread, partitions, written
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -95,6 +95,11 @@ class LineRuns:
             out = self._merged(self.spark.table(r), out)
         return out
 
+    def drop(self) -> None:
+        for r in self.runs():
+            self.spark.sql(f"DROP TABLE {r}")
+        self.levels = [[]]
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -135,18 +140,25 @@ def dropped_lines(hashes: DataFrame, min_docs: int, batches: int, fanout: int) -
     """did, th, drop: numbers of the lines to drop, for the documents that lose some."""
     spark = hashes.sparkSession
     runs, above = LineRuns(spark, fanout), None
+    # Rows with one doc_id count a key once.
+    twice = written(hashes.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").select("did"), "line-repeats")
+    some = bool(twice.take(1))
     for low in _batches(hashes, batches):
         part = hashes.where(F.col("did") >= low)
         if above is not None:
             part = part.where(F.col("did") < above)
         each = F.explode(F.coalesce("u", F.filter("h", lambda x: x.isNotNull()))).alias("k")
-        stats = part.select("did", each).groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
+        keys = part.select("did", each)
+        if some:
+            keys = part.join(twice, "did", "left_anti").select("did", each).unionByName(part.join(twice, "did", "left_semi").select("did", each).distinct())
+        stats = keys.groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
         runs.add(stats.agg(F.count("*").alias("n_docs"), F.max("did").alias("keeper")))
         above = low
-    often = runs.all().where(F.col("n_docs") >= min_docs).select(*HASH, "keeper")
+    often = written(runs.all().where(F.col("n_docs") >= min_docs), "line-often")
+    runs.drop()
     lines = hashes.select("did", "th", F.posexplode("h").alias("i", "k")).where("k IS NOT NULL")
     lines = lines.select("did", "th", "i", "k.h1", "k.h2")
-    hit = lines.join(often, HASH).where("did <> keeper")
+    hit = join_spread(lines, often.select(*HASH, "keeper"), *HASH, sizes=often.select(*HASH, F.col("n_docs").alias("n"))).where("did <> keeper")
     return hit.groupBy("did", "th").agg(F.collect_list("i").alias("drop"))
 
 

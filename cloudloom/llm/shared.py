@@ -40,10 +40,12 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one local folder where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a local one for a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return _FALLBACK[0]
@@ -71,20 +73,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_spread(rows: DataFrame, by: DataFrame, *keys: str) -> DataFrame:
-    """`rows` joined with `by` (one row a key at most) on keys that aren't null, hot keys cut into parts.
+def join_spread(rows: DataFrame, by: DataFrame, *keys: str, sizes: DataFrame | None = None) -> DataFrame:
+    """`rows` (with further columns) joined with `by` (one row a key at most) on keys that aren't null, hot keys cut into parts.
 
     A key with more than its share of a task's rows is salted, and its row of `by` is copied
     to each part. There are fewer such keys than four a partition, so they are broadcast.
+    `sizes` (keys, n) spares counting the rows of each key.
     """
-    most = max(1000, rows.count() // (4 * partitions(rows.sparkSession)))
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("_parts")).where(F.col("_parts") > most)
-    hot = written(hot.withColumn("_parts", F.ceil(F.col("_parts") / most).cast("int")), "hot-keys")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")) if sizes is None else sizes
+    sizes = written(sizes, "key-sizes")
+    most = max(1000, (sizes.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(rows.sparkSession)))
+    hot = sizes.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_parts"))
     if not hot.take(1):
         return rows.join(by, list(keys))
     hot = F.broadcast(hot)
-    left = rows.join(hot, list(keys), "left")
     rest = [c for c in rows.columns if c not in keys]
+    left = rows.join(hot, list(keys), "left")
     left = left.withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("_parts")).cast("int")))
     right = by.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
     return left.drop("_parts").join(right.drop("_parts"), [*keys, "_salt"]).drop("_salt")

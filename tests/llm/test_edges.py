@@ -114,3 +114,44 @@ def test_chat(spark):
     assert sum(r["n_lines"] for r in got) == 9
     assert all(r["rendered"].startswith("<|") and r["rendered"].endswith("<|end|>") for r in got)
     assert chat.parse(c.limit(0)).count() == 0
+
+
+def duck(docs, sql):
+    import duckdb
+
+    documents = docs.toPandas()  # noqa: F841  read by the SQL
+    return {tuple(r) for r in duckdb.sql(sql).fetchall()}
+
+
+def test_lines_of_repeated_rows(spark):
+    line = "a line that is long enough to count"
+    runs = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")}
+    before = runs()
+    for rows in ([(1, line), (2, line), (2, line)], [(1, line), (2, line + "\nmore of the second text"), (2, line), (3, line)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {(r["doc_id"], r["n_dropped"]) for r in line_dedup.digest(docs).collect()}
+        assert got == {(d, 0 if d == max(d for d, _ in rows) or len(rows) == 3 else 1) for d, _ in rows}
+    docs = spark.createDataFrame([(i, f"{line}\n{i % 3} is a line of some of them, long too") for i in range(12)], "doc_id long, text string")
+    assert {tuple(r) for r in line_dedup.digest(docs).collect()} == duck(docs, line_dedup.SQL)
+    assert runs() == before
+
+
+def test_hot_lines(spark):
+    rows = [(i, "the line that nearly all documents have" + (f"\nand this line of group {i % 40} of them" if i % 2 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in line_dedup.digest(docs).collect()} == duck(docs, line_dedup.SQL)
+
+
+def test_licenses_of_odd_rows(spark):
+    words = "many other words of this text " * 8
+    rows = [
+        (None, "/a/x", "Released under the MIT license"), (1, "/b/LICENSE", f"Released under the MIT license\n{words}"), (1, "/b/LICENSE", f"Released under the MIT license\n{words}"),
+        (2, "/b/y", words), (3, "/c/z", f"{words}. Licensed under CC BY-NC 4.0. {words}"), (4, "/c/v", "Licensed under the\nApache License,\nVersion 2.0."),
+        (5, "/d/u", "Copyright 2020 A. B.\nAll rights reserved.\nReleased under the MIT License."), (6, "/e/t", "All rights reserved."), (7, "/c/s", words), (8, None, words),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = [(r["doc_id"], r["license"], r["origin"]) for r in licenses.scan(docs, F.col("path")).collect()]
+    assert sorted(got, key=str) == sorted([
+        (None, "MIT", "own"), (1, "MIT", "own"), (1, "MIT", "own"), (2, None, None), (3, "CC-BY-NC-4.0", "own"), (4, "Apache-2.0", "own"),
+        (5, "MIT", "own"), (6, "Proprietary", "own"), (7, "Apache-2.0", "inherited"), (8, None, None),
+    ], key=str)

@@ -495,8 +495,8 @@ def test_license_scores(spark):
     idf, other = licenses.weights(docs)
     vec = lambda ws: Counter(ws)
     weigh = lambda c: {w: n * idf.get(w, other) for w, n in c.items()}
-    for r in licenses.lines(docs).collect():
-        ws = [w for w in re.split(r"[^\w]+", rows[r["doc_id"] - 1][2].split("\n")[r["line"]].lower()) if w]
+    for r in licenses.lines(docs.withColumnRenamed("doc_id", "key")).where("lines = 1").collect():
+        ws = [w for w in re.split(r"[^\w]+", rows[r["key"] - 1][2].split("\n")[r["line"]].lower()) if w]
         a = weigh(vec(ws))
         best = max(
             sum(a.get(w, 0) * x for w, x in b.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
