@@ -4,9 +4,8 @@
    numbers of the benchmark's vocabulary. All later steps read that table alone.
 2. Document frequencies are counted over all texts.
 3. A randomised SVD of the TF-IDF passages of all texts gives a latent space. Each task forms
-   its part of A'(A W) for a random W, Spark sums the parts, and a QR of the sum gives a range Q;
-   a second pass sums Q'A'A Q, whose eigenvectors turn Q to the leading right singular vectors.
-   A's rows are the passages and the benchmark's items (all items together weigh as much as all
+   its part of Y = A'(A W) for a random orthonormal W, and Spark sums the parts. The singular vectors
+   and values follow from Y (W'Y)^-1 Y', which is as good as A'A where that is large. A's rows are the passages and the benchmark's items (all items together weigh as much as all
    passages), its columns the benchmark's words.
 4. Windows of all texts and the items are folded into that space, and windows near an item by
    cosine are candidates.
@@ -37,12 +36,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import lower_words, partitions, written
 
-WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]+")
 #: Words of a passage, dimensions of the latent space, and further ones of the range it is taken from.
-PASSAGE, RANK, SPARE = 64, 56, 8
+PASSAGE, RANK, SPARE = 64, 48, 8
 BLOCK_BYTES = 64 << 20
 COSINE = 0.4
 #: A word with a lower idf is common: one in over a tenth of the texts.
@@ -53,23 +51,19 @@ EDITED, LOOSE, MASS, ANSWER = 0.75, 0.5, 0.6, 0.8
 STEP, SPAN = 4, 16384
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
 @dataclass
 class Item:
     item_id: int
-    words: list[str]
-    answer: list[str]
+    words: list[bytes]
+    answer: list[bytes]
 
 
 def _item(r: dict) -> Item | None:
-    w = words(r["text"])
+    w = lower_words(r["text"])
     if not w or r["item_id"] is None:
         return None
-    said = r["answer"] if r.get("answer") else [s for s in SENTENCE.split(r["text"]) if words(s)][-1]
-    return Item(r["item_id"], w, words(said))
+    said = r["answer"] if r.get("answer") else [s for s in SENTENCE.split(r["text"]) if lower_words(s)][-1]
+    return Item(r["item_id"], w, lower_words(said))
 
 
 def lcs(masks: dict, size: int, other: list) -> int:
@@ -91,20 +85,25 @@ def places(sequence: list) -> dict:
     return out
 
 
-def coded(vocab: list[str]) -> Column:
-    """The column `text` as numbers of its words (binary of 32-bit integers), -1 for words out of the vocabulary."""
-    index = {w: i for i, w in enumerate(vocab)}
+def kind(size: int) -> np.dtype:
+    """What numbers of so many words are kept as."""
+    return np.dtype(np.int16 if size < 1 << 15 else np.int32)
+
+
+def coded(vocab: list[bytes]) -> Column:
+    """The column `text` as numbers of its words (binary of integers of this `kind`), -1 for words out of the vocabulary."""
+    index, small = {w: i for i, w in enumerate(vocab)}, kind(len(vocab))
 
     @F.pandas_udf("binary")
     def each(text: pd.Series) -> pd.Series:
-        ids = [np.fromiter(map(index.get, w, repeat(-1)), np.int32, len(w)).tobytes() for w in map(words, text)]
+        ids = [np.fromiter(map(index.get, w, repeat(-1)), small, len(w)).tobytes() for w in map(lower_words, text)]
         return pd.Series(ids, dtype=object)
 
     return each(F.col("text"))
 
 
-def _numbers(b: pd.Series) -> Iterator[np.ndarray]:
-    return (np.frombuffer(x, np.int32) for x in b)
+def _numbers(b: pd.Series, size: int) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x, kind(size)).astype(np.int32) for x in b)
 
 
 def frequencies(codes: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -113,7 +112,7 @@ def frequencies(codes: DataFrame, size: int) -> tuple[np.ndarray, int]:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(size + 1, np.int64)
         for b in batches:
-            for x in _numbers(b["codes"]):
+            for x in _numbers(b["codes"], size):
                 n[np.unique(x[x >= 0])] += 1
             n[-1] += len(b)
         at = np.flatnonzero(n)
@@ -164,11 +163,11 @@ class Passages:
         return np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1])
 
 
-def _together(batches: Iterator[pd.DataFrame], most: int = 8 * SPAN) -> Iterator[list[np.ndarray]]:
+def _together(batches: Iterator[pd.DataFrame], size: int, most: int = 8 * SPAN) -> Iterator[list[np.ndarray]]:
     """Texts' numbers, some at a time."""
     held, n = [], 0
     for b in batches:
-        for x in _numbers(b["codes"]):
+        for x in _numbers(b["codes"], size):
             for at in range(0, len(x), most):
                 held.append(x[at : at + most])
                 n += len(held[-1])
@@ -179,12 +178,12 @@ def _together(batches: Iterator[pd.DataFrame], most: int = 8 * SPAN) -> Iterator
         yield held
 
 
-def _summed(codes: DataFrame, rows: int, part) -> np.ndarray:
+def _summed(codes: DataFrame, size: int, rows: int, part) -> np.ndarray:
     """The sum over all tasks of the matrix (of `rows` rows) that part(matrix or None, texts) adds up, row by row in Spark."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = None
-        for texts in _together(batches):
+        for texts in _together(batches, size):
             out = part(out, texts)
         if out is not None:
             at = np.flatnonzero(np.abs(out).sum(1))
@@ -213,44 +212,33 @@ def _summed(codes: DataFrame, rows: int, part) -> np.ndarray:
 def basis(codes: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int = RANK, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
     """The leading right singular vectors (as columns) of all passages and the weighted items, and the singular values."""
     wide = min(rank + spare, len(idf))
-    start = np.random.default_rng(11).standard_normal((len(idf), wide)).astype(np.float32)
+    start = np.linalg.qr(np.random.default_rng(11).standard_normal((len(idf), wide)))[0]
     own = Passages.of(items, idf, None)
+    sent = codes.sparkSession.sparkContext.broadcast((start.astype(np.float32), idf))
+
+    def part(out: np.ndarray | None, texts: list[np.ndarray]) -> np.ndarray:
+        w, idf = sent.value
+        # The last row counts the passages.
+        out = np.zeros((len(idf) + 1, w.shape[1])) if out is None else out
+        p = Passages.of(texts, idf)
+        p.back(p.times(w), out[:-1])
+        out[-1] += p.n
+        return out
 
-    def range_of(w: np.ndarray):
-        sent = codes.sparkSession.sparkContext.broadcast((w, idf))
-
-        def part(out: np.ndarray | None, texts: list[np.ndarray]) -> np.ndarray:
-            w, idf = sent.value
-            # The last row counts the passages.
-            out = np.zeros((len(idf) + 1, w.shape[1])) if out is None else out
-            p = Passages.of(texts, idf)
-            p.back(p.times(w), out[:-1])
-            out[-1] += p.n
-            return out
-
-        return _summed(codes, len(idf) + 1, part)
-
-    def within(q: np.ndarray):
-        sent = codes.sparkSession.sparkContext.broadcast((q, idf))
-
-        def part(out: np.ndarray | None, texts: list[np.ndarray]) -> np.ndarray:
-            q, idf = sent.value
-            y = Passages.of(texts, idf).times(q)
-            return y.T @ y + (0 if out is None else out)
-
-        return _summed(codes, wide, part)
-
-    y = range_of(start)
+    y = _summed(codes, len(idf), len(idf) + 1, part)
     weight = 1.0 if y is None else max(1.0, y[-1, 0] / max(1, own.n))
     y = np.zeros((len(idf), wide)) if y is None else y[:-1]
     mine = np.zeros_like(y)
-    own.back(own.times(start), mine)
-    q = np.linalg.qr(y + weight * mine)[0]
-    inner = within(q.astype(np.float32))
-    z = own.times(q)
-    values, turn = np.linalg.eigh((0 if inner is None else inner) + weight * (z.T @ z))
-    top = np.argsort(-values)[: min(rank, len(values))]
-    return q @ turn[:, top], np.sqrt(np.maximum(values[top], 0))
+    own.back(own.times(start.astype(np.float32)), mine)
+    y += weight * mine
+    # A small multiple of W keeps the inverse stable, and is taken off the eigenvalues again.
+    small = 1e-6 * np.linalg.norm(y)
+    y += small * start
+    inner = start.T @ y
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    half = turn / np.sqrt(np.maximum(values, small / 10))
+    left, sigma, _ = np.linalg.svd(y @ half, full_matrices=False)
+    return left[:, :rank], np.sqrt(np.maximum(sigma[:rank] ** 2 - small, 0))
 
 
 def scale_of(n: int) -> int:
@@ -296,8 +284,9 @@ class Index:
         self.first = np.cumsum([0] + [len(x) for x in of])
         self.rarer = np.array([i for x in of for i in x], np.int32)
 
-    def scan(self, texts: list[np.ndarray]) -> list[dict[int, tuple[float, float, bool]]]:
+    def scan(self, codes: pd.Series) -> list[dict[int, tuple[float, float, bool]]]:
         """For each text: cosine, share of the item's words in order, and whether the answer is there, of each item it holds."""
+        texts = list(_numbers(codes, len(self.idf)))
         out: list[dict[int, tuple[float, float, bool]]] = [{} for _ in texts]
         most = int(self.scale[-1])
         span, held, n = max(SPAN, 8 * most), [], 0
@@ -323,20 +312,23 @@ class Index:
             at.append(n)
             pieces += [part, np.full(room - len(part), -2, np.int32)]
             n += room
-        starts, best = np.array(at), {}
-        for i, c, lo, hi in self._candidates(np.concatenate(pieces)):
-            p = int(np.searchsorted(starts, (lo + hi) // 2, "right")) - 1
-            k, first, _ = held[p]
-            place = (k, i, (first + lo - at[p]) // max(1, int(self.scale[i]) // 2))
-            if place not in best or best[place][0] < c:
-                best[place] = c, first + lo - at[p], first + hi - at[p]
-        for (k, i, _), (c, lo, hi) in best.items():
-            got = self._compare(i, texts[k][max(0, lo) : max(0, hi)].tolist())
+        at, first = np.array(at), np.array([x for _, x, _ in held])
+        item, cosine, lo = self._candidates(np.concatenate(pieces))
+        size = self.scale[item]
+        p = np.searchsorted(at, lo + size, "right") - 1
+        lo = lo - at[p] + first[p]
+        # Of the windows of a place, which overlap by half or more, the nearest one.
+        order = np.lexsort((-cosine, 2 * lo // size, item, p))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([np.diff(x[order]) != 0 for x in (p, item, 2 * lo // size)], axis=0)
+        for j in order[new].tolist():
+            k, i = held[p[j]][0], int(item[j])
+            got = self._compare(i, texts[k][max(0, int(lo[j])) : max(0, int(lo[j]) + 2 * int(size[j]))].tolist())
             if got and (i not in out[k] or got[0] > out[k][i][1]):
-                out[k][i] = (c, *got)
+                out[k][i] = (float(cosine[j]), *got)
 
-    def _candidates(self, ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
-        """(item, cosine, lo, hi): the surroundings of each window that is near an item or shares its rarer words."""
+    def _candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """item, cosine, lo: windows that are near an item or share its rarer words, and where their surroundings, twice as long, begin."""
         at = np.flatnonzero(ids >= 0)
         square = np.where(ids >= 0, self.idf[ids], self.other) ** 2
         square[ids == -2] = 0
@@ -348,6 +340,7 @@ class Index:
             first = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1])
             z[chunk[first] + 1] = np.add.reduceat(self.vectors[ids[at]], first, axis=0)
         np.cumsum(z, axis=0, out=z)
+        items, cosines, los = [], [], []
         for size, a, b in self.scales:
             wide = size // STEP
             begin = np.arange(0, chunks, max(1, min(wide, max(2, wide // 3))))
@@ -357,17 +350,23 @@ class Index:
             whole = np.maximum(norm[end] - norm[begin], self.other**2 * size / 2)
             least = np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v), whole / 4)).astype(np.float32)
             score = v @ self.latent[a:b].T
-            for k, i in zip(*np.nonzero(score >= COSINE * least[:, None]), strict=True):
-                lo = int(begin[k]) * STEP - size // 2
-                yield a + int(i), float(score[k, i] / least[k]), lo, lo + 2 * size
-        for i, lo in self._sharing(ids, at):
-            size = int(self.scale[i])
-            s, e = min(chunks, (lo + size // 2) // STEP), min(chunks, (lo + size // 2 + size) // STEP)
-            v = z[e] - z[s]
-            yield i, float(v @ self.latent[i] / max(np.linalg.norm(v), math.sqrt(max(norm[e] - norm[s], 1e-9)) / 2)), lo, lo + 2 * size
-
-    def _sharing(self, ids: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
-        """(item, lo): stretches of two windows that hold every place of one and a half with the share of an item's words."""
+            k, i = np.nonzero(score >= COSINE * least[:, None])
+            items.append(a + i)
+            cosines.append(score[k, i] / least[k])
+            los.append(begin[k] * STEP - size // 2)
+        i, lo = self._sharing(ids, at)
+        size = self.scale[i]
+        s = np.minimum(chunks, (lo + size // 2) // STEP)
+        e = np.minimum(chunks, s + size // STEP)
+        v = z[e] - z[s]
+        least = np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v), np.maximum(norm[e] - norm[s], 1e-9) / 4))
+        items.append(i)
+        cosines.append(np.einsum("ij,ij->i", v, self.latent[i]) / least)
+        los.append(lo)
+        return np.concatenate(items), np.concatenate(cosines), np.concatenate(los)
+
+    def _sharing(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """item, lo: stretches of two windows that hold every place of one and a half with the share of an item's words."""
         first = self.first[ids[at]]
         count = self.first[ids[at] + 1] - first
         total = int(count.sum())
@@ -379,7 +378,8 @@ class Index:
         last = np.where(held, last, 0)
         held &= (item[last] == item) & (2 * (place[last] - place) < 3 * self.scale[item])
         item, half = item[held], self.scale[item[held]] // 2
-        return sorted(set(zip(item.tolist(), (place[held] // half * half).tolist(), strict=True)))
+        found = np.unique(np.stack([item, place[held] // half * half]), axis=1)
+        return found[0], found[1]
 
     def _compare(self, i: int, near: list[int]) -> tuple[float, bool] | None:
         code, answer, there = self.codes[i], self.answers[i], set(near)
@@ -448,7 +448,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _holds_none(sent: Broadcast) -> Column:
     @F.pandas_udf("boolean")
     def clean(codes: pd.Series) -> pd.Series:
-        return pd.Series([not hits for hits in sent.value.scan(list(_numbers(codes)))], dtype=bool)
+        return pd.Series([not hits for hits in sent.value.scan(codes)], dtype=bool)
 
     return clean(F.col("codes"))
 
@@ -457,7 +457,7 @@ def _found(rows: DataFrame, sent: Broadcast) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = sent.value
         for b in batches:
-            found = zip(b["doc_id"], at.scan(list(_numbers(b["codes"]))), strict=True)
+            found = zip(b["doc_id"], at.scan(b["codes"]), strict=True)
             if rows := [(d, at.items[i].item_id, *x) for d, hits in found for i, x in sorted(hits.items())]:
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_found"]).astype({"doc_id": "Int64"})
 

@@ -16,7 +16,6 @@ then adds up the losses of its texts. No model is held anywhere as a whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_path, mixed, new_path, partitions, word_hashes
+from .shared import drop_path, lower_words, mixed, new_path, partitions, word_hashes
 
-WORD = re.compile(r"\w+")
 #: Pseudo-counts of the unigrams in each bigram context.
 KAPPA = 20.0
 #: Words of a chunk, and characters of text for a bucket.
@@ -38,10 +36,6 @@ CHUNK, BUCKET = 2_000_000, 16_000_000
 OPENING = np.uint64(0)
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
 def _packed(x: np.ndarray) -> bytes:
     """Bytes of equal places side by side, compressed."""
     return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
@@ -96,9 +90,9 @@ TEXTS = "chunk long, bucket int, doc_ids array<long>, n array<int>, x binary, y
 def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of two kinds: a chunk's texts (bucket -1: x the words' hashes, y their places) and its counts in a bucket (x keys, y and z counts)."""
 
-    def chunk(number: int, ids: list, roles: list[int], texts: list[list[str]]) -> pd.DataFrame:
+    def chunk(number: int, ids: list, roles: list[int], texts: list[list[bytes]]) -> pd.DataFrame:
         n = np.array([len(t) for t in texts], np.int64)
-        place: dict[str, int] = {}
+        place: dict[bytes, int] = {}
         codes = np.fromiter((place.setdefault(w, len(place)) for t in texts for w in t), np.int32, int(n.sum()))
         hashes = word_hashes(list(place))
         g, role = Grams.of(hashes, codes, n, buckets), np.array(roles)
@@ -116,7 +110,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
             for d, r, t in zip(b["doc_id"], b["role"], b["text"], strict=True):
                 ids.append(None if pd.isna(d) else int(d))
                 roles.append(r)
-                texts.append(words(t))
+                texts.append(lower_words(t))
                 n += len(texts[-1])
                 if n >= CHUNK:
                     yield chunk(number, ids, roles, texts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,19 @@ from pyspark.sql import functions as F
 _FALLBACK: list[str] = []
 
 
+_WORD, _FOREIGN = re.compile(r"\w+"), re.compile(r"[^\w\x00-\x7f]")
+_PLAIN = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    r"""The runs of \w in the lower-case text, as UTF-8; none for a null text."""
+    low = (text or "").lower()
+    # With no other characters above ASCII, the ASCII ones alone part words.
+    if low.isascii() or not _FOREIGN.search(low):
+        return low.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(low)]
+
+
 def mixed(h: np.ndarray, k: int = 0) -> np.ndarray:
     """Hashes of 64-bit numbers, others for each k."""
     h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
@@ -24,7 +38,7 @@ def mixed(h: np.ndarray, k: int = 0) -> np.ndarray:
 class _Words(dict):
     """Hashes of the words met lately."""
 
-    def __missing__(self, w: str) -> int:
+    def __missing__(self, w: str | bytes) -> int:
         if len(self) > 300_000:
             self.clear()
         self[w] = h = xxhash.xxh64_intdigest(w)
@@ -34,7 +48,7 @@ class _Words(dict):
 _MET = _Words()
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[str] | list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     return np.fromiter(map(_MET.__getitem__, words), np.uint64, len(words))
 

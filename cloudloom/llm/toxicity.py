@@ -10,7 +10,6 @@ label, those of the least hash of their doc_id); scoring reads every whole text.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,33 +19,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
+from .shared import lower_words
+
 #: Bits of a feature hash: so many that features of the longest texts don't meet by chance.
 BITS = 62
 #: Words of a text that are looked at together; pairs across the borders are kept.
 CHUNK = 1 << 16
-_SEEN: dict[str, int] = {}
 
 
-def _ids(words: list[str]) -> np.ndarray:
-    """A 32-bit hash of each word, through a bounded table of words seen before."""
-    if len(_SEEN) > 200_000:
-        _SEEN.clear()
-    out = []
-    for w in words:
-        h = _SEEN.get(w)
-        if h is None:
-            h = _SEEN[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, np.uint64)
+class _Hashes(dict):
+    """32-bit hashes of the words met lately."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[w] = h = zlib.crc32(w)
+        return h
+
+
+_SEEN = _Hashes()
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature hashes, of BITS bits; none for a null or empty text."""
-    words = WORD.findall((text or "").lower())
+    words = lower_words(text)
     found = [np.zeros(0, np.uint64)]
     for at in range(0, len(words), CHUNK):
-        h = _ids(words[at : at + CHUNK + 2])
+        h = np.array([_SEEN[w] for w in words[at : at + CHUNK + 2]], np.uint64)
         own = min(CHUNK, len(h))
         mix = h * np.uint64(0x9E3779B97F4A7C15)
         parts = [mix[:own]]

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy."""
 
 import io
+import itertools
 import math
 import re
 import zlib
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 
 from cloudloom.llm import ann, chat, decontaminate, encode, licenses, line_dedup, lm_score, packing, simhash, toxicity, zstd_ids
 from cloudloom.llm.queries import QUERIES
+from cloudloom.llm.shared import lower_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -197,7 +199,7 @@ def test_decontamination_of_long_items(spark):
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30_000)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20_000)
     rng = np.random.default_rng(7)
     item = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(20))
     items = [(i, item()) for i in range(12)]
@@ -214,20 +216,20 @@ def test_latent_space(spark):
     texts = [rng.choice(60, 640, p=topics[rng.integers(5)]).astype(np.int32) for _ in range(80)]
     items = [rng.choice(60, 20, p=topics[k]).astype(np.int32) for k in range(3)]
     idf = rng.uniform(0.5, 3, 60)
-    codes = spark.createDataFrame([(t.tobytes(),) for t in texts], "codes binary")
+    codes = spark.createDataFrame([(t.astype(np.int16).tobytes(),) for t in texts], "codes binary")
     vectors, values = decontaminate.basis(codes, items, idf, 4, 16)
     a = np.zeros((0, 60))
     for ws, weight in [(t[i : i + 64], 1.0) for t in texts for i in range(0, 640, 64)] + [(i, math.sqrt(800 / 3)) for i in items]:
         row = np.bincount(ws, minlength=60) * idf
         a = np.vstack([a, weight * row / np.linalg.norm(row)])
     _, want, right = np.linalg.svd(a)
-    assert values == pytest.approx(want[:4], rel=1e-3)
+    assert values == pytest.approx(want[:4], rel=5e-3)
     assert np.linalg.svd(right[:4] @ vectors)[1].min() > 0.99
 
 
 def test_paraphrase_by_the_latent_step_alone(spark, monkeypatch):
     # Without the join on rarer words, windows near an item by cosine still find a copy with a third of its words changed.
-    monkeypatch.setattr(decontaminate.Index, "_sharing", lambda *_: [])
+    monkeypatch.setattr(decontaminate.Index, "_sharing", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
     rng = np.random.default_rng(12)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(4, 8)))
     vocab = [word() for _ in range(3000)]
@@ -452,6 +454,12 @@ def test_similar_texts_in_one_dense_group(spark, monkeypatch):
     assert got == brute_similar({d: brute_shingles(t, 5) for d, t in texts.items()}, 0.8)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB1_ \n.é«\u00a0ßİ\u0301日x-", max_size=30))
+def test_lower_words(text):
+    assert [w.decode() for w in lower_words(text)] == re.findall(r"\w+", text.lower())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=700))
 def test_bit_counts(h):
@@ -464,12 +472,50 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(1, 201)) and all(got[i] == 300 for i in range(301, 311))
 
 
-def test_chat_roles(spark):
-    c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    got = chat.parse(c).where(chat.held_out())
-    truth = c.select("conv_id", "turn", F.col("role").alias("true_role")).withColumn("turn", F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1"))
-    both = got.join(truth, ["conv_id", "turn"]).select((F.col("role") == F.col("true_role")).alias("same")).collect()
-    assert len(both) == truth.where(chat.held_out()).count() and np.mean([r["same"] for r in both]) > 0.95
+@pytest.mark.parametrize("inner", [False, True])
+def test_chat_turns(spark, inner):
+    c = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    if inner:  # blank lines within texts too: only markers tell a turn from a paragraph then
+        c = c.withColumn("text", F.regexp_replace("text", r"\. ", ".\n\n"))
+    truth = chat.transcripts(c).where("opens").where(chat.held_out()).select("conv_id", "pos", F.col("role").alias("true_role"), chat.style_of().alias("style"))
+    got = chat.parse(c).where(chat.held_out()).select("conv_id", F.col("first_line").alias("pos"), "role", chat.style_of().alias("style"))
+    both = truth.join(got, ["conv_id", "pos", "style"], "full").select("style", "true_role", "role").collect()
+    for style in range(3 if inner else 4):
+        rows = [r for r in both if r["style"] == style]
+        right = sum(r["true_role"] is not None and r["role"] is not None for r in rows) / len(rows)
+        same = sum(r["true_role"] == r["role"] for r in rows) / len(rows)
+        print("style", style, len(rows), right, same)
+        assert right > 0.95 and same > 0.9, (style, right, same)
+
+
+def test_viterbi_by_all_paths(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    soft = lambda *n: (lambda m: np.log(m / m.sum(-1, keepdims=True)))(rng.random(n) + 0.05)
+    model = chat.Hmm(soft(3), soft(3, 3), soft(3, 2), soft(6, chat.BLANK + 1))
+    symbols = {i: rng.integers(0, chat.BLANK + 1, n) for i, n in enumerate([1, 2, 5, 6])}
+    rows = [(i, p, int(x), "", p == 0) for i, xs in symbols.items() for p, x in enumerate(xs)]
+    got = chat.decode(spark.createDataFrame(rows, "conv_id long, pos long, symbol int, said string, start boolean"), model)
+    path = defaultdict(dict)
+    for r in got.collect():
+        path[r["conv_id"]][r["pos"]] = chat.ROLES.index(r["role"]) + (0 if r["opens"] else 3)
+    for i, xs in symbols.items():
+        def worth(states):
+            total, before = 0.0, None
+            for s, x in zip(states, xs):
+                role = s % 3
+                if before is None:
+                    total += model.first[role] if s < 3 else -math.inf
+                elif s < 3:
+                    total += model.on[before % 3, 1] + model.step[before % 3, role]
+                else:
+                    total += model.on[before % 3, 0] if role == before % 3 else -math.inf
+                total += model.emit[s, x]
+                before = s
+            return total
+
+        best = max(itertools.product(range(6), repeat=len(xs)), key=worth)
+        assert tuple(path[i][p] for p in range(len(xs))) == best
 
 
 def test_viterbi_blocks(spark, monkeypatch):
@@ -480,10 +526,13 @@ def test_viterbi_blocks(spark, monkeypatch):
 
 
 def test_markers(spark):
-    lines = ["User: hi", "[bot] hello", "### Instruction: obey", "Q: why?", "plain: text", "**Human**: x", "A dog: x"]
-    df = spark.createDataFrame([(1, i, x, False) for i, x in enumerate(lines)], "conv_id long, pos long, line string, gap boolean")
-    got = [(r["symbol"] // 16, r["said"]) for r in chat.observed(df).orderBy("pos").collect()]
-    assert got == [(2, "hi"), (3, "hello"), (1, "obey"), (2, "why?"), (0, "plain: text"), (2, "x"), (0, "A dog: x")]
+    lines = ["User: hi", "[bot] hello?", "### Instruction: obey", "Q: why?", "plain: text", "", "**Human**: x", "A dog: x"]
+    df = chat.observed(chat.lines_of(spark.createDataFrame([(1, "\n".join(lines))], "conv_id long, text string")))
+    got = [(r["symbol"] // 64, r["said"], r["symbol"] // 32 % 2, r["symbol"] // 16 % 2) for r in df.orderBy("pos").collect()]
+    assert got == [
+        (2, "hi", 1, 0), (3, "hello?", 0, 0), (1, "obey", 0, 1), (2, "why?", 0, 0), (0, "plain: text", 0, 1),
+        (chat.BLANK // 64, "", chat.BLANK // 32 % 2, 0), (2, "x", 1, 0), (0, "A dog: x", 0, 0),
+    ]
 
 
 def test_license_scores(spark):
