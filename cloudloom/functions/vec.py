@@ -6,6 +6,8 @@ division is guarded, so rows that a later predicate removes can't raise.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 Vec = tuple[str, str, str]
 
 #: Below this norm a vector isn't normalised.
@@ -84,6 +86,12 @@ def dist_so2(a: str, b: str) -> str:
     return f"(CASE WHEN {d} > pi() THEN {d} - 2 * pi() WHEN {d} < -pi() THEN {d} + 2 * pi() ELSE {d} END)"
 
 
+def dist_so3(a: Sequence[str], b: Sequence[str]) -> str:
+    """Angle between two rotations given as unit quaternions."""
+    d = "abs(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+    return f"(2 * acos(least(1e0, {d})))"
+
+
 def fixed(x: str, digits: int = 6) -> str:
     """A whole number of 10**-digits: sums of these don't depend on their order."""
     return f"cast(floor(({x}) * 1e{digits} + 0.5) AS bigint)"

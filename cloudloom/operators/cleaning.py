@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,16 +80,14 @@ def outlier_probability() -> str:
     return f"coalesce(greatest(0e0, 1 - 1 / ({poly} * {poly} * {poly} * {poly})), 0e0)"
 
 
-def poisson_disk(cloud: DataFrame, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
-    """A maximal subset without two points nearer than the radius: the greedy choice in order of ids.
+def greedy(nodes: DataFrame, edges: DataFrame, key: str, point: str) -> DataFrame:
+    """key, point of the nodes that a greedy choice keeps; edges (key, lo, hi): `hi` goes where `lo`, which comes before it, is kept.
 
-    Rounds over the conflict pairs: a point is kept once all smaller ids near it are gone, and
-    removes its neighbours. Each round is a join; the result doesn't depend on partitions.
+    Rounds: a node is kept once all before it that are near it are gone, and removes its
+    neighbours. Each round is a join; the result doesn't depend on partitions.
     """
-    left = cloud.select(key, point, "x", "y", "z")
-    near = radius_join(left, left, radius, key).where(f"q_{point} > {point}")
-    edges = checkpointed(near.select(F.col(key), F.col(f"q_{point}").alias("hi"), F.col(point).alias("lo")))
-    state = checkpointed(left.select(key, point).withColumn("kept", F.lit(None).cast("boolean")))
+    edges = checkpointed(edges.select(key, "hi", "lo"))
+    state = checkpointed(nodes.select(key, point).withColumn("kept", F.lit(None).cast("boolean")))
     while not state.where("kept IS NULL").isEmpty():
         open_ = state.where("kept IS NULL").select(key, F.col(point).alias("lo"))
         held = edges.join(open_, [key, "lo"]).select(key, F.col("hi").alias(point)).distinct().withColumn("held", F.lit(True))
@@ -101,12 +97,15 @@ def poisson_disk(cloud: DataFrame, radius: float, key: str = "obj", point: str =
         marks = marks.groupBy(key, point).agg(F.max("m").alias("m"))
         state = checkpointed(state.join(marks, [key, point], "left").select(key, point, F.coalesce("kept", "m").alias("kept")))
         edges = checkpointed(edges.join(state.where("kept IS NULL").select(key, F.col(point).alias("hi")), [key, "hi"], "left_semi"))
-    return cloud.join(state.where("kept").select(key, point), [key, point], "left_semi")
+    return state.where("kept").select(key, point)
 
 
-def poisson_radius(area: float, n: int) -> float:
-    """The disk radius that gives about n samples of a surface."""
-    return float(np.sqrt(area / (0.7 * np.pi * n)))
+def poisson_disk(cloud: DataFrame, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
+    """A maximal subset without two points nearer than the radius: the greedy choice in order of ids."""
+    left = cloud.select(key, point, "x", "y", "z")
+    near = radius_join(left, left, radius, key).where(f"q_{point} > {point}")
+    kept = greedy(left, near.select(F.col(key), F.col(f"q_{point}").alias("hi"), F.col(point).alias("lo")), key, point)
+    return cloud.join(kept, [key, point], "left_semi")
 
 
 def merge_close(cloud: DataFrame, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
@@ -132,6 +131,13 @@ def connected_parts(cloud: DataFrame, radius: float, key: str = "obj", point: st
         label = new
 
 
+def drop_small_parts(cloud: DataFrame, radius: float, least: int, key: str = "obj", point: str = "pt_id") -> DataFrame:
+    """The cloud without its connected parts of fewer than `least` points."""
+    parts = connected_parts(cloud, radius, key, point)
+    large = parts.groupBy(key, "part").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return cloud.join(parts.join(large, [key, "part"], "left_semi"), [key, point], "left_semi")
+
+
 def dominant_plane(cloud: DataFrame, distance: float, trials: int = 64, seed: int = 3, key: str = "obj", point: str = "pt_id") -> DataFrame:
     """key, a, b, c, d, n: of `trials` planes through three points of each cloud, the one with the most points near it.
 
@@ -149,8 +155,9 @@ def dominant_plane(cloud: DataFrame, distance: float, trials: int = 64, seed: in
     long = f"nullif({v.norm(v.vec('w'))}, 0)"
     g = g.selectExpr(key, "t", *[f"w{a} / {long} AS {b}" for a, b in zip("xyz", "abc", strict=True)], f"-(wx * x0 + wy * y0 + wz * z0) / {long} AS d").where("a IS NOT NULL")
     planes = g.groupBy(key).agg(F.collect_list(F.struct("t", "a", "b", "c", "d")).alias("planes"))
-    scored = cloud.join(planes, key).select(key, "x", "y", "z", F.explode("planes").alias("p"))
-    hit = scored.where(F.expr(f"abs(p.a * x + p.b * y + p.c * z + p.d) <= {distance}")).groupBy(key, "p").agg(F.count("*").alias("n"))
+    # A point names the planes that it is near to; most are near none, and counts are added up before the shuffle.
+    near = F.filter("planes", lambda p: F.abs(p["a"] * F.col("x") + p["b"] * F.col("y") + p["c"] * F.col("z") + p["d"]) <= distance)
+    hit = cloud.join(planes, key).select(key, F.explode(near).alias("p")).groupBy(key, "p").agg(F.count("*").alias("n"))
     best = hit.groupBy(key).agg(F.max(F.struct("n", (-F.col("p.t")).alias("t"), "p")).alias("m"))
     return best.select(key, "m.p.a", "m.p.b", "m.p.c", "m.p.d", "m.n")
 
@@ -174,16 +181,3 @@ def smooth(cloud: DataFrame, value: str, k: int, radius: float, key: str = "obj"
     return near.groupBy(F.col(f"q_{key}").alias(key), F.col(f"q_{point}").alias(point)).agg(
         (F.sum(F.expr(v.fixed(value))) / 1e6 / F.count("*")).alias(value)
     )
-
-
-def visible(cloud: DataFrame, view: tuple[float, float, float], bins: int = 64, key: str = "obj", point: str = "pt_id") -> DataFrame:
-    """Points that are the nearest to the viewpoint in their direction's bin (polar by azimuth)."""
-    d = v.sub(v.vec(""), tuple(f"{x}e0" for x in view))
-    c = cloud.selectExpr("*", f"{v.norm2(d)} AS view_d2", f"cast(floor(round((atan2({d[1]}, {d[0]}) + pi()) / (2 * pi()), 9) * {bins}) AS int) AS ba", f"cast(floor(round((atan2({d[2]}, sqrt({d[0]} * {d[0]} + {d[1]} * {d[1]})) + pi() / 2) / pi(), 9) * {bins}) AS int) AS bp")
-    best = c.groupBy(key, "ba", "bp").agg(F.min(F.struct("view_d2", point)).alias("m"))
-    return best.select(key, f"m.{point}", "ba", "bp")
-
-
-def as_pandas_sorted(df: DataFrame, *order: str) -> pd.DataFrame:
-    """A small result in a fixed order, for tests and reports."""
-    return df.toPandas().sort_values(list(order)).reset_index(drop=True)

@@ -91,6 +91,32 @@ def normalize(cloud: DataFrame, scale: float, key: str = "obj") -> DataFrame:
     return cloud.join(co, key).withColumns(moved)
 
 
+def apply_coefficients(cloud: DataFrame, coefficients: DataFrame, scale: float, key: str = "obj") -> DataFrame:
+    """The cloud moved and scaled by given coefficients (key, cx, cy, cz, lo, hi), as those of `normalize` for another cloud."""
+    co = coefficients.select(key, *[F.col(c).alias(f"_{c}") for c in ("cx", "cy", "cz", "lo", "hi")])
+    moved = {a: F.expr(f"({a} - _c{a}) * {scale} / nullif(_hi - _lo, 0)") for a in "xyz"}
+    return cloud.join(co, key).withColumns(moved).select(*cloud.columns)
+
+
+def weighted_centre(cloud: DataFrame, weight: str, key: str = "obj") -> DataFrame:
+    """key, cx, cy, cz: the mean of the points by weight; null where all weights are zero."""
+    total = F.sum(F.expr(v.fixed(weight, 9)))
+    return cloud.groupBy(key).agg(*[(F.sum(F.expr(v.fixed(f"({weight}) * {a}", 9))) / F.nullif(total, F.lit(0))).alias(f"c{a}") for a in "xyz"])
+
+
+def percentile(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """key, percentile: the least value that at least `share` of the key's values don't exceed."""
+    return df.groupBy(key).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias("percentile"))
+
+
+def boxes_meet(left: DataFrame, right: DataFrame, key: str = "obj") -> DataFrame:
+    """l_key, r_key of bounds (as of `bounds`) of two sets of clouds that share a point; few rows, one a cloud."""
+    a = left.select(F.col(key).alias(f"l_{key}"), *[F.col(f"{c}{e}").alias(f"l{c}{e}") for c in "xyz" for e in ("min", "max")])
+    b = right.select(F.col(key).alias(f"r_{key}"), *[F.col(f"{c}{e}").alias(f"r{c}{e}") for c in "xyz" for e in ("min", "max")])
+    meet = " AND ".join(f"l{c}min <= r{c}max AND r{c}min <= l{c}max" for c in "xyz")
+    return a.join(b, F.expr(meet)).select(f"l_{key}", f"r_{key}")
+
+
 def add_noise(cloud: DataFrame, scale: float, seed: int, point: str = "pt_id") -> DataFrame:
     """Uniform noise in [-scale/2, scale/2) on each coordinate, fixed by the seed and the point's id."""
     noise = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), point), F.lit(1 << 30)) / (1 << 30) - 0.5) * scale

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec as v
+from .clouds import bounds
 from .neighbors import nearest
 
 
@@ -45,3 +46,17 @@ def compare_keys(left: DataFrame, right: DataFrame) -> DataFrame:
     b = right.select("key").distinct().withColumn("r", F.lit(True))
     side = F.when(F.col("l") & F.col("r"), "both").when(F.col("l"), "left").otherwise("right")
     return a.join(b, "key", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+def compare_union(left: DataFrame, right: DataFrame) -> DataFrame:
+    """key of what either method found, once."""
+    return left.select("key").union(right.select("key")).distinct()
+
+
+def adi_and_centre(truth: DataFrame, found: DataFrame, radius: float, share: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
+    """key, adi, centre, hit: whether the mean distance to the nearest true point and the distance of the centres are both under `share` of the true diagonal."""
+    mean = lambda c, p: c.groupBy(key).agg(*[(F.sum(F.expr(v.fixed(a, 9))) / 1e9 / F.count("*")).alias(f"{p}{a}") for a in "xyz"])
+    both = mean(truth, "t").join(mean(found, "f"), key).join(bounds(truth, key).select(key, "diagonal"), key)
+    far = v.norm(v.sub(v.vec("t"), v.vec("f")))
+    out = both.join(adi_error(truth, found, radius, key, point), key).select(key, F.col("error").alias("adi"), F.expr(far).alias("centre"), "diagonal")
+    return out.withColumn("hit", F.greatest("adi", "centre") < share * F.col("diagonal")).drop("diagonal")

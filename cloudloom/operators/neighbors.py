@@ -13,6 +13,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vec as v
 from ..session import checkpointed
 
 AROUND = [f"struct({a} AS a, {b} AS b, {c} AS c)" for a, b, c in product((-1, 0, 1), repeat=3)]
@@ -84,9 +85,15 @@ def bijective(pairs: DataFrame, key: str = "obj", point: str = "pt_id") -> DataF
 
 
 def count_in_sphere(queries: DataFrame, refs: DataFrame, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
-    """How many references lie within the radius, border included."""
-    near = radius_join(queries, refs, radius, key, strict=False)
-    return near.groupBy(F.col(f"q_{key}").alias(key), F.col(f"q_{point}").alias(point)).agg(F.count("*").alias("n"))
+    """How many references lie within the radius, border included.
+
+    Only keys and coordinates are joined, equal references once with their number, and counts
+    are added up in the join's own stage before they are shuffled.
+    """
+    q = queries.select(key, F.col(point).alias("_at"), "x", "y", "z")
+    r = refs.groupBy(key, "x", "y", "z").agg(F.count("*").alias("_n"))
+    near = radius_join(q, r, radius, key, strict=False)
+    return near.groupBy(F.col(f"q_{key}").alias(key), F.col("q__at").alias(point)).agg(F.sum("_n").alias("n"))
 
 
 def remove_in_sphere(cloud: DataFrame, centres: DataFrame, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
@@ -96,6 +103,16 @@ def remove_in_sphere(cloud: DataFrame, centres: DataFrame, radius: float, key: s
     return cloud.join(gone, [key, point], "left_anti")
 
 
+def remove_in_sphere_normal(
+    cloud: DataFrame, centres: DataFrame, radius: float, angle: float, key: str = "obj", point: str = "pt_id"
+) -> DataFrame:
+    """The cloud's points that no centre has within the radius and with a normal turned by less than `angle` against theirs."""
+    near = radius_join(cloud, centres.select(key, "x", "y", "z", "nx", "ny", "nz"), radius, key, strict=False)
+    near = near.where(f"{v.dot(v.vec('q_n'), v.vec('n'))} > cos({angle})")
+    gone = near.select(F.col(f"q_{key}").alias(key), F.col(f"q_{point}").alias(point)).distinct()
+    return cloud.join(gone, [key, point], "left_anti")
+
+
 def in_box(cloud: DataFrame, lo: tuple[float, float, float], hi: tuple[float, float, float]) -> DataFrame:
     """Points within the closed box; the bounds reach the scan where the columns are stored."""
     for c, a, b in zip("xyz", lo, hi, strict=True):

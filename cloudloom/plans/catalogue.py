@@ -60,29 +60,30 @@ def ppf_bucket_topk(spark, sf_dir):
 
 
 _TURN = f"cast(floor(round({{}} + pi(), 9) / (2 * pi() / {CFG.alpha_bins})) AS int)"
-_ACC = f"""acc AS (SELECT scene, model, s_i, m_i, bin, sum(sn * mn) AS votes FROM (
+_ACC = f"""rf AS (SELECT obj, pt_id AS i FROM (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY pt_id) - 1 AS r FROM pts) AS t WHERE r % {CFG.scene_step} = 0),
+acc AS (SELECT scene, model, s_i, m_i, bin, sum(sn * mn) AS votes FROM (
   SELECT s.scene, m.model, s.s_i, m.m_i, ((mb - sb) % {CFG.alpha_bins} + {CFG.alpha_bins}) % {CFG.alpha_bins} AS bin, sn, mn FROM
-  (SELECT obj AS scene, {KEYS}, i AS s_i, {_TURN.format("alpha")} AS sb, count(*) AS sn FROM pf WHERE obj IN (0, 1) AND i % 5 = 0 GROUP BY ALL) s JOIN
-  (SELECT obj AS model, {KEYS}, i AS m_i, {_TURN.format("alpha")} AS mb, count(*) AS mn FROM pf WHERE obj = 2 GROUP BY ALL) m USING ({KEYS})) AS x
+  (SELECT obj AS scene, {KEYS}, i AS s_i, {_TURN.format("alpha")} AS sb, count(*) AS sn FROM pf JOIN rf USING (obj, i) GROUP BY ALL) s JOIN
+  (SELECT obj AS model, {KEYS}, i AS m_i, {_TURN.format("alpha")} AS mb, count(*) AS mn FROM pf GROUP BY ALL) m USING ({KEYS})) AS x
   GROUP BY scene, model, s_i, m_i, bin)"""
 _BEST = "best AS (SELECT scene, model, s_i, m_i, bin, votes FROM (SELECT *, row_number() OVER (PARTITION BY scene, model, s_i ORDER BY votes DESC, m_i, bin) AS r FROM acc) AS a WHERE r = 1)"
 
 
 def _acc(spark, sf_dir):
+    """All points, and the votes of each label's cloud, as a scene, for each label's cloud as a model."""
     pts = w.points(spark, sf_dir)
-    scene, model = pts.where("obj IN (0, 1)"), pts.where("obj = 2")
-    refs = scene.where(f"pt_id % {CFG.scene_step} = 0")
-    return scene, model, features.votes(features.pairs(scene, CFG, refs), features.train(model, CFG), CFG)
+    refs = clouds.sample_uniform(pts, CFG.scene_step)
+    return pts, features.votes(features.pairs(pts, CFG, refs), features.train(pts, CFG), CFG)
 
 
 @query(w.with_("pts", w.near(R), PF, _ACC, select="SELECT scene, model, s_i, m_i, bin, cast(votes AS bigint) AS votes FROM acc"))
 def hough_accumulator(spark, sf_dir):
-    return _acc(spark, sf_dir)[2]
+    return _acc(spark, sf_dir)[1]
 
 
 @query(w.with_("pts", w.near(R), PF, _ACC, _BEST, select="SELECT scene, model, s_i, m_i, bin, cast(votes AS bigint) AS votes FROM best"))
 def hough_argmax(spark, sf_dir):
-    return features.best_votes(_acc(spark, sf_dir)[2])
+    return features.best_votes(_acc(spark, sf_dir)[1])
 
 
 _R, _T = features.pose_exprs(v.vec("s_"), v.vec("s_n"), v.vec("m_"), v.vec("m_n"), "alpha")
@@ -98,16 +99,16 @@ _HYP_BASE = f"""(SELECT b.*, (bin * 2 * pi()) / {CFG.alpha_bins} AS alpha, {', '
 
 @query(w.with_("pts", w.near(R), PF, _ACC, _BEST, select=w.nest(_HYP_BASE, [*_HYP, _HYP_SHOWN])))
 def match_hypotheses(spark, sf_dir):
-    scene, model, acc = _acc(spark, sf_dir)
-    return features.hypotheses(features.best_votes(acc), scene, model, CFG).selectExpr(*_HYP_SHOWN)
+    pts, acc = _acc(spark, sf_dir)
+    return features.hypotheses(features.best_votes(acc), pts, pts, CFG).selectExpr(*_HYP_SHOWN)
 
 
 @query()
 def match_clusters(spark, sf_dir):
-    """The whole chain: hypotheses of each scene, clustered and thinned."""
-    scene, model, acc = _acc(spark, sf_dir)
-    h = features.hypotheses(features.best_votes(acc), scene, model, CFG)
-    h = h.selectExpr("cast(scene AS bigint) AS scene", "s_i AS pose_id", "cast(votes AS double) AS votes", *rot.NAMES, "tx", "ty", "tz")
+    """The whole chain: hypotheses of each scene and model (scene * 2^32 + model), clustered and thinned."""
+    pts, acc = _acc(spark, sf_dir)
+    h = features.hypotheses(features.best_votes(acc), pts, pts, CFG)
+    h = h.selectExpr("scene * 4294967296 + model AS scene", "s_i AS pose_id", "cast(votes AS double) AS votes", *rot.NAMES, "tx", "ty", "tz")
     return poses.nms_centre(poses.cluster(h, CFG.position_threshold, CFG.rotation_threshold), 0.05)
 
 
@@ -345,52 +346,47 @@ def drop_duplicates(spark, sf_dir):
     return clouds.drop_duplicates(w.dense(spark, sf_dir)).select("obj", "x", "y", "z", "pt_id")
 
 
-@query(w.with_("pts", "poses", select="SELECT obj, count(*) AS n FROM (SELECT obj FROM pts WHERE pt_id % 2 = 0 UNION ALL SELECT scene FROM poses) AS t GROUP BY obj"))
+@query(w.with_("pts", "poses", select="SELECT obj, count(*) AS n FROM (SELECT obj FROM pts UNION ALL SELECT scene FROM poses) AS t GROUP BY obj"))
 def append_clouds(spark, sf_dir):
-    both = clouds.merge(w.points(spark, sf_dir).where("pt_id % 2 = 0"), w.poses(spark, sf_dir).selectExpr("cast(scene AS int) AS obj", "tx AS x", "ty AS y", "tz AS z"))
+    both = clouds.merge(w.points(spark, sf_dir), w.poses(spark, sf_dir).selectExpr("cast(scene AS int) AS obj", "tx AS x", "ty AS y", "tz AS z"))
     return both.groupBy("obj").agg(F.count("*").alias("n"))
 
 
 # Poses
 
 
-@query(w.with_("poses", "kk AS (SELECT scene, count(*) AS n FROM poses GROUP BY scene)", select="SELECT scene, n FROM kk"))
-def markley_counts(spark, sf_dir):
-    return poses.mean_rotation(w.poses(spark, sf_dir)).select("scene", "n")
-
-
 def _near_model(spark, sf_dir):
-    """Small motions of model 2: its points under poses of slight turns and shifts."""
+    """Small motions of each label's cloud: its points under the label's poses, made slight turns and shifts."""
     p = w.poses(spark, sf_dir)
     small = rot.euler(("tx * 0.5", "ty * 0.5", "tz * 0.5"))
-    p = p.where("pose_id % 5 = 0").selectExpr("pose_id", "2 AS model", *rot.aliased(small), "tx * 0.1 AS tx", "ty * 0.1 AS ty", "tz * 0.1 AS tz")
-    return poses.placed(p, w.points(spark, sf_dir).where("obj = 2"))
+    p = p.selectExpr("pose_id", "cast(scene AS int) AS model", *rot.aliased(small), "tx * 0.1 AS tx", "ty * 0.1 AS ty", "tz * 0.1 AS tz")
+    return poses.placed(p, w.points(spark, sf_dir))
 
 
 _PLACED_POINT = dict(zip("xyz", v.add(rot.apply(rot.named(), v.vec("")), v.vec("u")), strict=True)) | dict(zip(("nx", "ny", "nz"), rot.apply(rot.named(), v.vec("n")), strict=True))
-_PLACED = "pp AS (SELECT pose_id, pt_id, {} FROM (SELECT pose_id, {}, tx * 0.1 AS ux, ty * 0.1 AS uy, tz * 0.1 AS uz FROM poses WHERE pose_id % 5 = 0) AS o JOIN (SELECT * FROM pts WHERE obj = 2) AS m ON true)".format(
+_PLACED = "pp AS (SELECT pose_id, pt_id, {} FROM (SELECT pose_id, scene, {}, tx * 0.1 AS ux, ty * 0.1 AS uy, tz * 0.1 AS uz FROM poses) AS o JOIN pts AS m ON m.obj = o.scene)".format(
     ", ".join(f"{e} AS {c}" for c, e in _PLACED_POINT.items()), ", ".join(rot.aliased(rot.euler(("tx * 0.5", "ty * 0.5", "tz * 0.5"))))
 )
 _OVERLAP = f"""hit AS (SELECT pose_id, m_id FROM (SELECT q.pose_id, q.pt_id AS m_id, {v.norm2(v.sub(v.of('p'), v.of('q')))} AS d2, {v.dot(v.of('q', 'n'), v.of('p', 'n'))} AS c,
- row_number() OVER (PARTITION BY q.pose_id, q.pt_id ORDER BY {v.norm2(v.sub(v.of('p'), v.of('q')))}, p.pt_id) AS r FROM pp q JOIN (SELECT * FROM pts WHERE obj IN (2, 3)) AS p ON true) AS t
+ row_number() OVER (PARTITION BY q.pose_id, q.pt_id ORDER BY {v.norm2(v.sub(v.of('p'), v.of('q')))}, p.pt_id) AS r FROM pp q JOIN pts AS p ON abs(p.x - q.x) < 0.15 AND abs(p.y - q.y) < 0.15 AND abs(p.z - q.z) < 0.15) AS t
  WHERE r = 1 AND d2 < 0.0225 AND c > cos(0.5))"""
 
 
 @query(w.with_("pts", "poses", _PLACED, _OVERLAP, select="SELECT pose_id, n, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n, 6) AS overlap FROM (SELECT pose_id, count(*) AS n FROM pp GROUP BY 1) AS a LEFT JOIN (SELECT pose_id, count(*) AS hits FROM hit GROUP BY 1) AS b USING (pose_id)"))
 def overlap_ratio(spark, sf_dir):
-    scene = w.points(spark, sf_dir).where("obj IN (2, 3)")
+    scene = w.points(spark, sf_dir)
     return poses.overlap_ratio(_near_model(spark, sf_dir), scene, 0.15, 0.5).selectExpr("pose_id", "n", "hits", "round(overlap, 6) AS overlap")
 
 
 _CELL = ", ".join(f"cast(floor({c} / 0.1) AS bigint) AS c{c}" for c in "xyz")
-_FREE = f"""full_ AS (SELECT DISTINCT {_CELL} FROM pts WHERE obj = 2),
+_FREE = f"""full_ AS (SELECT DISTINCT {_CELL} FROM pts),
 bx AS (SELECT {', '.join(f'min(c{c}) AS lo{c}, max(c{c}) AS hi{c}' for c in 'xyz')} FROM full_),
 free_ AS (SELECT x.c AS cx, y.c AS cy, z.c AS cz FROM bx, {', '.join(f'unnest(range(lo{c}, hi{c} + 1)) AS {c}(c)' for c in 'xyz')} EXCEPT SELECT cx, cy, cz FROM full_)"""
 
 
 @query(w.with_("pts", "poses", _PLACED, _FREE, select=f"SELECT pose_id, count(*) AS n, count(f.cx) AS in_free, round(count(f.cx) / count(*), 6) AS ratio FROM (SELECT pose_id, {_CELL} FROM pp) AS p LEFT JOIN free_ f USING (cx, cy, cz) GROUP BY pose_id"))
 def freespace_count(spark, sf_dir):
-    scene = w.points(spark, sf_dir).where("obj = 2")
+    scene = w.points(spark, sf_dir)
     return poses.free_space_hits(_near_model(spark, sf_dir), poses.free_space(scene, 0.1), 0.1).selectExpr("pose_id", "n", "in_free", "round(ratio, 6) AS ratio")
 
 
@@ -472,7 +468,7 @@ def icp_refine(spark, sf_dir):
     """The motion that takes a slightly moved copy of all points back."""
     dst = w.points(spark, sf_dir)
     src = clouds.transform(dst, rot.euler(("0.01e0", "-0.01e0", "0.01e0")), ("0.003e0", "0.002e0", "-0.002e0"))
-    pose, _ = register.icp(src, dst, register.IcpConfig(12, 0.05, 2.5, 2), radius=0.05)
+    pose, _ = register.icp(src, dst, register.IcpConfig(), radius=0.05)
     return _motion_rows(spark, "icp", pose)
 
 
@@ -480,7 +476,7 @@ def icp_refine(spark, sf_dir):
 def sparse_icp(spark, sf_dir):
     dst = w.points(spark, sf_dir)
     src = clouds.transform(dst, rot.euler(("0.01e0", "-0.01e0", "0.01e0")), ("0.003e0", "0.002e0", "-0.002e0"))
-    return _motion_rows(spark, "sparse", register.sparse_icp(src, dst, 0.05, outer=3))
+    return _motion_rows(spark, "sparse", register.sparse_icp(src, dst, 0.05))
 
 
 # Greedy thinning, planes and parts
@@ -548,25 +544,25 @@ def recall_occlusion(spark, sf_dir):
     return evaluate.recall_by_object(_hits(spark, sf_dir).where("user_id % 100 < 84")).selectExpr("object", "num", "den", "round(rate, 9) AS rate")
 
 
-_SIDES = "lk AS (SELECT DISTINCT key FROM results WHERE value > 20), rk AS (SELECT DISTINCT key FROM results WHERE value < 80)"
+_SIDES = "lk AS (SELECT DISTINCT key FROM results WHERE value > 95), rk AS (SELECT DISTINCT key FROM results WHERE value < 5)"
 
 
 @query(w.with_("results", _SIDES, select="SELECT key FROM lk INTERSECT SELECT key FROM rk"))
 def success_intersect(spark, sf_dir):
     r = w.results(spark, sf_dir)
-    return r.where("value > 20").select("key").intersect(r.where("value < 80").select("key"))
+    return r.where("value > 95").select("key").intersect(r.where("value < 5").select("key"))
 
 
 @query(w.with_("results", _SIDES, select="SELECT key FROM lk EXCEPT SELECT key FROM rk"))
 def success_except(spark, sf_dir):
     r = w.results(spark, sf_dir)
-    return r.where("value > 20").select("key").subtract(r.where("value < 80").select("key"))
+    return r.where("value > 95").select("key").subtract(r.where("value < 5").select("key"))
 
 
 @query(w.with_("results", _SIDES, select="SELECT side, count(*) AS n FROM (SELECT CASE WHEN lk.key IS NOT NULL AND rk.key IS NOT NULL THEN 'both' WHEN lk.key IS NOT NULL THEN 'left' ELSE 'right' END AS side FROM lk FULL JOIN rk USING (key)) AS t GROUP BY side"))
 def success_compare(spark, sf_dir):
     r = w.results(spark, sf_dir)
-    return evaluate.compare_keys(r.where("value > 20"), r.where("value < 80"))
+    return evaluate.compare_keys(r.where("value > 95"), r.where("value < 5"))
 
 
 # Triangles
@@ -611,13 +607,80 @@ def mesh_euler(spark, sf_dir):
     return mesh.euler_numbers(_faces(spark, sf_dir)[0])
 
 
-@query(w.with_("dense", select="SELECT obj, a, b, c, min(face) AS face FROM (SELECT obj, pt_id AS face, x, y, z, cast(x AS bigint) AS a, cast(floor(y) AS bigint) AS b, cast(z AS bigint) AS c FROM (SELECT obj, pt_id, x, y, floor(z) AS z FROM dense) AS d) AS f WHERE a < b AND b < c GROUP BY obj, a, b, c"))
+@query(w.with_("dense", select="SELECT obj, arg_min(a, face) AS a, arg_min(b, face) AS b, arg_min(c, face) AS c, min(face) AS face FROM (SELECT obj, pt_id AS face, x, y, z, cast(x AS bigint) AS a, cast(floor(y) AS bigint) AS b, cast(z AS bigint) AS c FROM (SELECT obj, pt_id, x, y, floor(z) AS z FROM dense) AS d) AS f WHERE a <> b AND b <> c AND a <> c GROUP BY obj, list_sort([a, b, c])"))
 def mesh_duplicate_faces(spark, sf_dir):
     f = w.dense(spark, sf_dir).selectExpr("obj", "pt_id AS face", "cast(x AS bigint) AS a", "cast(floor(y) AS bigint) AS b", "cast(floor(z) AS bigint) AS c")
-    return mesh.drop_duplicate_faces(f.where("a < b AND b < c")).select("obj", "a", "b", "c", "face")
+    return mesh.drop_duplicate_faces(f).select("obj", "a", "b", "c", "face")
 
 
-@query(w.with_("pts", _FACES, select="SELECT obj, pt_id FROM pts WHERE pt_id % 3 = 0 AND (obj, pt_id) NOT IN (SELECT obj, a FROM fc)"))
+@query(w.with_("pts", _FACES, select="SELECT obj, pt_id FROM pts WHERE (obj, pt_id) NOT IN (SELECT obj, a FROM fc)"))
 def mesh_unreferenced(spark, sf_dir):
     f, p = _faces(spark, sf_dir)
-    return mesh.unreferenced(p.where("pt_id % 3 = 0"), f.selectExpr("obj", "a", "a AS b", "a AS c")).select("obj", "pt_id")
+    return mesh.unreferenced(p, f.selectExpr("obj", "a", "a AS b", "a AS c")).select("obj", "pt_id")
+
+
+# Further statistics and comparisons
+
+
+@query(w.with_("dense", select="SELECT obj, quantile_disc(y, 0.9) AS percentile FROM dense GROUP BY obj"))
+def percentile(spark, sf_dir):
+    return clouds.percentile(w.dense(spark, sf_dir), "obj", "y", 0.9)
+
+
+_CENTRE = ", ".join(f"round(cast(sum(cast(floor(((x * x + 1) * {a}) * 1e9 + 0.5) AS bigint)) AS double) / sum(cast(floor((x * x + 1) * 1e9 + 0.5) AS bigint)), 6) AS c{a}" for a in "xyz")
+
+
+@query(w.with_("pts", select=f"SELECT obj, {_CENTRE} FROM pts GROUP BY obj"))
+def weighted_centre(spark, sf_dir):
+    return clouds.weighted_centre(w.points(spark, sf_dir), "x * x + 1").selectExpr("obj", *w.rounded("cx cy cz"))
+
+
+@query(
+    w.with_("pts", """co AS (SELECT sum(cast(floor(x * 1e6 + 0.5) AS bigint)) / count(*) / 1e6 AS cx, sum(cast(floor(y * 1e6 + 0.5) AS bigint)) / count(*) / 1e6 AS cy,
+    sum(cast(floor(z * 1e6 + 0.5) AS bigint)) / count(*) / 1e6 AS cz, min(least(x, y, z)) AS lo, max(greatest(x, y, z)) AS hi FROM pts WHERE obj = 0)""",
+    select="SELECT pt_id, obj, round((x - cx) * 2.0 / (hi - lo), 6) AS x, round((y - cy) * 2.0 / (hi - lo), 6) AS y, round((z - cz) * 2.0 / (hi - lo), 6) AS z FROM pts, co")
+)
+def apply_coeff(spark, sf_dir):
+    """All clouds by the coefficients of label 0's cloud."""
+    pts = w.points(spark, sf_dir)
+    co = clouds.normalize(pts, 2.0).where("obj = 0").select("cx", "cy", "cz", "lo", "hi").distinct()
+    labels = pts.select("obj").distinct()
+    return clouds.apply_coefficients(pts, labels.join(F.broadcast(co)), 2.0).selectExpr("pt_id", "obj", *w.rounded("x y z"))
+
+
+@query(w.with_("pts", "bx AS (SELECT obj, " + ", ".join(f"min({c}) AS {c}min, max({c}) AS {c}max" for c in "xyz") + " FROM pts GROUP BY obj)", select="SELECT l.obj AS l_obj, r.obj AS r_obj FROM bx l JOIN bx r ON " + " AND ".join(f"l.{c}min <= r.{c}max AND r.{c}min <= l.{c}max" for c in "xyz")))
+def boxes_meet(spark, sf_dir):
+    b = clouds.bounds(w.points(spark, sf_dir))
+    return clouds.boxes_meet(b, b)
+
+
+@query(w.with_("results", _SIDES, select="SELECT key FROM lk UNION SELECT key FROM rk"))
+def success_union(spark, sf_dir):
+    r = w.results(spark, sf_dir)
+    return evaluate.compare_union(r.where("value > 95"), r.where("value < 5"))
+
+
+@query(
+    w.with_("RECURSIVE pts AS " + w.CTE["pts"].removeprefix("pts AS "), w.near(0.08), "reach AS (SELECT obj, pt_id AS a, pt_id AS b FROM pts UNION SELECT r.obj, r.a, n.pt_id FROM reach r JOIN near n ON n.obj = r.obj AND n.q_pt_id = r.b)",
+    select="SELECT obj, a AS pt_id FROM reach GROUP BY obj, a HAVING count(*) >= 3")
+)
+def drop_small_parts(spark, sf_dir):
+    return cleaning.drop_small_parts(w.points(spark, sf_dir), 0.08, 3).select("obj", "pt_id")
+
+
+@query(w.with_("pts", w.near(0.1, refs="(SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY pt_id) - 1 AS r FROM pts) AS t WHERE r % 10 = 0)", strict=False, where="q.nx * p.nx + q.ny * p.ny + q.nz * p.nz > cos(1.2)"), select="SELECT obj, pt_id FROM pts WHERE (obj, pt_id) NOT IN (SELECT q_obj, q_pt_id FROM near)"))
+def remove_in_sphere_normal(spark, sf_dir):
+    """The centres are a uniform sample of a tenth of the points."""
+    pts = w.points(spark, sf_dir)
+    return neighbors.remove_in_sphere_normal(pts, clouds.sample_uniform(pts, 10), 0.1, 1.2).select("obj", "pt_id")
+
+
+@query(w.with_("poses", select="SELECT scene, pose_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY votes DESC, pose_id) AS rank FROM poses) AS t WHERE rank <= 5"))
+def strongest_poses(spark, sf_dir):
+    return poses.strongest(w.poses(spark, sf_dir), 5).select("scene", "pose_id", "rank")
+
+
+@query(w.with_("poses", select="SELECT pose_id, round(2 * acos(least(1, abs(qw))), 6) AS angle FROM poses"))
+def dist_so3(spark, sf_dir):
+    """Each pose's turn against none."""
+    return w.poses(spark, sf_dir).selectExpr("pose_id", f"round({v.dist_so3(('qw', 'qx', 'qy', 'qz'), ('1e0', '0e0', '0e0', '0e0'))}, 6) AS angle")

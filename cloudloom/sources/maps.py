@@ -19,9 +19,3 @@ def write(df: DataFrame, path: str) -> None:
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     value = KINDS[kind].removeprefix("map<string,").removesuffix(">") + (">" if kind != "number" else "")
     return spark.read.schema(f"key string, value {value}".replace(">>", ">")).json(path)
-
-
-def xyz(spark: SparkSession, path: str, separator: str = " ") -> DataFrame:
-    """Text files of x y z and, where they have six columns, nx ny nz."""
-    schema = "x double, y double, z double, nx double, ny double, nz double"
-    return spark.read.schema(schema).option("sep", separator).option("mode", "PERMISSIVE").csv(path)

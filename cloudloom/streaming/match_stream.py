@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import features as f
+from ..operators.clouds import sample_uniform
 
 
 def match_stream(scenes: DataFrame, model: DataFrame, cfg: f.MatchConfig, path: str, checkpoint: str) -> StreamingQuery:
@@ -16,7 +17,7 @@ def match_stream(scenes: DataFrame, model: DataFrame, cfg: f.MatchConfig, path:
     index = f.train(model, cfg).cache()
 
     def batch(scene: DataFrame, number: int) -> None:
-        refs = scene.where(f"pt_id % {cfg.scene_step} = 0")
+        refs = sample_uniform(scene, cfg.scene_step)
         acc = f.votes(f.pairs(scene, cfg, refs), index, cfg)
         out = f.hypotheses(f.best_votes(acc), scene, model, cfg)
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")

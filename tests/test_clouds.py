@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions import rot
 from cloudloom.functions import vec as v
-from cloudloom.operators import cleaning, clouds, features, poses, register
+from cloudloom.operators import cleaning, clouds, evaluate, features, poses, register
 from cloudloom.plans import catalogue, views
 from cloudloom.sources import maps, ply, posefile
 from cloudloom.streaming import match_stream
@@ -42,6 +42,107 @@ def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def greedy_poses(rows, near):
+    """The greedy choice in order of falling votes, as rows of (scene, pose_id, votes, r, t), with each pose's seed."""
+    kept, seed = [], {}
+    for p in sorted(rows, key=lambda p: (-p[2], p[1])):
+        first = next((k for k in kept if k[0] == p[0] and near(k, p)), None)
+        if first is None:
+            kept.append(p)
+        seed[p[0], p[1]] = first[1] if first else p[1]
+    return {(p[0], p[1]) for p in kept}, seed
+
+
+def test_greedy_pose_steps(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 3, i, float(rng.integers(1, 6)), rotation(int(rng.integers(8))), rng.uniform(0, 1, 3)) for i in range(180)]
+    df = spark.createDataFrame([(s, i, v_, *map(float, r.ravel()), *map(float, t)) for s, i, v_, r, t in rows], poses.POSE)
+    close = lambda d: lambda a, b: np.linalg.norm(a[4] - b[4]) < d
+    assert {(r["scene"], r["pose_id"]) for r in poses.nms_centre(df, 0.3).collect()} == greedy_poses(rows, close(0.3))[0]
+    half = np.array([0.1, 0.3, 0.2])
+
+    def overlap(a, b):
+        (la, ha), (lb, hb) = ((p[4] - np.abs(p[3]) @ half, p[4] + np.abs(p[3]) @ half) for p in (a, b))
+        common = np.prod(np.clip(np.minimum(ha, hb) - np.maximum(la, lb), 0, None))
+        return common / (np.prod(ha - la) + np.prod(hb - lb) - common)
+
+    assert {(r["scene"], r["pose_id"]) for r in poses.nms_boxes(df, tuple(half), 0.2).collect()} == greedy_poses(rows, lambda a, b: overlap(a, b) > 0.2)[0]
+    turn = lambda a, b: np.arccos(np.clip((np.trace(a[3] @ b[3].T) - 1) / 2, -1, 1))
+    seeds, seed = greedy_poses(rows, lambda a, b: close(0.4)(a, b) and turn(a, b) < 1.5)
+    got = {(r["scene"], r["pose_id"]): r for r in poses.cluster(df, 0.4, 1.5, weighted=True).collect()}
+    assert set(got) == seeds
+    for key, r in got.items():
+        own = [p for p in rows if (p[0], seed[p[0], p[1]]) == key]
+        weight = np.array([p[2] for p in own])
+        assert r["n"] == len(own) and r["votes"] == pytest.approx(weight.sum())
+        assert np.allclose([r["tx"], r["ty"], r["tz"]], weight @ np.array([p[4] for p in own]) / weight.sum())
+        mean = np.array([r[n] for n in rot.NAMES]).reshape(3, 3)
+        assert np.allclose(mean @ mean.T, np.eye(3), atol=1e-6)
+        if len(own) == 1:
+            assert np.allclose(mean, own[0][3], atol=1e-5)
+
+
+def test_mean_rotation(spark):
+    rng = np.random.default_rng(5)
+    q = rng.standard_normal((40, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i % 2, *map(float, x), float(i % 3 + 1)) for i, x in enumerate(q)], "scene long, qw double, qx double, qy double, qz double, votes double")
+    for r in poses.mean_rotation(df, weight="votes").collect():
+        own = [i for i in range(40) if i % 2 == r["scene"]]
+        _, vectors = np.linalg.eigh(sum((i % 3 + 1) * np.outer(q[i], q[i]) for i in own))
+        assert abs(vectors[:, -1] @ [r["qw"], r["qx"], r["qy"], r["qz"]]) == pytest.approx(1, abs=1e-6)
+
+
+def test_sparse_icp_keeps_its_multipliers(spark):
+    """With outliers the multipliers of earlier steps matter; the plane mode comes closer on a smooth surface."""
+    dst = sphere(spark, 300)
+    m = np.eye(4)
+    m[:3, 3] = [0.03, -0.02, 0.02]
+    src = register.moved(dst, m)
+    src = src.withColumn("pt_id", F.col("pt_id") * 64 + 5)
+    rough = clouds.add_noise(src, 0.08, 3)
+    once, twice = (register.sparse_icp(rough, dst, 0.2, outer=k) for k in (1, 2))
+    # Two runs of one step each begin with multipliers of zero twice.
+    apart = register.sparse_icp(register.moved(rough, once), dst, 0.2, outer=1) @ once
+    assert not np.allclose(twice, apart, atol=1e-6)
+    assert np.linalg.norm((register.sparse_icp(src, dst, 0.2, outer=4, plane=True) @ m - np.eye(4))[:3, 3]) < 0.02
+    # Strides count rows, not ids.
+    pose, _ = register.icp(src, dst, register.IcpConfig(12, 0.01, 25.0, 2), radius=0.2)
+    assert np.allclose(pose @ m, np.eye(4), atol=0.03)
+
+
+def test_refined_poses(spark):
+    model, m = sphere(spark, 200), np.eye(4)
+    m[:3, 3] = [0.02, 0.01, -0.01]
+    scene = register.moved(model, m)
+    rows = [(1, *np.eye(3).ravel().tolist(), 0.01, 0.0, 0.0), (2, *np.eye(3).ravel().tolist(), 0.02, 0.01, 0.0)]
+    df = spark.createDataFrame(rows, "pose_id long, " + ", ".join(f"{n} double" for n in [*rot.NAMES, "tx", "ty", "tz"]))
+    for r in register.refine(df, model, scene, register.IcpConfig(8, 0.01, 25.0, 1), 0.2).collect():
+        assert np.allclose([r["tx"], r["ty"], r["tz"]], m[:3, 3], atol=0.02) and (r["error"] is None or r["error"] < 0.01)
+
+
+def test_centre_and_adi(spark):
+    truth = sphere(spark, 100)
+    near, far = truth.withColumn("x", F.col("x") + 0.02), truth.withColumn("x", F.col("x") + 0.6)
+    assert [evaluate.adi_and_centre(truth, f, 0.2, 0.1).first()["hit"] for f in (near, far)] == [True, False]
+
+
+def test_features_by_numpy(spark):
+    rng = np.random.default_rng(7)
+    p, n = rng.standard_normal((2, 3)), rng.standard_normal((2, 3))
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    values = {f"{s}{k}{c}": float(a[i][j]) for i, s in enumerate("ab") for k, a in (("", p), ("n", n)) for j, c in enumerate("xyz")}
+    got = one(spark, features.feature_exprs(v.vec("a"), v.vec("an"), v.vec("b"), v.vec("bn")), **values)
+    d = p[1] - p[0]
+    angle = lambda a, b: np.arccos(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    assert got == pytest.approx([np.linalg.norm(d), angle(n[0], d), angle(n[1], d), angle(n[0], n[1])])
+    assert one(spark, [v.dist_so2("a", "b")], a=3.0, b=-3.0)[0] == pytest.approx(2 * np.pi - 6)
+    q = [rng.standard_normal(4) for _ in range(2)]
+    q = [x / np.linalg.norm(x) for x in q]
+    named = {f"{s}{i}": float(x) for s, k in zip("ab", q) for i, x in enumerate(k)}
+    assert one(spark, [v.dist_so3([f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)])], **named)[0] == pytest.approx(2 * np.arccos(abs(q[0] @ q[1])))
+
+
 def one(spark, exprs, **values):
     row = spark.range(1).selectExpr(*[f"cast({x!r} AS double) AS {k}" for k, x in values.items()])
     return [float(x) for x in row.selectExpr(*exprs).first()]
