@@ -32,13 +32,15 @@ from .shared import drop_path, lower_words, mixed, new_path, partitions, word_ha
 KAPPA = 20.0
 #: Words of a chunk, and characters of text for a bucket.
 CHUNK, BUCKET = 2_000_000, 16_000_000
+#: Bits of a key that aren't sent: 40 and the bucket tell keys apart, of which a bucket has a few millions.
+DROPPED = 24
 #: The hash of the word before the first.
 OPENING = np.uint64(0)
 
 
 def _packed(x: np.ndarray) -> bytes:
     """Bytes of equal places side by side, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 3)
 
 
 def _unpacked(b: bytes, kind: type) -> np.ndarray:
@@ -100,7 +102,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
         rows = [(number, -1, ids, n.tolist(), _packed(hashes), _packed(codes), b"")]
         for k, (lo, hi) in enumerate(zip(g.cuts, g.cuts[1:], strict=False)):
             if lo < hi:
-                rows.append((number, k, None, None, _packed(g.keys[lo:hi] >> np.uint64(16)), _packed(t[lo:hi]), _packed(o[lo:hi])))
+                rows.append((number, k, None, None, _packed(g.keys[lo:hi] >> np.uint64(DROPPED)), _packed(t[lo:hi]), _packed(o[lo:hi])))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "doc_ids", "n", "x", "y", "z"])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +131,7 @@ def _sums(key, g: pd.DataFrame) -> pd.DataFrame:
     names, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     sums = [np.bincount(inverse, np.concatenate([_unpacked(x, np.int64) for x in g[c]]), len(names)).astype(np.int64) for c in ("y", "z")]
     rows = [(int(c), int(key[0]), *(_packed(s[inverse[lo:hi]]) for s in sums), None, None, None) for c, lo, hi in zip(g["chunk"], at, at[1:], strict=False)]
-    own = (names >> np.uint64(47) > 0) & (sums[0] + sums[1] > 0)
+    own = (names >> np.uint64(63 - DROPPED) > 0) & (sums[0] + sums[1] > 0)
     rows.append((None, int(key[0]), None, None, int(sums[0][own].sum()), int(sums[1][own].sum()), int(own.sum())))
     out = pd.DataFrame(rows, columns=["chunk", "bucket", "y", "z", "t", "g", "words"])
     return out.astype({"chunk": "Int64", "t": "Int64", "g": "Int64", "words": "Int64"})
@@ -172,7 +174,7 @@ def _with_roles(docs: DataFrame, target_ids: DataFrame, others: DataFrame | None
     """
     flags = target_ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("role", F.lit(0))
     rows = docs.select("doc_id", "text")
-    named = rows.where("doc_id IS NOT NULL").join(flags, "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(1)).alias("role"))
+    named = rows.where("doc_id IS NOT NULL").join(flags.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(1)).alias("role"))
     out = named.unionByName(rows.where("doc_id IS NULL").withColumn("role", F.lit(1)))
     return out if others is None else out.unionByName(others.select("doc_id", "text", F.lit(2).alias("role")))
 
@@ -186,13 +188,13 @@ def score(docs: DataFrame, target_ids: DataFrame, others: DataFrame | None = Non
     Without target documents both models are uniform and scores are 0. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    rows = _with_roles(docs, target_ids, others)
     size = docs.select(F.length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
     # So many that a bucket's keys fit in a task.
     buckets = max(partitions(spark), min(1 << 17, -(-size // BUCKET)))
     path = new_path(spark, "grams")
-    kinds = _chunks(rows, buckets).withColumn("kind", F.when(F.col("bucket") < 0, "texts").otherwise("counts"))
+    kinds = _chunks(_with_roles(docs, target_ids, others), buckets).withColumn("kind", F.when(F.col("bucket") < 0, "texts").otherwise("counts"))
     kinds.write.option("compression", "none").partitionBy("kind").parquet(path)
+    del kinds  # its shuffle can be cleaned up
     read = lambda kind: spark.read.schema(TEXTS + ", kind string").parquet(path).where(F.col("kind") == kind)
     each = "chunk long, bucket int, y binary, z binary, t long, g long, words long"
     sums_at = new_path(spark, "gram-sums")
