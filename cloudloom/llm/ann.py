@@ -230,16 +230,16 @@ def search(
     named = asked.groupBy("v").agg(F.min("vec_id").alias("id"))
     plan = named.select("id", "v").mapInPandas(probes, "id long, v array<double>, shelf int, cells array<int>")
     plan = written(plan, "ann-probes")
-    # One row a shelf: as few as a BLOCK-th of the entries.
+    # One row a cell, 1,024 squared at most, and one a shelf: small enough to be sent to all tasks, so that no cell's entries meet before they are dealt out.
     busy = plan.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb"))
     shape = T.StructType([T.StructField(c, T.IntegerType()) for c in ("cell", "shelf", "eb")])
     places = spark.createDataFrame([(c, s, cut[s]) for c, s in of.items()], shape)
-    places = places.join(busy, "shelf")
+    places = F.broadcast(written(places.join(busy, "shelf"), "ann-places"))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int").alias(n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n)
     null = lambda t: F.lit(None).cast(t)
     es = entries.join(places, "cell").select("shelf", deal("v", "eb"), every("qb"), F.lit(0).alias("query"), null("long").alias("id"), "v", "ids", "cell", null("array<int>").alias("cells"))
-    qs = plan.join(places.select("shelf", "eb", "qb").distinct(), "shelf")
+    qs = plan.join(F.broadcast(places.select("shelf", "eb", "qb").distinct()), "shelf")
     qs = qs.select("shelf", every("eb"), deal("id", "qb"), F.lit(1).alias("query"), "id", "v", null("array<long>").alias("ids"), null("int").alias("cell"), "cells")
     near = es.unionByName(qs).groupBy("shelf", "eb", "qb").applyInPandas(_best(keep + 1), "q long, score double, ids array<long>")
     # The best of each different query vector, then of each row that asks it.

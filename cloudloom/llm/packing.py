@@ -10,8 +10,9 @@ passed between them. Within a window the sources follow one another, and the who
 stream is cut into sequences of `length` tokens; the rest of under `length` tokens
 becomes sequences of powers of two, so nothing is padded.
 
-Shares are those of the sources in the table, or `targets` (share by source); with
-targets, sources run dry at different windows, and the shares left are scaled up.
+Shares are `targets` (share by source; sources without one come last), or those of the sources' tokens
+in the table to a `power`: 1 for their own shares, less to level them. Unless they are the own shares,
+sources run dry at different windows, and the shares left are scaled up.
 
 Token ids are computed once, into a table in the shared folder; its rows aren't
 shuffled. What joins them is one count a source and file.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import encode
 from .shared import written
 
-#: Sources with queues of their own; those with fewer tokens share the last queue.
+#: Sources with queues of their own, besides those with targets; further ones with fewer tokens share the last queue.
 QUEUES = 1024
 
 
@@ -94,6 +95,7 @@ def pack(
     length: int = 4096,
     window: int = 64 * 4096,
     targets: dict[str, float] | None = None,
+    power: float = 1.0,
 ) -> DataFrame:
     """doc_id, source, start, ids (binary), n, doc_tokens, window, sequence_id, offset of each piece.
 
@@ -104,14 +106,16 @@ def pack(
     spark = docs.sparkSession
     counts = written(t.groupBy("source", "part").agg(F.sum("n").alias("n")), "pack-counts")
     top = counts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES - 1)
-    own = sorted((r["source"] for r in top.collect()))
+    own = sorted({r["source"] for r in top.collect()} | set(targets or {}))
     queue = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in own]).cast("array<string>"), F.col("source")) - 1, F.lit(-1))
     queue = F.when(queue < 0, len(own)).otherwise(queue).cast("int")
     sums = {r["q"]: r["n"] for r in counts.groupBy(queue.alias("q")).agg(F.sum("n").alias("n")).collect()}
     totals = [sums.get(q, 0) for q in range(len(own) + 1)]
     if not sum(totals):
         return spark.createDataFrame([], PIECES)
-    shares = None if targets is None else [targets.get(s, 0.0) for s in own] + [0.0]
+    shares = [n**power for n in totals] if targets is None else [targets.get(s, 0.0) for s in own] + [0.0]
+    if targets is None and power == 1:
+        shares = None
     return _laid_out(t, _bases(counts, queue), queue, phases(totals, shares), sum(totals), length, window)
 
 
@@ -147,9 +151,10 @@ def _laid_out(
             for i, (k, sent, take) in enumerate(runs)
         ]
     )
-    out = out.select("*", F.explode(tables).alias("r"))
+    # Only the phases that a document's tokens lie in.
+    meets = lambda r: (r["take"][F.col("q")] > 0) & (F.col("a") < r["sent"][F.col("q")] + r["take"][F.col("q")]) & (F.col("a") + F.col("doc_tokens") > r["sent"][F.col("q")])
+    out = out.select("*", F.explode(F.filter(tables, meets)).alias("r"))
     out = out.select("*", F.expr("r.sent[q]").alias("from_"), F.expr("r.take[q]").alias("has"))
-    out = out.where("has > 0 AND a < from_ + has AND a + doc_tokens > from_")
     # lo, hi: the piece's tokens in its queue, counted from the phase's start.
     out = out.withColumn("lo", F.expr("greatest(a - from_, 0L)")).withColumn("hi", F.expr("least(a + doc_tokens - from_, has)"))
     d = lambda x: f"cast({x} AS decimal(19,0))"
@@ -185,8 +190,8 @@ def _laid_out(
     )
 
 
-def digest(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
-    return pack(docs, **how).select(
+def digest(docs: DataFrame, power: float = 0.7, **how) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; large sources are levelled by `power`."""
+    return pack(docs, power=power, **how).select(
         "doc_id", "start", F.col("n").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
