@@ -65,8 +65,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[0]
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder of the shared one, which is deleted when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        root = f"{shared_dir(spark)}/cloudloom-{app}-{uuid.uuid4().hex[:8]}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(p)
+        system.deleteOnExit(p)
+        _ROOTS[app] = root
+    return f"{_ROOTS[app]}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:

@@ -252,7 +252,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, with all their columns, that the model doesn't reject (score under 0.5)."""
+    """The rows of `docs`, with all their columns, that the model doesn't reject (score under 0.5).
+
+    Each row is judged by its text alone: null and empty texts get the bias, repeated rows and null doc_ids are rows
+    like any other, and an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

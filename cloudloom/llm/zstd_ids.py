@@ -19,6 +19,7 @@ hold ascending doc_ids.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -46,7 +47,7 @@ FOOTER = struct.Struct("<IBI")
 ENTRY = struct.Struct("<III")
 HEAD = struct.Struct("<II")
 
-FRAME_IDS = 1 << 16
+FRAME_IDS, FILE_CHARS = 1 << 16, 64 << 20
 
 
 class Writer:
@@ -159,28 +160,38 @@ class Reader:
         return {d: np.frombuffer(b"".join(p), "<u4") for d, p in out.items()}
 
 
+def _system(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """Arrow's file system and path of a URI; s3a, which only Hadoop knows by this name, is s3."""
+    return arrow_fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def _opened(uri: str):
-    system, path = arrow_fs.FileSystem.from_uri(uri)
+    system, path = _system(uri)
     return system.open_input_file(path)
 
 
-def write(docs: DataFrame, path: str | None = None, end: int = 0, files: int | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str | None = None, end: int = 0, files: int | None = None, folder: str | None = None) -> DataFrame:
     """Write the ids of all whole texts; returns one row for each file: part, uri, docs, ids.
 
     A null text counts as empty, and each document ends with the id `end`. Null doc_ids
     come first; repeated ones stand side by side. Rows of a lost task are written again
-    under the same name: a file gets its name when it is complete.
+    under the same name: a file gets its name when it is complete. `folder` must be a store that
+    Arrow reads; without it files go to the shared folder and are deleted with the application.
+    Files hold about FILE_CHARS characters of text each, so their directories stay small.
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    folder = new_path(spark, "zstd-ids")
-    system, local = arrow_fs.FileSystem.from_uri(folder)
+    folder = folder or new_path(spark, "zstd-ids")
+    system, local = _system(folder)
     system.create_dir(local, recursive=True)
+    if files is None:
+        chars = docs.select(F.length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
+        files = max(partitions(spark), -(-chars // FILE_CHARS))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, task = encode.table(path), TaskContext.get()
         tail = np.array([end], "<u4").tobytes()
-        system, to = arrow_fs.FileSystem.from_uri(folder)
+        system, to = _system(folder)
         name = f"{to}/ids-{task.partitionId():06d}.zst"
         partial = f"{to}/.ids-{task.partitionId():06d}-{task.taskAttemptId()}"
         with system.open_output_stream(partial) as out:
@@ -194,7 +205,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = 0, files: int | N
         yield pd.DataFrame({"part": [task.partitionId()], "uri": [uri], "docs": [len(w.counts)], "ids": [sum(w.counts)]})
 
     tie = F.xxhash64("text")
-    rows = docs.select("doc_id", "text").repartitionByRange(files or partitions(spark), "doc_id", tie)
+    rows = docs.select("doc_id", "text").repartitionByRange(files, "doc_id", tie)
     rows = rows.sortWithinPartitions("doc_id", tie)
     return written(rows.mapInPandas(each, "part int, uri string, docs long, ids long"), "zstd-files")
 

@@ -84,6 +84,40 @@ def test_toxicity_held_out(spark):
     assert np.mean([a > b for a in toxic for b in clean]) > 0.95
 
 
+def test_ftrl_by_a_plain_loop():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(0, 12))).astype(np.int64) for _ in range(60)]
+    y = np.array([float(3 in x or 7 in x) for x in rows])
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.3, 0.5
+    m = toxicity.fit(rows, y, alpha, beta, l1, l2, epochs=2)
+    z, g2, order = defaultdict(float), defaultdict(float), np.random.default_rng(7)
+
+    def weight(i):
+        least = 0.0 if i == "bias" else l1
+        return 0.0 if abs(z[i]) <= least else -(z[i] - math.copysign(least, z[i])) / ((beta + math.sqrt(g2[i])) / alpha + l2)
+
+    for _ in range(2):
+        for k in order.permutation(60):
+            on = ["bias", *rows[k].tolist()]
+            w = {i: weight(i) for i in on}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[k]
+            for i in on:
+                s = (math.sqrt(g2[i] + g * g) - math.sqrt(g2[i])) / alpha
+                z[i] += g - s * w[i]
+                g2[i] += g * g
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert dict(zip(m.ids.tolist(), m.weights.tolist())) == pytest.approx(want) and m.bias == pytest.approx(weight("bias"))
+
+
+def test_toxicity_of_repeated_labels(spark):
+    docs = spark.createDataFrame([(i, f"some words {'vile' if i % 2 else 'kind'} {i}") for i in range(60)] * 2, "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)]
+    once, twice = (toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, labels + labels + [(1, 0), (3, None), (None, 1)]))
+    assert (once.ids == twice.ids).all() and np.allclose(once.weights, twice.weights) and once.bias == twice.bias
+    got = toxicity.score(docs, once).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got) and len(got) == 120
+
+
 def test_toxicity_features_across_chunks(monkeypatch):
     text = " ".join(f"w{i % 37}" for i in range(500))
     whole = toxicity.features(text)

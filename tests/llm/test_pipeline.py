@@ -75,5 +75,17 @@ def test_all_tokens_are_packed(kept):
     assert got == want
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty texts, repeated rows, an empty table and clashing columns: no stage crashes or loses a clean row."""
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "a clean text of some words", None, "a", 1), (2, "a clean text of some words", None, "a", 1), (None, "another text, without an id", "en", None, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", *[f"'x' AS {c}" for c in ("codes", "id", "h", "label", "n_lines", "role")])
+    for name, stage in p.STAGES:
+        got = stage(spark, docs, SF)
+        ids = {r["doc_id"] for r in got.collect()}
+        assert ids == {None, 1, 2}, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run(spark, kept):
     assert p.run(spark, SF).count() > 0
