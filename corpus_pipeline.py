@@ -1,4 +1,9 @@
-"""The training-corpus pipeline: toxicity, line dedup, SimHash near-dedup, decontamination, packing."""
+"""The training-corpus pipeline: toxicity, line dedup, SimHash near-dedup, decontamination, packing.
+
+Every stage takes rows as they come: null and empty texts, null or repeated doc_ids, nulls in other
+columns and further columns (which are left out) don't stop it, and an empty table gives an empty one.
+What a stage does with such rows is said at each.
+"""
 
 from __future__ import annotations
 
@@ -15,28 +20,28 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on this run's labels, doesn't reject."""
+    """Documents that the toxicity model, fitted on this run's labels, doesn't reject; each row by its text alone, a null text as an empty one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs.select(*COLUMNS), toxicity.train(docs, labels))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their repeated lines."""
+    """All rows, without their repeated lines. Rows of one doc_id count as one document, null doc_ids as the smallest; a null text stays null."""
     return _counted(line_dedup.dedup_lines(docs.select(*COLUMNS)))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group; empty texts are alike, rows with a null doc_id all stay, and so do all rows of the document that stays."""
     return simhash.dedup(docs.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of `benchmark`."""
+    """Documents that hold no passage of `benchmark`; each row by its text alone, null texts hold nothing."""
     return decontaminate.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
+    """The pieces of all rows in training sequences; a null text is the end id alone, a null source a queue of its own."""
     return packing.digest(docs)
 
 
