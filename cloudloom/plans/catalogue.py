@@ -409,14 +409,33 @@ def pose_cluster_r3(spark, sf_dir):
     return poses.cluster(w.poses(spark, sf_dir), 0.2, None)
 
 
-@query()
+_BEFORE = "SELECT * FROM (SELECT p.scene, p.pose_id AS a, q.pose_id AS b, {} AS hit FROM poses p JOIN poses q ON p.scene = q.scene AND p.pose_id <> q.pose_id{}) AS t WHERE hit"
+_FAR = v.norm2(tuple(f"(p.t{c} - q.t{c})" for c in "xyz"))
+_HALF = (0.1, 0.2, 0.1)
+
+
+def _side(i: int, c: str) -> str:
+    """The common length of two turned boxes' bounds along an axis."""
+    reach = {p: "(" + " + ".join(f"abs({p}.r{i}{j}) * {h}" for j, h in enumerate(_HALF)) + ")" for p in "pq"}
+    return f"greatest(0, least(p.t{c} + {reach['p']}, q.t{c} + {reach['q']}) - greatest(p.t{c} - {reach['p']}, q.t{c} - {reach['q']}))"
+
+
+def _volume(p: str) -> str:
+    return " * ".join("(2 * (" + " + ".join(f"abs({p}.r{i}{j}) * {h}" for j, h in enumerate(_HALF)) + "))" for i in range(3))
+
+
+_COMMON = " * ".join(_side(i, c) for i, c in enumerate("xyz"))
+_KEPT = "SELECT scene, pose_id, votes FROM poses JOIN kp USING (scene, pose_id)"
+
+
+@query(w.with_(w.recursive("poses"), *w.greedy("poses", "scene", "pose_id", "votes DESC, pose_id", "(" + _BEFORE.format(f"{_FAR} < 0.2 * 0.2", "") + ")"), select=_KEPT))
 def nms_center(spark, sf_dir):
     return poses.nms_centre(w.poses(spark, sf_dir), 0.2).select("scene", "pose_id", "votes")
 
 
-@query()
+@query(w.with_(w.recursive("poses"), *w.greedy("poses", "scene", "pose_id", "votes DESC, pose_id", "(" + _BEFORE.format(f"{_COMMON} > 0.2 * ({_volume('p')} + {_volume('q')} - {_COMMON})", "") + ")"), select=_KEPT))
 def nms_bbox(spark, sf_dir):
-    return poses.nms_boxes(w.poses(spark, sf_dir), (0.1, 0.2, 0.1), 0.2).select("scene", "pose_id", "votes")
+    return poses.nms_boxes(w.poses(spark, sf_dir), _HALF, 0.2).select("scene", "pose_id", "votes")
 
 
 @query()
@@ -482,12 +501,15 @@ def sparse_icp(spark, sf_dir):
 # Greedy thinning, planes and parts
 
 
-@query()
+_THIN = [w.recursive("pts"), w.near(0.1), *w.greedy("pts", "obj", "pt_id", "pt_id", "(SELECT obj, q_pt_id AS a, pt_id AS b FROM near)")]
+
+
+@query(w.with_(*_THIN, select="SELECT obj, pt_id FROM kp"))
 def poisson_disk(spark, sf_dir):
     return cleaning.poisson_disk(w.points(spark, sf_dir), 0.1).select("obj", "pt_id")
 
 
-@query()
+@query(w.with_(*_THIN, select="SELECT n.obj, n.q_pt_id AS pt_id, arg_min(n.pt_id, (n.d2, n.pt_id)) AS target FROM near n JOIN kp ON kp.obj = n.obj AND kp.pt_id = n.pt_id GROUP BY 1, 2"))
 def merge_close(spark, sf_dir):
     return cleaning.merge_close(w.points(spark, sf_dir), 0.1)
 

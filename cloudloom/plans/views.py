@@ -91,6 +91,25 @@ def knn(k: int, cloud: str = "pts", refs: str | None = None, include_self: bool
     return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_obj, q_pt_id ORDER BY d2, pt_id) AS rank FROM ({inner}) AS a) AS b WHERE rank <= {k})"
 
 
+def greedy(cloud: str, key: str, point: str, order: str, conflicts: str) -> list[str]:
+    """SQL of cleaning.greedy, one row of `cloud` after the other in this order: kp holds key and point of what is kept.
+
+    `conflicts` is a relation of pairs (key, a, b) of points that exclude each other.
+    """
+    return [
+        f"ord AS (SELECT {key}, {point}, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k FROM {cloud})",
+        f"conf AS (SELECT o.{key}, o.k, list(p.k) AS l FROM {conflicts} c JOIN ord o ON o.{key} = c.{key} AND o.{point} = c.a JOIN ord p ON p.{key} = c.{key} AND p.{point} = c.b WHERE p.k < o.k GROUP BY 1, 2)",
+        f"""gr AS (SELECT DISTINCT {key}, 0::BIGINT AS k, []::BIGINT[] AS kept FROM ord UNION ALL
+        SELECT g.{key}, g.k + 1, CASE WHEN list_has_any(coalesce(c.l, []), g.kept) THEN g.kept ELSE list_append(g.kept, g.k + 1) END
+        FROM gr g JOIN ord o ON o.{key} = g.{key} AND o.k = g.k + 1 LEFT JOIN conf c ON c.{key} = g.{key} AND c.k = g.k + 1)""",
+        f"kp AS (SELECT f.{key}, o.{point} FROM (SELECT {key}, unnest(max_by(kept, k)) AS k FROM gr GROUP BY {key}) f JOIN ord o USING ({key}, k))",
+    ]
+
+
+def recursive(cte: str) -> str:
+    return "RECURSIVE " + CTE[cte]
+
+
 def with_(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(CTE.get(p, p) for p in parts) + "\n" + select
 
