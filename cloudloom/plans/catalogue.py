@@ -629,7 +629,7 @@ def mesh_euler(spark, sf_dir):
     return mesh.euler_numbers(_faces(spark, sf_dir)[0])
 
 
-@query(w.with_("dense", select="SELECT obj, arg_min(a, face) AS a, arg_min(b, face) AS b, arg_min(c, face) AS c, min(face) AS face FROM (SELECT obj, pt_id AS face, x, y, z, cast(x AS bigint) AS a, cast(floor(y) AS bigint) AS b, cast(z AS bigint) AS c FROM (SELECT obj, pt_id, x, y, floor(z) AS z FROM dense) AS d) AS f WHERE a <> b AND b <> c AND a <> c GROUP BY obj, list_sort([a, b, c])"))
+@query(w.with_("dense", select="SELECT obj, arg_min(a, (face, a, b, c)) AS a, arg_min(b, (face, a, b, c)) AS b, arg_min(c, (face, a, b, c)) AS c, min(face) AS face FROM (SELECT obj, pt_id AS face, x, y, z, cast(x AS bigint) AS a, cast(floor(y) AS bigint) AS b, cast(z AS bigint) AS c FROM (SELECT obj, pt_id, x, y, floor(z) AS z FROM dense) AS d) AS f WHERE a <> b AND b <> c AND a <> c GROUP BY obj, list_sort([a, b, c])"))
 def mesh_duplicate_faces(spark, sf_dir):
     f = w.dense(spark, sf_dir).selectExpr("obj", "pt_id AS face", "cast(x AS bigint) AS a", "cast(floor(y) AS bigint) AS b", "cast(floor(z) AS bigint) AS c")
     return mesh.drop_duplicate_faces(f).select("obj", "a", "b", "c", "face")
