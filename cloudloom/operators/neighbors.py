@@ -25,16 +25,19 @@ def celled(cloud: DataFrame, radius: float) -> DataFrame:
 
 
 def radius_join(
-    queries: DataFrame, refs: DataFrame, radius: float, key: str = "obj", strict: bool = True
+    queries: DataFrame, refs: DataFrame, radius: float, key: str = "obj", strict: bool = True, copied: str = "queries"
 ) -> DataFrame:
-    """All columns of both sides (queries' with q_ before them) and d2, for pairs of one cloud within the radius."""
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    q = q.select("*", F.explode(F.expr(f"array({', '.join(AROUND)})")).alias("s"))
-    q = q.select(
-        *[c for c in q.columns if c != "s"],
-        *[(F.floor(F.col(f"q_{c}") / radius) + F.col(f"s.{s}")).alias(f"c{c}") for c, s in zip("xyz", "abc", strict=True)],
-    ).withColumn(key, F.col(f"q_{key}"))
-    both = q.join(celled(refs, radius), [key, "cx", "cy", "cz"])
+    """All columns of both sides (queries' with q_ before them) and d2, for pairs of one cloud within the radius.
+
+    The side named by `copied`, best the smaller one, stands in its cell and the 26 around it.
+    """
+    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn(key, F.col(f"q_{key}"))
+    placed = []
+    for name, side, p in (("queries", q, "q_"), ("refs", refs, "")):
+        shift = F.explode(F.expr(f"array({', '.join(AROUND)})")) if name == copied else F.expr("struct(0 AS a, 0 AS b, 0 AS c)")
+        cell = [(F.floor(F.col(f"{p}{c}") / radius) + F.col(f"s.{s}")).alias(f"c{c}") for c, s in zip("xyz", "abc", strict=True)]
+        placed.append(side.select("*", shift.alias("s")).select(*side.columns, *cell))
+    both = placed[0].join(placed[1], [key, "cx", "cy", "cz"])
     d2 = F.expr("(x - q_x) * (x - q_x) + (y - q_y) * (y - q_y) + (z - q_z) * (z - q_z)")
     near = F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius
     return both.withColumn("d2", d2).where(near).drop("cx", "cy", "cz")
