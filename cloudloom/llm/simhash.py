@@ -30,16 +30,14 @@ from pyspark.sql import functions as F
 
 from .shared import drop_path, join_spread, mixed, new_path, word_hashes, written
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = {ord(c): c.lower() for c in UPPER}
-#: Fixed: the words' separators are \x20 and \x09 to \x0D.
-SPACES = {c: " " for c in range(9, 14)}
+#: Fixed: the words' separators are \x20 and \x09 to \x0D; A-Z become lower case.
+PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1024
 
 
-def words_of(text: str | None) -> list[str]:
-    """A-Z in lower case; str.split(" ") on the translated text gives the runs of other characters."""
-    return [x for x in (text or "").translate(LOWER | SPACES).split(" ") if x]
+def words_of(text: str | None) -> list[bytes]:
+    """The runs between separators, in UTF-8, with A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(PLAIN).split()
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -50,7 +48,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     w = words_of(text)
     if not w:
         return 0
-    digest, one = xxhash.xxh64_intdigest, " ".join
+    digest, one = xxhash.xxh64_intdigest, b" ".join
     n = max(1, len(w) - words + 1)
     total = np.zeros(64, np.int64)
     step = 1 << 14
