@@ -5,8 +5,9 @@
     cloud.write.format("ply").option("encoding", "ascii").mode("overwrite").save("/path")
 
 Rows are (file, pt_id, x, y, z, nx, ny, nz); normals are null where a file has none.
-A file is one partition; a task reads the header and then only its vertex block. The
-writer makes one file for each partition. Paths must be readable on the executors.
+A file is one partition, and its rows leave the task as Arrow batches. The writer makes one
+file for each partition, with colours where the rows have red, green and blue. The data source
+opens paths on the executors; `read` takes any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from __future__ import annotations
 import glob
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "file string, pt_id long, x double, y double, z double, nx double, ny double, nz double"
@@ -138,29 +142,51 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            got = vertices(f.read())
-        none = [None] * len(got["x"])
-        columns = [got[c].tolist() if c in got else none for c in COLUMNS]
-        for i, row in enumerate(zip(*columns, strict=True)):
-            yield (os.path.basename(partition.path), i, *row)
+            yield from _batches(os.path.basename(partition.path), f.read())
+
+
+#: Rows of an Arrow batch.
+ROWS = 65_536
+ARROW = pa.schema([("file", pa.string()), ("pt_id", pa.int64()), *[(c, pa.float64()) for c in COLUMNS]])
+
+
+def _batches(name: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    got = vertices(data)
+    n = len(got["x"])
+    for at in range(0, n, ROWS):
+        size = min(ROWS, n - at)
+        columns = [pa.array(got[c][at : at + size]) if c in got else pa.nulls(size, pa.float64()) for c in COLUMNS]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * size, pa.string()), pa.array(np.arange(at, at + size)), *columns], schema=ARROW)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The points of all files under the path, in any store that Spark reads; `file` is the file's name."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                yield from _batches(p.rsplit("/", 1)[-1], data)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(each, SCHEMA)
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, encoding: str):
-        self.path, self.encoding = re.sub("^file:(//)?", "", path), encoding
+    def __init__(self, path: str, encoding: str, colours: bool):
+        self.path, self.encoding, self.colours = re.sub("^file:(//)?", "", path), encoding, colours
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, rows):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        values = np.array([[r[c] if r[c] is not None else 0.0 for c in COLUMNS] for r in rows], float).reshape(-1, 6)
+        names = COLUMNS + (["red", "green", "blue"] if self.colours else [])
+        values = np.array([[r[c] if r[c] is not None else 0.0 for c in names] for r in rows], float).reshape(-1, len(names))
         if not len(values):
             return WriterCommitMessage()
         name = f"{self.path}/part-{task.partitionId():05d}.ply"
         partial = f"{name}.{task.taskAttemptId()}"
         with open(partial, "wb") as f:
-            f.write(encoded(values, self.encoding))
+            f.write(encoded(values[:, :6], self.encoding, values[:, 6:].astype(np.uint8) if self.colours else None))
         os.replace(partial, name)
         return WriterCommitMessage()
 
@@ -177,7 +203,7 @@ class PlySource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], self.options.get("encoding", "binary_little_endian"))
+        return _Writer(self.options["path"], self.options.get("encoding", "binary_little_endian"), {"red", "green", "blue"} <= set(schema.names))
 
 
 def normal_tips(cloud, length: float = 1.0):

@@ -6,6 +6,8 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs as arrow_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Magic numbers and the record's layout (votes have four bytes).
@@ -64,3 +66,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype({"cluster_id": "Int32", "cluster_votes": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(each, SCHEMA)
+
+
+def write(poses: DataFrame, folder: str) -> int:
+    """Write rows (as of `read`) to files poses-NNNNN.bin in a folder that Arrow's file systems open; returns how many poses.
+
+    Rows with a cluster_id are written as clusters, each with all its rows of a partition; the frame should be
+    partitioned by it. A file gets its name when it is complete, so a task that runs again replaces its file.
+    """
+    system, at = arrow_fs.FileSystem.from_uri(folder)
+    system.create_dir(at, recursive=True)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain, clusters, n = [], {}, 0
+        for b in batches:
+            for r in b.to_dict("records"):
+                one = pack(r["angle"], r["num_votes"], r["model_index"], list(r["pose"]), list(r["t"]), list(r["q"]), r["residual"])
+                if pd.isna(r["cluster_id"]):
+                    plain.append(one)
+                else:
+                    clusters.setdefault((int(r["cluster_id"]), int(r["cluster_votes"])), []).append(one)
+                n += 1
+        if n:
+            task = TaskContext.get()
+            system, at = arrow_fs.FileSystem.from_uri(folder)
+            name = f"{at}/poses-{task.partitionId():05d}.bin"
+            with system.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
+                out.write(b"".join(plain) + b"".join(pack_cluster(c, v, ps) for (c, v), ps in sorted(clusters.items())))
+            system.move(f"{name}.{task.taskAttemptId()}", name)
+        yield pd.DataFrame({"n": [n]})
+
+    return poses.mapInPandas(each, "n long").groupBy().sum("n").first()[0] or 0

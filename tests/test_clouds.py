@@ -264,7 +264,14 @@ def test_ply_round_trip(spark, encoding):
     cloud.select(*ply.COLUMNS).write.format("ply").option("encoding", encoding).mode("overwrite").save(out)
     got = spark.read.format("ply").load(out).select(*ply.COLUMNS).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, cloud.select(*ply.COLUMNS).collect()))
-    assert ply.normal_tips(cloud).count() == 100
+    again = ply.read(spark, out).select(*ply.COLUMNS).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    tips = ply.normal_tips(cloud)
+    assert tips.count() == 100
+    tips.coalesce(1).write.format("ply").option("encoding", encoding).mode("overwrite").save(f"{out}/tips")
+    with open(next(os.path.join(f"{out}/tips", f) for f in os.listdir(f"{out}/tips") if f.endswith(".ply")), "rb") as f:
+        red = ply.vertices(f.read())["red"]
+    assert sorted(red) == [0] * 50 + [255] * 50
 
 
 def test_ply_headers():
@@ -286,6 +293,10 @@ def test_pose_files(spark):
         f.write(p + posefile.pack_cluster(3, 14, [p, p]))
     got = posefile.read(spark, out).collect()
     assert [(r["cluster_id"], r["num_votes"], r["angle"], r["t"]) for r in got] == [(None, 7, 0.5, [1.0, 2.0, 3.0]), (3, 7, 0.5, [1.0, 2.0, 3.0]), (3, 7, 0.5, [1.0, 2.0, 3.0])]
+    assert posefile.write(posefile.read(spark, out).coalesce(1), f"file://{out}/again") == 3
+    cols = ["cluster_id", "cluster_votes", "pose_id", "angle", "num_votes", "model_index", "pose", "t", "q", "residual"]
+    both = [sorted(map(str, posefile.read(spark, p).select(*cols).collect())) for p in (f"{out}/a.bin", f"{out}/again")]
+    assert both[0] == both[1]
 
 
 def test_result_maps(spark):
