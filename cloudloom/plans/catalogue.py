@@ -438,9 +438,22 @@ def nms_bbox(spark, sf_dir):
     return poses.nms_boxes(w.poses(spark, sf_dir), _HALF, 0.2).select("scene", "pose_id", "votes")
 
 
-@query()
+_Q4 = ("qw", "qx", "qy", "qz")
+_AT = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+_UPPER = [(i, j) for i in range(4) for j in range(i, 4)]
+_SQUARED = {ij: "(" + " + ".join(f"{_AT(ij[0], k)} * {_AT(k, ij[1])}" for k in range(4)) + ")" for ij in _UPPER}
+_TRACE = " + ".join(_SQUARED[i, i] for i in range(4))
+# Squared again and again and scaled to a trace of 1, the matrix becomes the projector onto its leading eigenvector.
+_POWER = [
+    "mm AS (SELECT scene, count(*) AS n, " + ", ".join(f"cast(sum(cast(floor({_Q4[i]} * {_Q4[j]} * votes * 1e9 + 0.5) AS bigint)) AS double) / 1e9 AS {_AT(i, j)}" for i, j in _UPPER) + " FROM poses GROUP BY scene)",
+    "sq AS (SELECT *, 0 AS step FROM mm UNION ALL SELECT scene, n, " + ", ".join(f"{e} / ({_TRACE})" for e in _SQUARED.values()) + ", step + 1 FROM sq WHERE step < 40)",
+    "top AS (SELECT *, list_position([a00, a11, a22, a33], greatest(a00, a11, a22, a33)) AS j FROM sq WHERE step = 40)",
+]
+
+
+@query(w.with_(w.recursive("poses"), *_POWER, select="SELECT scene, n, " + ", ".join(f"round([{', '.join(_AT(i, j) for j in range(4))}][j] / sqrt([a00, a11, a22, a33][j]), 6) AS {q}" for i, q in enumerate(_Q4)) + " FROM top"))
 def markley_avg(spark, sf_dir):
-    return poses.mean_rotation(w.poses(spark, sf_dir), weight="votes")
+    return poses.mean_rotation(w.poses(spark, sf_dir), weight="votes").selectExpr("scene", "n", *w.rounded(" ".join(_Q4)))
 
 
 @query()
