@@ -55,7 +55,7 @@ class _Met(dict):
 class Pieces:
     """A tokenizer and the pieces met lately, with their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.most = most
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True

@@ -33,6 +33,8 @@ from .shared import written
 
 #: Sources with queues of their own, besides those with targets; further ones with fewer tokens share the last queue.
 QUEUES = 1024
+#: Texts that are encoded together.
+SLICE = 500
 
 
 def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -45,14 +47,17 @@ def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
         table = encode.table(path)
         tail = np.array([end], "<u4").tobytes()
         sent: dict[str | None, int] = {}
-        for b in batches:
-            ids = [x + tail for x in table.encode([x or "" for x in b["text"]])]
-            n = [len(x) // 4 for x in ids]
-            at = []
-            for s, k in zip(b["source"], n, strict=True):
-                at.append(sent.get(s, 0))
-                sent[s] = at[-1] + k
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "part": b["part"], "at": at, "n": n, "ids": ids})
+        for whole in batches:
+            # A few texts at a time, so that a batch's ids aren't held together.
+            for first in range(0, len(whole), SLICE):
+                b = whole.iloc[first : first + SLICE]
+                ids = [x + tail for x in table.encode([x or "" for x in b["text"]])]
+                n = [len(x) // 4 for x in ids]
+                at = []
+                for s, k in zip(b["source"], n, strict=True):
+                    at.append(sent.get(s, 0))
+                    sent[s] = at[-1] + k
+                yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "part": b["part"], "at": at, "n": n, "ids": ids})
 
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.select("doc_id", "text", source.alias("source"), F.spark_partition_id().alias("part"))

@@ -39,7 +39,7 @@ class _Words(dict):
     """Hashes of the words met lately."""
 
     def __missing__(self, w: str | bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[w] = h = xxhash.xxh64_intdigest(w)
         return h

@@ -352,7 +352,8 @@ def similar(
 def _alike(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are similar. Equal fingerprints have as good as equal shingles: any row stands for them."""
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    of = written(rows.join(asked, "id", "left_semi").select("id", "shingles").dropDuplicates(["id"]), "simhash-shingles")
+    of = join_spread(rows.select("id", "doc_id", "shingles"), asked, "id").select("id", "shingles").dropDuplicates(["id"])
+    of = written(of, "simhash-shingles")
     side = lambda x: of.select(F.col("id").alias(x), F.col("shingles").alias("s" + x))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))

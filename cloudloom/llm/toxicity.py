@@ -31,7 +31,7 @@ class _Hashes(dict):
     """32-bit hashes of the words met lately."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[w] = h = zlib.crc32(w)
         return h
