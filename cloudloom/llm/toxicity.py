@@ -158,82 +158,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
     return Model(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weights"], float), r["bias"])
 
 
-def score(self, x: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40))))
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5, epochs: int = 5) -> Model:
-    """FTRL-proximal over the rows, `epochs` times in seeded orders. Without rows: the score is 0.5 less a hair."""
-    names, place = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
-    rows = np.split(place, np.cumsum([len(x) for x in rows])[:-1]) if rows else []
-    z, g2 = np.zeros(len(names)), np.zeros(len(names))
-    zb = gb = 0.0
-    order = np.random.default_rng(7)
-    bias = lambda: -zb / ((beta + np.sqrt(gb)) / alpha + l2)  # noqa: E731  without L1
-
-    def weights(x: np.ndarray) -> np.ndarray:
-        zx = z[x]
-        return np.where(np.abs(zx) <= l1, 0, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(g2[x])) / alpha + l2))
-
-    for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            x = rows[i]
-            w, b = weights(x), bias()
-            p = 1 / (1 + np.exp(-np.clip(b + w.sum(), -40, 40)))
-            g = float(p - y[i])
-            # Long texts share one step among their features.
-            gx = g / np.sqrt(max(1.0, len(x) / 256))
-            s = (np.sqrt(g2[x] + gx * gx) - np.sqrt(g2[x])) / alpha
-            z[x] += gx - s * w
-            g2[x] += gx * gx
-            sb = (np.sqrt(gb + g * g) - np.sqrt(gb)) / alpha
-            zb += g - sb * b
-            gb += g * g
-    kept = np.flatnonzero(np.abs(z) > l1)
-    return Model(names[kept], weights(kept), float(bias()) if len(rows) else -1e-6)
-
-
-def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """y, x: labelled rows outside the held-out fifth, `per_class` doc_ids of each label at most.
-
-    The doc_ids are chosen among the labels alone; the texts of so few are found without a shuffle.
-    """
-    y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    parts = [y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    # At most 2 * per_class rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
-    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"y": b["y"], "x": [features(t).tobytes() for t in b["text"]]})
-
-    return rows.select("y", "text").mapInPandas(each, "y int, x binary")
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
-    """Fit on at most 2 * `per_class` rows, the only ones that reach the driver, one partition at a time.
-
-    Features that only one of these rows has teach nothing about others; a table of small counters
-    finds most of them, and they are left out before the fit.
-    """
-    seen, rows, y = np.zeros(1 << 24, np.uint8), [], []
-    low = len(seen) - 1
-    for r in training_rows(docs, labels, per_class).toLocalIterator():
-        x = np.frombuffer(r["x"], np.int64)
-        at = x & low
-        seen[at] = np.minimum(seen[at], 1) + 1
-        rows.append(x)
-        y.append(r["y"])
-    rows = [x[seen[x & low] > 1] for x in rows]
-    order = sorted(range(len(rows)), key=lambda i: (zlib.crc32(rows[i].tobytes()), len(rows[i])))
-    return fit([rows[i] for i in order], np.array(y, float)[order] if rows else np.zeros(0))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row: null and empty texts get the bias alone.
 
