@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, line_dedup, lm_score, packing, simhash, toxicity, zstd_ids
+from . import ann, chat, decontaminate, licenses, line_dedup, lm_score, packing, quality, simhash, toxicity, trie, zstd_ids
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,17 @@ def op10_zstd_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_ids.digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of rebuilt conversations."""
+    return trie.trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the labelled quality of documents, then applied to all of them."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, _read(spark, sf_dir, "labels"))).drop("content_share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index": op1_multi_index,
     "op2_toxicity": op2_toxicity,
@@ -68,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_zstd_ids": op10_zstd_ids,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_quality": op13_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL, "op11_prefix_trie": trie.SQL}
