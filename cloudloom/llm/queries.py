@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licenses, line_dedup, lm_score, packing, quality, simhash, toxicity, trie, zstd_ids
+from . import ann, chat, decontaminate, divergence, licenses, line_dedup, lm_score, packing, quality, simhash, toxicity, trie, zstd_ids
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(_read(spark, sf_dir, "conversations"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of sources of each language, and each source's 200 most telling terms."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on the labelled quality of documents, then applied to all of them."""
     docs = _read(spark, sf_dir, "documents")
@@ -80,7 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_zstd_ids": op10_zstd_ids,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_divergence": op12_divergence,
     "op13_quality": op13_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL, "op11_prefix_trie": trie.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL, "op11_prefix_trie": trie.SQL, "op12_divergence": divergence.SQL}
