@@ -66,6 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _ROOTS: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -78,7 +79,13 @@ def new_path(spark: SparkSession, what: str) -> str:
         system.mkdirs(p)
         system.deleteOnExit(p)
         _ROOTS[app] = root
-    return f"{_ROOTS[app]}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{_ROOTS[app]}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> list[str]:
+    """The paths given by `new_path` that haven't been dropped."""
+    return list(_MADE)
 
 
 def written(df: DataFrame, what: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
@@ -93,6 +100,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table made by `written` that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:

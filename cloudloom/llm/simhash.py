@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import drop_path, join_spread, mixed, new_path, word_hashes, written
@@ -96,18 +96,42 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, fp array<long>")
 
 
+#: A null doc_id, where keys are joined.
+_NO_ID = -(2**63)
+#: Rows of a table that is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, did (doc_id, never null), th (a hash of the text), text."""
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.xxhash64("text").alias("th"), "text")
+
+
 def sketches(docs: DataFrame, words: int, parts: int) -> DataFrame:
-    """doc_id, fp, shingles (32 bits of each hash) of each row."""
+    """doc_id, did, th, fp of each row."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = [sketch(shingles(t, words), parts).view(np.int64) for t in b["text"]]
+            yield b[["doc_id", "did", "th"]].assign(fp=fp)
+
+    return _keyed(docs).mapInPandas(each, "doc_id long, did long, th long, fp array<long>")
+
+
+def shingle_sets(docs: DataFrame, asked: DataFrame, sizes: DataFrame, words: int) -> DataFrame:
+    """id, shingles (32 bits of each hash) of the rows of `docs` that `asked` (id, did, th) names; `sizes` (did, th, n)."""
+    rows = _keyed(docs).drop("doc_id")
+    few = asked.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(asked), ["did", "th"]) if few else join_spread(rows, asked, "did", "th", sizes=sizes)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.iloc[at : at + 1000]
-                h = [shingles(t, words) for t in part["text"]]
-                short = [np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in h]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "fp": [sketch(x, parts).view(np.int64) for x in h], "shingles": short})
+                short = [np.unique((shingles(t, words) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"], "shingles": short})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, fp array<long>, shingles array<int>")
+    return rows.select("id", "text").mapInPandas(each, "id long, shingles array<int>").dropDuplicates(["id"])
 
 
 def plan(bits: int, radius: int, segments: int, ball: int | None = None) -> list[tuple[int, int, int]]:
@@ -152,36 +176,44 @@ def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.iloc[forest(b["a"].to_numpy(), b["b"].to_numpy())]
 
 
-def _block(radius: int, spare: int | None):
+def _block(radius: int, spare: int | None, cuts: list[tuple[int, int, int]]):
     def each(key, g: pd.DataFrame) -> pd.DataFrame:
         """Edges between the entries and the probes of one pair of blocks.
 
         Without `spare`: each probe's nearest entry of every part that it joins. Else its `spare` nearest
-        entries of other groups, and an edge to itself where it has more of them.
+        entries of other groups, and an edge to itself where it has more of them; pairs that meet in an
+        earlier segment too are left to that one.
         """
         t, p = g[g["probe"] == 0], g[g["probe"] == 1]
-        xs, ys = [], []
+        xs, ys, ds = [], [], []
+        names = np.zeros(0, np.int64)
         if len(t) and len(p):
             wide = lambda d: np.array(d["fp"].to_list(), np.int64).view(np.uint64)
             fp, ids, groups = wide(t), t["id"].to_numpy(), t["label"].to_numpy()
             names, code = np.unique(np.concatenate([ids, p["id"].to_numpy()]), return_inverse=True)
             part, code, own = np.arange(len(names)), code[: len(ids)], code[len(ids) :]
+            earlier = [(at // 64, np.uint64(((1 << n) - 1) << at % 64), ball) for at, n, ball in cuts[: int(key[0]) >> 56]] if spare else []
             for x, i, label in zip(wide(p), own.tolist(), p["label"].to_numpy(), strict=True):
-                d = np.bitwise_count(fp ^ x).sum(1, dtype=np.int64)
+                apart = fp ^ x
+                d = np.bitwise_count(apart).sum(1, dtype=np.int64)
                 near = np.flatnonzero((d <= radius) & (code != i) & (groups != label))
-                near = code[near[np.argsort(d[near], kind="stable")]]
+                for k, mask, ball in earlier:
+                    near = near[np.bitwise_count(apart[near, k] & mask) > ball]
+                near = near[np.argsort(d[near], kind="stable")]
                 if spare is None:
-                    for j in near[np.sort(np.unique(part[near], return_index=True)[1])].tolist():
+                    near = near[np.sort(np.unique(part[code[near]], return_index=True)[1])]
+                    for j, far in zip(code[near].tolist(), d[near].tolist(), strict=True):
                         if part[j] != part[i]:
                             part[part == part[j]] = part[i]
                             xs.append(i)
                             ys.append(j)
+                            ds.append(far)
                 else:
-                    ends = [*near[:spare].tolist(), *([i] if len(near) > spare else [])]
+                    ends = [*code[near[:spare]].tolist(), *([i] if len(near) > spare else [])]
                     xs += [i] * len(ends)
                     ys += ends
-            return pd.DataFrame({"a": names[np.array(xs, np.int64)], "b": names[np.array(ys, np.int64)]})
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+                    ds += [*d[near[:spare]].tolist(), *([0] if len(near) > spare else [])]
+        return pd.DataFrame({"a": names[np.array(xs, np.int64)], "b": names[np.array(ys, np.int64)], "d": np.array(ds, np.int32)})
 
     return each
 
@@ -192,6 +224,7 @@ class Buckets:
 
     radius: int
     parts: int
+    cuts: list[tuple[int, int, int]]
     table: DataFrame
     probes: DataFrame
     #: v, n of the buckets with more than `dense` entries, and whether there are any.
@@ -201,13 +234,14 @@ class Buckets:
     def sparse(self) -> DataFrame:
         """a, b: all pairs of different nodes within the radius that meet in a bucket that isn't dense."""
         t = self.table.select("v", F.col("id").alias("b"), *[F.col(f"f{k}").alias(f"g{k}") for k in range(self.parts)])
+        probes = self.probes
         if self.some_hot:
-            t = t.join(self.hot.select("v"), "v", "left_anti")
+            t, probes = (x.join(self.hot.select("v"), "v", "left_anti") for x in (t, probes))
         d = sum(F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}"))) for k in range(self.parts))
-        return self.probes.join(t, "v").where((d <= self.radius) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
+        return probes.join(t, "v").where((d <= self.radius) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
 
     def dense(self, spare: int | None = None, asking: DataFrame | None = None) -> DataFrame:
-        """a, b: edges between nodes of different labels in dense buckets, block by block; `asking` (id): only their probes."""
+        """a, b, d: edges between nodes of different labels in dense buckets, block by block; `asking` (id): only their probes."""
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         fp = F.array(*[F.col(f"f{k}") for k in range(self.parts)]).alias("fp")
         spread = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
@@ -218,7 +252,14 @@ class Buckets:
         pr = probes.join(self.hot, "v").select(*cols, F.lit(1).alias("probe"), every.alias("tb"), spread("id").alias("pb"))
         cols = ["v", "id", "label", "fp", "probe", "tb", "pb"]
         both = te.select(*cols).unionByName(pr.select(*cols))
-        return both.groupBy("v", "tb", "pb").applyInPandas(_block(self.radius, spare), "a long, b long")
+        return both.groupBy("v", "tb", "pb").applyInPandas(_block(self.radius, spare, self.cuts), "a long, b long, d int")
+
+    def nearest(self, spare: int, asking: DataFrame | None = None) -> DataFrame:
+        """a, b: each node's `spare` nearest of `dense`, and an edge to itself where it has more."""
+        found = self.dense(spare, asking).groupBy("a", "b").agg(F.min("d").alias("d"))
+        rank = F.row_number().over(Window.partitionBy("a").orderBy("itself", "d", "b"))
+        found = found.withColumn("itself", F.col("a") == F.col("b")).withColumn("rank", rank).where(F.col("itself") | (F.col("rank") <= spare + 1))
+        return found.select("a", F.when(F.col("rank") <= spare, F.col("b")).otherwise(F.col("a")).alias("b"))
 
 
 def buckets(nodes: DataFrame, radius: int, segments: int, dense: int, parts: int, ball: int | None) -> Buckets:
@@ -240,14 +281,14 @@ def buckets(nodes: DataFrame, radius: int, segments: int, dense: int, parts: int
     table = nodes.select("id", label, *words, F.explode(F.array(*[named(i, value(s, n)) for i, (s, n, _) in enumerate(cuts)])).alias("v"))
     probes = nodes.select("id", label, *words, F.explode(F.concat(*[ball_of(i, *cut) for i, cut in enumerate(cuts)])).alias("v"))
     hot = written(table.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > dense), "simhash-dense")
-    return Buckets(radius, parts, table, probes, hot, bool(hot.take(1)))
+    return Buckets(radius, parts, cuts, table, probes, hot, bool(hot.take(1)))
 
 
 def links(nodes: DataFrame, radius: int = 4, segments: int = 3, dense: int = 256) -> DataFrame:
     """Edges a, b (ids) that connect exactly what the pairs of nodes (id, fp of 64 bits) within the radius connect."""
     b = buckets(nodes, radius, segments, dense, 1, None)
     out = b.sparse().mapInPandas(_thin, "a long, b long")
-    return out.unionByName(b.dense()) if b.some_hot else out
+    return out.unionByName(b.dense().select("a", "b")) if b.some_hot else out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -331,30 +372,33 @@ def similar(
     doc_id names no group. An empty table gives an empty one.
     """
     rows = written(sketches(docs, words, parts).withColumn("id", F.xxhash64("fp")), "sketches")
-    nodes = written(rows.groupBy("id", "fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    at = buckets(nodes, radius, segments, dense, parts, ball)
+    # Equal fingerprints have as good as equal shingles: any row stands for them.
+    nodes = rows.groupBy("id", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("did", "th")).alias("one"))
+    nodes = written(nodes.select("id", "fp", "least", "one.did", "one.th"), "simhash-nodes")
+    sizes = rows.groupBy("did", "th").agg(F.count("*").alias("n"))
+    at = buckets(nodes.select("id", "fp"), radius, segments, dense, parts, ball)
     pairs, spare, edges = at.sparse(), 4, None
     if at.some_hot:
-        pairs = pairs.unionByName(at.dense(spare))
+        pairs = pairs.unionByName(at.nearest(spare))
     while True:
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-        alike = _alike(rows, pairs.where("a <> b"), similarity)
+        between = pairs.where("a <> b")
+        asked = between.select(F.col("a").alias("id")).unionByName(between.select(F.col("b").alias("id"))).distinct()
+        asked = written(asked.join(nodes.select("id", "did", "th"), "id"), "simhash-asked")
+        alike = _alike(written(shingle_sets(docs, asked, sizes, words), "simhash-shingles"), between, similarity)
         edges = written(alike if edges is None else edges.unionByName(alike).distinct(), "simhash-edges")
         asking = pairs.where("a = b").select(F.col("a").alias("id"))
         if not at.some_hot or not asking.take(1):
             break
         spare *= 8
         labels = nodes.join(components(edges), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("label"))
-        pairs = buckets(written(labels, "simhash-labels"), radius, segments, dense, parts, ball).dense(spare, asking)
-    return _groups(rows.select("doc_id", "id"), nodes.drop("fp"), edges).select("doc_id", "component_id")
+        pairs = buckets(written(labels, "simhash-labels"), radius, segments, dense, parts, ball).nearest(spare, asking)
+    return _groups(rows.select("doc_id", "id"), nodes.select("id", "least"), edges).select("doc_id", "component_id")
 
 
-def _alike(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are similar. Equal fingerprints have as good as equal shingles: any row stands for them."""
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    of = join_spread(rows.select("id", "doc_id", "shingles"), asked, "id").select("id", "shingles").dropDuplicates(["id"])
-    of = written(of, "simhash-shingles")
-    side = lambda x: of.select(F.col("id").alias(x), F.col("shingles").alias("s" + x))
+def _alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles (id, shingles) are similar."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias("s" + x))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
