@@ -359,14 +359,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def similar(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, parts: int = 3, radius: int = 42, segments: int = 12, ball: int = 1, dense: int = 64
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, parts: int = 3, radius: int = 42, segments: int = 12, ball: int = 1, dense: int | None = None
 ) -> DataFrame:
     """doc_id, component_id of each row: groups of texts linked by a similarity of their sets of shingles of `words` words.
 
     At a similarity of 0.8 fingerprints differ in 15 % of their bits on average: 29 of 192 and seldom over 42;
     one of 12 segments of 16 bits differs by one bit or none in 98 of 100 such pairs, and in all but 4 of 1,000
     pairs at 0.85. These candidates are joined with the shingles, so no pair below `similarity` is linked.
-    In dense buckets a text first names its nearest candidates; those that have more go on with eight times as
+    In buckets of more than `dense` texts (8, and twice the mean, if not given) a text first names its nearest candidates; those that have more go on with eight times as
     many, leaving out what is linked already, until none is left.
     A null text counts as empty, and texts without words are alike. Rows of one doc_id are linked, and a null
     doc_id names no group. An empty table gives an empty one.
@@ -376,6 +376,7 @@ def similar(
     nodes = rows.groupBy("id", "fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("did", "th")).alias("one"))
     nodes = written(nodes.select("id", "fp", "least", "one.did", "one.th"), "simhash-nodes")
     sizes = rows.groupBy("did", "th").agg(F.count("*").alias("n"))
+    dense = dense or 8 + 2 * nodes.count() // 2 ** (64 * parts // segments)
     at = buckets(nodes.select("id", "fp"), radius, segments, dense, parts, ball)
     pairs, spare, edges = at.sparse(), 4, None
     if at.some_hot:
