@@ -17,54 +17,94 @@ for the terms of either side and of both. All numbers are whole.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import drop_path, join_spread, new_path, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Fixed: A-Z become lower case, a-z and all bytes of characters above ASCII stay, all others part terms.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 SCALE = 1_000_000_000
 #: Distinct terms in a vectorizer's documents; kept terms and sources that a task compares at a time.
-SHARD_TERMS, CHUNK_TERMS, BLOCK_SOURCES = 1 << 20, 2048, 128
+SHARD_TERMS, CHUNK_TERMS, BLOCK_SOURCES = 1 << 21, 2048, 128
+#: One term in so many is counted to estimate how many there are.
+SAMPLE = 64
 _ABSENT = "\0"
 _VECTOR = "source string, v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def term_lists(docs: DataFrame) -> DataFrame:
-    """lang, source, terms of each row of `docs`; nulls as empty strings."""
+def terms(text: str | None) -> list[bytes]:
+    """The terms of a text in order, in UTF-8; none for a null text."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+
+
+def term_texts(docs: DataFrame) -> DataFrame:
+    """key (a hash of lang), lang, source, words (the terms, joined by spaces) and sample of each row of `docs`; nulls as empty strings.
+
+    `sample` has, for some of the rows, the hashes of different terms near them that are divisible by SAMPLE.
+    """
     none = F.lit("")
-    terms = F.regexp_extract_all(F.translate(F.coalesce("text", none), UPPER, UPPER.lower()), F.lit(TERM), F.lit(0))
-    return docs.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), terms.alias("terms"))
+    rows = docs.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), "text").withColumn("key", F.md5(F.col("lang").cast("binary")))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            met: dict[str, set[bytes]] = {}
+            words = []
+            for lang, text in zip(b["lang"], b["text"], strict=True):
+                found = terms(text)
+                met.setdefault(lang, set()).update(found)
+                words.append(b" ".join(found).decode("utf-8", "surrogatepass"))
+            sample = [[h for h in map(xxhash.xxh32_intdigest, met.pop(lang, ())) if h % SAMPLE == 0] for lang in b["lang"]]
+            yield b[["key", "lang", "source"]].assign(words=words, sample=sample)
+
+    return rows.mapInPandas(each, "key string, lang string, source string, words string, sample array<long>")
+
+
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """key, shard, source, words: the terms of each row by the shard of their hash."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, source, words in zip(b["key"], b["source"], b["words"], strict=True):
+                parts: dict[int, list[str]] = {}
+                for t in words.split(" ") if words else ():
+                    parts.setdefault(zlib.crc32(t.encode("utf-8", "surrogatepass")) % shards, []).append(t)
+                out += [(key, k, source, " ".join(p)) for k, p in parts.items()]
+            yield pd.DataFrame(out, columns=["key", "shard", "source", "words"])
+
+    return rows.mapInPandas(each, "key string, shard int, source string, words string")
 
 
 def counted(lists: DataFrame, min_docs: int = 3, shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, id, n) for the kept terms with occurrences, and the vocabulary (lang, id, term)."""
+    """(lang, source, id, n) for the kept terms with occurrences, and the vocabulary (lang, id, term); `lists` is a table of `term_texts`."""
     spark = lists.sparkSession
-    lists = lists.withColumn("key", F.md5(F.col("lang").cast("binary")))
-    each = lists.select("key", F.explode("terms").alias("term")).groupBy("key").agg(F.approx_count_distinct("term").alias("n"))
-    shards = max(1, -(-(each.agg(F.max("n")).first()[0] or 0) // shard_terms))
+    near = lists.select("key", F.explode("sample").alias("h")).groupBy("key").agg(F.count_distinct("h").alias("n"))
+    shards = max(1, -(-SAMPLE * (near.agg(F.max("n")).first()[0] or 0) // shard_terms))
     if shards == 1:
-        dealt = lists.select("source", "terms", F.lit(0).alias("shard"), "key")
+        dealt = lists.where("words <> ''").select("key", F.lit(0).alias("shard"), "source", "words")
     else:
-        parts = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.struct(k.alias("shard"), F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == k).alias("terms")))
-        dealt = lists.select("source", F.explode(parts).alias("part"), "key").where("size(part.terms) > 0").select("source", "part.terms", "part.shard", "key")
+        dealt = _dealt(lists, shards)
     path, out = new_path(spark, "terms"), new_path(spark, "term-vectors")
     dealt.write.partitionBy("key", "shard").option("compression", "zstd").parquet(path)
     # One row a language and shard.
-    there = spark.read.schema("source string, terms array<string>, shard int, key string").parquet(path).select("key", "shard").distinct().collect()
+    there = spark.read.schema("source string, words string, shard int, key string").parquet(path).select("key", "shard").distinct().collect()
     words = None
     for key, shard in sorted(tuple(r) for r in there):
-        rows = spark.read.schema("source string, terms array<string>").parquet(f"{path}/key={key}/shard={shard}")
+        rows = spark.read.schema("source string, words string").parquet(f"{path}/key={key}/shard={shard}").select("source", F.split("words", " ").alias("terms"))
         # A term that no text has keeps the vocabulary from being empty.
         absent = spark.range(min_docs).select(F.lit("").alias("source"), F.array(F.lit(_ABSENT)).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=2**31 - 1).fit(rows.unionByName(absent))
         model.transform(rows).select("source", "v").write.option("compression", "zstd").parquet(f"{out}/key={key}/shard={shard}")
-        found = pd.DataFrame({"key": key, "shard": shard, "place": np.arange(len(model.vocabulary)), "term": model.vocabulary})
-        found = written(spark.createDataFrame(found, "key string, shard int, place int, term string").where(F.col("term") != _ABSENT), "vocabulary")
+        model.save(at := new_path(spark, "vectorizer"))
+        found = spark.read.parquet(f"{at}/data").select(F.lit(key).alias("key"), F.lit(shard).alias("shard"), F.posexplode("vocabulary").alias("place", "term")).where(F.col("term") != _ABSENT)
         words = found if words is None else words.unionByName(found)
     drop_path(spark, path)
     ident = F.expr("shard * 2147483648L + place").alias("id")
@@ -156,7 +196,7 @@ def audit(docs: DataFrame, min_docs: int = 3, most_terms: int = 200, shard_terms
     values stand in the order of their items' UTF-8 bytes. A language whose terms are all too rare has pairs of value 0
     and no term rows; an empty table gives an empty result.
     """
-    lists = term_lists(docs)
+    lists = written(term_texts(docs), "term-texts")
     groups = written(lists.select("lang", "source").distinct(), "term-groups")
     sums, words = counted(lists, min_docs, shard_terms)
     words = written(words, "kept-terms")
