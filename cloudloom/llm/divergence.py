@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import drop_path, join_spread, new_path, written
@@ -37,6 +37,7 @@ SHARD_TERMS, CHUNK_TERMS, BLOCK_SOURCES = 1 << 21, 2048, 128
 #: One term in so many is counted to estimate how many there are.
 SAMPLE = 64
 _ABSENT = "\0"
+_TEXTS = "lang string, source string, words string, sample array<long>, key string"
 _VECTOR = "source string, v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
@@ -83,30 +84,28 @@ def _dealt(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInPandas(each, "key string, shard int, source string, words string")
 
 
-def counted(lists: DataFrame, min_docs: int = 3, shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, id, n) for the kept terms with occurrences, and the vocabulary (lang, id, term); `lists` is a table of `term_texts`."""
-    spark = lists.sparkSession
+def counted(path: str, spark: SparkSession, min_docs: int = 3, shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, id, n) for the kept terms with occurrences, and the vocabulary (lang, id, term); `path` has `term_texts` by key."""
+    lists = spark.read.schema(_TEXTS).parquet(path)
     near = lists.select("key", F.explode("sample").alias("h")).groupBy("key").agg(F.count_distinct("h").alias("n"))
     shards = max(1, -(-SAMPLE * (near.agg(F.max("n")).first()[0] or 0) // shard_terms))
-    if shards == 1:
-        dealt = lists.where("words <> ''").select("key", F.lit(0).alias("shard"), "source", "words")
-    else:
-        dealt = _dealt(lists, shards)
-    path, out = new_path(spark, "terms"), new_path(spark, "term-vectors")
-    dealt.write.partitionBy("key", "shard").option("compression", "zstd").parquet(path)
+    out = new_path(spark, "term-vectors")
+    if shards > 1:
+        path = new_path(spark, "terms")
+        _dealt(lists, shards).write.partitionBy("key", "shard").parquet(path)
     # One row a language and shard.
-    there = spark.read.schema("source string, words string, shard int, key string").parquet(path).select("key", "shard").distinct().collect()
+    named = ["key", "shard"] if shards > 1 else ["key", F.lit(0).alias("shard")]
+    there = spark.read.schema("words string, key string" + ", shard int" * (shards > 1)).parquet(path).select(*named).distinct().collect()
     words = None
     for key, shard in sorted(tuple(r) for r in there):
-        rows = spark.read.schema("source string, words string").parquet(f"{path}/key={key}/shard={shard}").select("source", F.split("words", " ").alias("terms"))
+        rows = spark.read.schema("source string, words string").parquet(f"{path}/key={key}" + f"/shard={shard}" * (shards > 1)).where("words <> ''").select("source", F.split("words", " ").alias("terms"))
         # A term that no text has keeps the vocabulary from being empty.
         absent = spark.range(min_docs).select(F.lit("").alias("source"), F.array(F.lit(_ABSENT)).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=2**31 - 1).fit(rows.unionByName(absent))
-        model.transform(rows).select("source", "v").write.option("compression", "zstd").parquet(f"{out}/key={key}/shard={shard}")
+        model.transform(rows).select("source", "v").write.parquet(f"{out}/key={key}/shard={shard}")
         model.save(at := new_path(spark, "vectorizer"))
         found = spark.read.parquet(f"{at}/data").select(F.lit(key).alias("key"), F.lit(shard).alias("shard"), F.posexplode("vocabulary").alias("place", "term")).where(F.col("term") != _ABSENT)
         words = found if words is None else words.unionByName(found)
-    drop_path(spark, path)
     ident = F.expr("shard * 2147483648L + place").alias("id")
     langs = lists.select("key", "lang").distinct()
     if words is None:
@@ -196,10 +195,14 @@ def audit(docs: DataFrame, min_docs: int = 3, most_terms: int = 200, shard_terms
     values stand in the order of their items' UTF-8 bytes. A language whose terms are all too rare has pairs of value 0
     and no term rows; an empty table gives an empty result.
     """
-    lists = written(term_texts(docs), "term-texts")
+    spark = docs.sparkSession
+    path = new_path(spark, "term-texts")
+    term_texts(docs).write.partitionBy("key").parquet(path)
+    lists = spark.read.schema(_TEXTS).parquet(path)
     groups = written(lists.select("lang", "source").distinct(), "term-groups")
-    sums, words = counted(lists, min_docs, shard_terms)
+    sums, words = counted(path, spark, min_docs, shard_terms)
     words = written(words, "kept-terms")
+    drop_path(spark, path)
     kept = words.groupBy("lang").agg(F.count("*").alias("v"))
     totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").join(kept, "lang", "left").fillna(0, ["total", "v"])
