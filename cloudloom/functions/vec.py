@@ -87,6 +87,11 @@ def dist_so2(a: str, b: str) -> str:
 
 
 def dist_so3(a: Sequence[str], b: Sequence[str]) -> str:
+    """Sum of the squared differences of two rotations' quaternion components, as they stand."""
+    return "(" + " + ".join(f"({x} - {y}) * ({x} - {y})" for x, y in zip(a, b, strict=True)) + ")"
+
+
+def angle_so3(a: Sequence[str], b: Sequence[str]) -> str:
     """Angle between two rotations given as unit quaternions."""
     d = "abs(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
     return f"(2 * acos(least(1e0, {d})))"

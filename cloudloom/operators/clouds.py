@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rot
 from ..functions import vec as v
+from . import ranks
 
 
 def numbered(cloud: DataFrame, key: str = "obj", point: str = "pt_id") -> DataFrame:
@@ -104,11 +105,6 @@ def weighted_centre(cloud: DataFrame, weight: str, key: str = "obj") -> DataFram
     return cloud.groupBy(key).agg(*[(F.sum(F.expr(v.fixed(f"({weight}) * {a}", 9))) / F.nullif(total, F.lit(0))).alias(f"c{a}") for a in "xyz"])
 
 
-def percentile(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """key, percentile: the least value that at least `share` of the key's values don't exceed."""
-    return df.groupBy(key).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias("percentile"))
-
-
 def boxes_meet(left: DataFrame, right: DataFrame, key: str = "obj") -> DataFrame:
     """l_key, r_key of bounds (as of `bounds`) of two sets of clouds that share a point; few rows, one a cloud."""
     a = left.select(F.col(key).alias(f"l_{key}"), *[F.col(f"{c}{e}").alias(f"l{c}{e}") for c in "xyz" for e in ("min", "max")])
@@ -137,28 +133,24 @@ def drop_duplicates(cloud: DataFrame, key: str = "obj", point: str = "pt_id") ->
     return cloud.groupBy(key, "x", "y", "z").agg(first).select(key, "x", "y", "z", "b.*")
 
 
-def histogram(df: DataFrame, value: Column, lo: float, hi: float, bins: int) -> DataFrame:
-    """bin (0 and bins + 1 for values out of range), n."""
-    return df.select(F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-
-
-def lower_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The lower of two middle values, not their mean."""
-    return df.groupBy(key).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("median"))
+def histogram(df: DataFrame, value: Column, lo: float, hi: float, bins: int, key: str | None = None) -> DataFrame:
+    """(key,) bin (0 and bins + 1 for values out of range), n."""
+    keys = [key] if key else []
+    return df.select(*keys, F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
 
 #: Fixed value: makes the median absolute deviation of normal data its standard deviation.
 MAD = "1.48257968"
 
 
-def rejection_threshold(df: DataFrame, key: str, value: str, scale: float) -> DataFrame:
-    """median + scale * 1.48... * the median absolute deviation, in two exact passes."""
-    med = lower_median(df, key, value)
+def rejection_threshold(df: DataFrame, key: str, value: str, scale: float, few: bool = False) -> DataFrame:
+    """median + scale * 1.48... * the median absolute deviation, by exact ranks in bounded memory a key."""
+    med = ranks.lower_median(df, key, value, few=few)
     dev = df.join(med, key).withColumn("dev", F.abs(F.col(value) - F.col("median")))
-    mad = dev.groupBy(key).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY dev)").alias("mad"))
+    mad = ranks.lower_median(dev, key, "dev", "mad", few)
     return med.join(mad, key).withColumn("threshold", F.expr(f"median + {scale} * {MAD} * mad"))
 
 
-def robust_inliers(df: DataFrame, key: str, value: str, scale: float, part: float = 10.0) -> DataFrame:
-    """Rows whose value is under the threshold over `part`."""
-    return df.join(rejection_threshold(df, key, value, scale), key).where(F.expr(f"{value} < threshold / {part}"))
+def robust_inliers(df: DataFrame, key: str, value: str, scale: float, part: float = 10.0, few: bool = False) -> DataFrame:
+    """Rows whose value is under the threshold over `part`; `few` as for `ranks.lower_median`."""
+    return df.join(rejection_threshold(df, key, value, scale, few), key).where(F.expr(f"{value} < threshold / {part}"))

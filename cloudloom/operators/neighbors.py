@@ -44,7 +44,7 @@ def radius_join(
 
 
 def knn(
-    queries: DataFrame, refs: DataFrame, k: int, radius: float, key: str = "obj", point: str = "pt_id", include_self: bool = False
+    queries: DataFrame, refs: DataFrame, k: int, radius: float, key: str = "obj", point: str = "pt_id", include_self: bool = False, copied: str = "queries"
 ) -> DataFrame:
     """The k nearest of each query in its cloud: radius_join's columns and rank from 1; ties to the smaller id.
 
@@ -59,7 +59,7 @@ def knn(
     order = f"PARTITION BY q_{key}, q_{point} ORDER BY d2, {point}"
     while True:
         last = r > 2 * widest
-        near = radius_join(left, refs, r, key)
+        near = radius_join(left, refs, r, key, copied=copied)
         if not include_self:
             near = near.where(f"q_{point} <> {point}")
         near = near.withColumn("rank", F.expr(f"row_number() OVER ({order})")).where(F.col("rank") <= k)
@@ -76,9 +76,9 @@ def knn(
         r *= 2
 
 
-def nearest(queries: DataFrame, refs: DataFrame, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, radius: float, key: str = "obj", point: str = "pt_id", copied: str = "queries") -> DataFrame:
     """knn with k = 1; queries and references may be different clouds with the same key."""
-    return knn(queries, refs, 1, radius, key, point, include_self=True)
+    return knn(queries, refs, 1, radius, key, point, include_self=True, copied=copied)
 
 
 def bijective(pairs: DataFrame, key: str = "obj", point: str = "pt_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rot
 from ..functions import vec as v
-from ..operators import cleaning, clouds, evaluate, features, mesh, neighbors, poses, register
+from ..operators import cleaning, clouds, evaluate, features, mesh, neighbors, orient, poses, ranks, register
 from . import views as w
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,7 +318,7 @@ def smooth_quality(spark, sf_dir):
 
 @query(w.with_("dense", select="SELECT obj, quantile_disc(y, 0.5) AS median FROM dense GROUP BY obj"))
 def lower_median(spark, sf_dir):
-    return clouds.lower_median(w.dense(spark, sf_dir), "obj", "y")
+    return ranks.lower_median(w.dense(spark, sf_dir), "obj", "y")
 
 
 _THR = f"""m AS (SELECT obj, quantile_disc(y, 0.5) AS median FROM dense GROUP BY obj),
@@ -504,6 +504,26 @@ def icp_refine(spark, sf_dir):
     return _motion_rows(spark, "icp", pose)
 
 
+@query()
+def refine_poses(spark, sf_dir):
+    """All poses of the table, made small, as starts from which label 0's cloud finds back into the scene of all points; then suppression."""
+    pts = w.points(spark, sf_dir)
+    starts = w.poses(spark, sf_dir).selectExpr("pose_id", "scene", "votes", "20 + abs(qw) AS a", "qx", "qy", "qz", *[f"t{c} / 50 AS t{c}" for c in "xyz"])
+    starts = starts.selectExpr("*", "sqrt(a * a + qx * qx + qy * qy + qz * qz) AS n").selectExpr("pose_id", "scene", "votes", "a / n AS qw", *[f"q{c} / n AS q{c}" for c in "xyz"], "tx", "ty", "tz")
+    starts = starts.selectExpr("scene", "pose_id", "votes", *rot.aliased(rot.quat(("qw", "qx", "qy", "qz"))), "tx", "ty", "tz")
+    out = register.post_process(starts, pts.where("obj = 0"), pts, 0.002, register.IcpConfig(6, 0.05, 25.0, 1), 0.2)
+    return out.selectExpr("scene", "pose_id", *w.rounded("tx ty tz error", 5))
+
+
+@query()
+def normals_oriented(spark, sf_dir):
+    """Normals of all clouds, turned to agree along each neighbour graph's minimum spanning forest."""
+    pts = w.points(spark, sf_dir)
+    found = cleaning.normals(pts, 8, 0.5).select("obj", "pt_id", "nx", "ny", "nz")
+    turned = orient.orient_normals(pts.drop("nx", "ny", "nz").join(found, ["obj", "pt_id"]), 8, 0.5)
+    return turned.selectExpr("obj", "pt_id", *w.rounded("nx ny nz", 5))
+
+
 @query()
 def sparse_icp(spark, sf_dir):
     dst = w.points(spark, sf_dir)
@@ -657,9 +677,18 @@ def mesh_unreferenced(spark, sf_dir):
 # Further statistics and comparisons
 
 
-@query(w.with_("dense", select="SELECT obj, quantile_disc(y, 0.9) AS percentile FROM dense GROUP BY obj"))
+@query(w.with_("dense", select="SELECT obj, y AS percentile FROM (SELECT obj, y, row_number() OVER (PARTITION BY obj ORDER BY y) - 1 AS i, count(*) OVER (PARTITION BY obj) AS n FROM dense) AS t WHERE i = greatest(0, trunc(n * 0.9::DOUBLE)::BIGINT - 1)"))
 def percentile(spark, sf_dir):
-    return clouds.percentile(w.dense(spark, sf_dir), "obj", "y", 0.9)
+    return ranks.percentile(w.dense(spark, sf_dir), "obj", "y", 0.9)
+
+
+@query(w.with_("dense", """h AS (SELECT obj, cast(CASE WHEN y < 0 THEN 0 WHEN y >= 110 THEN 56 ELSE floor(y * 55 / 110) + 1 END AS bigint) AS bin, count(*) AS n FROM dense GROUP BY ALL),
+c AS (SELECT obj, bin, sum(n) OVER (PARTITION BY obj ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY obj) AS total FROM h)""",
+    select="SELECT obj, CASE WHEN min(bin) > 55 THEN 'Infinity'::DOUBLE ELSE round(min(bin) * 2e0, 6) END AS percentile FROM c WHERE upto >= 0.9::DOUBLE * total GROUP BY obj"))
+def histogram_percentile(spark, sf_dir):
+    """The upper edge of the bin that reaches nine tenths of each cloud's values."""
+    counts = clouds.histogram(w.dense(spark, sf_dir), F.col("y"), 0.0, 110.0, 55, "obj")
+    return ranks.histogram_percentile(counts, 0.9, 0.0, 110.0, 55, "obj").selectExpr("obj", "round(percentile, 6) AS percentile")
 
 
 _CENTRE = ", ".join(f"round(cast(sum(cast(floor(((x * x + 1) * {a}) * 1e9 + 0.5) AS bigint)) AS double) / sum(cast(floor((x * x + 1) * 1e9 + 0.5) AS bigint)), 6) AS c{a}" for a in "xyz")
@@ -715,7 +744,8 @@ def strongest_poses(spark, sf_dir):
     return poses.strongest(w.poses(spark, sf_dir), 5).select("scene", "pose_id", "rank")
 
 
-@query(w.with_("poses", select="SELECT pose_id, round(2 * acos(least(1, abs(qw))), 6) AS angle FROM poses"))
+@query(w.with_("poses", select="SELECT pose_id, round(pow(qw - 1, 2) + pow(qx, 2) + pow(qy, 2) + pow(qz, 2), 6) AS dist, round(2 * acos(least(1, abs(qw))), 6) AS angle FROM poses"))
 def dist_so3(spark, sf_dir):
-    """Each pose's turn against none."""
-    return w.poses(spark, sf_dir).selectExpr("pose_id", f"round({v.dist_so3(('qw', 'qx', 'qy', 'qz'), ('1e0', '0e0', '0e0', '0e0'))}, 6) AS angle")
+    """Each pose's quaternion against that of no turn, and the turn."""
+    pair = ("qw", "qx", "qy", "qz"), ("1e0", "0e0", "0e0", "0e0")
+    return w.poses(spark, sf_dir).selectExpr("pose_id", f"round({v.dist_so3(*pair)}, 6) AS dist", f"round({v.angle_so3(*pair)}, 6) AS angle")

@@ -140,7 +140,9 @@ def test_features_by_numpy(spark):
     q = [rng.standard_normal(4) for _ in range(2)]
     q = [x / np.linalg.norm(x) for x in q]
     named = {f"{s}{i}": float(x) for s, k in zip("ab", q) for i, x in enumerate(k)}
-    assert one(spark, [v.dist_so3([f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)])], **named)[0] == pytest.approx(2 * np.arccos(abs(q[0] @ q[1])))
+    sides = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)]
+    assert one(spark, [v.angle_so3(*sides)], **named)[0] == pytest.approx(2 * np.arccos(abs(q[0] @ q[1])))
+    assert one(spark, [v.dist_so3(*sides)], **named)[0] == pytest.approx(((q[0] - q[1]) ** 2).sum())
 
 
 def one(spark, exprs, **values):
