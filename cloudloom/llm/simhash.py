@@ -28,11 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_path, join_spread, mixed, new_path, word_hashes, written
+from .shared import drop_path, join_spread, mixed, new_path, partitions, word_hashes, written
 
 #: Fixed: the words' separators are \x20 and \x09 to \x0D; A-Z become lower case.
 PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-BLOCK = 1024
+#: Texts of a block of a dense bucket, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -192,7 +193,7 @@ def _block(radius: int, spare: int | None, cuts: list[tuple[int, int, int]]):
             fp, ids, groups = wide(t), t["id"].to_numpy(), t["label"].to_numpy()
             names, code = np.unique(np.concatenate([ids, p["id"].to_numpy()]), return_inverse=True)
             part, code, own = np.arange(len(names)), code[: len(ids)], code[len(ids) :]
-            earlier = [(at // 64, np.uint64(((1 << n) - 1) << at % 64), ball) for at, n, ball in cuts[: int(key[0]) >> 56]] if spare else []
+            earlier = _earlier(int(key[0]) >> 56, cuts) if spare else []
             for x, i, label in zip(wide(p), own.tolist(), p["label"].to_numpy(), strict=True):
                 apart = fp ^ x
                 d = np.bitwise_count(apart).sum(1, dtype=np.int64)
@@ -218,6 +219,47 @@ def _block(radius: int, spare: int | None, cuts: list[tuple[int, int, int]]):
     return each
 
 
+def _earlier(segment: int, cuts: list[tuple[int, int, int]]) -> list[tuple[int, np.uint64, int]]:
+    """Word, mask and ball of the segments before this one."""
+    return [(at // 64, np.uint64(((1 << n) - 1) << at % 64), ball) for at, n, ball in cuts[:segment]]
+
+
+def _deciding(radius: int, cuts: list[tuple[int, int, int]], similarity: float):
+    def each(key, g: pd.DataFrame) -> pd.DataFrame:
+        """Edges that connect the labels of one pair of blocks by texts within the radius whose sets of shingles are similar.
+
+        Pairs that meet in an earlier segment too are left to that one.
+        """
+        t, p = g[g["probe"] == 0], g[g["probe"] == 1]
+        edges: list[tuple[int, int]] = []
+        if len(t) and len(p):
+            wide = lambda d: np.array(d["fp"].to_list(), np.int64).view(np.uint64)
+            names, part = np.unique(np.concatenate([t["label"].to_numpy(), p["label"].to_numpy()]), return_inverse=True)
+            part, own = part[: len(t)], part[len(t) :]
+            fp, ids, n = wide(t), t["id"].to_numpy(), t["shingles"].map(len).to_numpy()
+            # Who holds a shingle: a run of `owner` for each.
+            flat, owner = np.concatenate(t["shingles"].to_list()), np.repeat(np.arange(len(t)), n)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            earlier = _earlier(int(key[0]) >> 56, cuts)
+            for x, i, k, s in zip(wide(p), p["id"].tolist(), range(len(p)), p["shingles"], strict=True):
+                apart = fp ^ x
+                near = (part != own[k]) & (np.bitwise_count(apart).sum(1, dtype=np.int64) <= radius)
+                for word, mask, ball in earlier:
+                    near &= np.bitwise_count(apart[:, word] & mask) > ball
+                if not near.any():
+                    continue
+                runs = zip(np.searchsorted(flat, s).tolist(), np.searchsorted(flat, s, "right").tolist(), strict=True)
+                shared = np.bincount(np.concatenate([owner[:0], *(owner[a:b] for a, b in runs if a < b)]), minlength=len(t))
+                for j in np.flatnonzero(near & (shared >= similarity * (len(s) + n - shared))).tolist():
+                    if (old := part[j]) != (new := own[k]):
+                        part[part == old], own[own == old] = new, new
+                        edges.append((i, int(ids[j])))
+        return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+    return each
+
+
 @dataclass
 class Buckets:
     """The tables of a multi-index over nodes (id, fp, label): who stands in a bucket (v), and who asks it."""
@@ -240,30 +282,60 @@ class Buckets:
         d = sum(F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}"))) for k in range(self.parts))
         return probes.join(t, "v").where((d <= self.radius) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
 
-    def dense(self, spare: int | None = None, asking: DataFrame | None = None) -> DataFrame:
-        """a, b, d: edges between nodes of different labels in dense buckets, block by block; `asking` (id): only their probes."""
+    def dense(self, spare: int | None = None) -> DataFrame:
+        """a, b, d: edges between nodes of different labels in dense buckets, block by block."""
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         fp = F.array(*[F.col(f"f{k}") for k in range(self.parts)]).alias("fp")
         spread = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
         every = F.explode(F.sequence(F.lit(0), blocks - 1))
-        probes = self.probes if asking is None else self.probes.join(asking, "id", "left_semi")
         cols = ["v", "id", "label", fp]
         te = self.table.join(self.hot, "v").select(*cols, F.lit(0).alias("probe"), spread("id").alias("tb"), every.alias("pb"))
-        pr = probes.join(self.hot, "v").select(*cols, F.lit(1).alias("probe"), every.alias("tb"), spread("id").alias("pb"))
+        pr = self.probes.join(self.hot, "v").select(*cols, F.lit(1).alias("probe"), every.alias("tb"), spread("id").alias("pb"))
         cols = ["v", "id", "label", "fp", "probe", "tb", "pb"]
         both = te.select(*cols).unionByName(pr.select(*cols))
         return both.groupBy("v", "tb", "pb").applyInPandas(_block(self.radius, spare, self.cuts), "a long, b long, d int")
 
-    def nearest(self, spare: int, asking: DataFrame | None = None) -> DataFrame:
+    def meeting(self, asking: DataFrame) -> DataFrame:
+        """v, id, label, fp, probe: entries (0) and the probes (1) of `asking` (id) in dense buckets where labels differ."""
+        fp = F.array(*[F.col(f"f{k}") for k in range(self.parts)]).alias("fp")
+        cols = ["v", "id", "label", fp]
+        hot = self.hot.select("v")
+        probes = self.probes.join(asking, "id", "left_semi").join(hot, "v").select(*cols, F.lit(1).alias("probe"))
+        both = self.table.join(hot, "v").select(*cols, F.lit(0).alias("probe")).unionByName(probes)
+        both = written(both, "simhash-dense-rows")
+        kept = both.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("probe").alias("asked"))
+        return both.join(kept.where("lo <> hi AND asked = 1").select("v"), "v")
+
+    def decided(self, rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+        """a, b: edges that connect the labels of the rows of `meeting` as similar sets of shingles (id, shingles) do, block by block.
+
+        A block has about `BLOCK` texts and `BLOCK_SHINGLES` shingles at most.
+        """
+        size = sets.select("id", F.size("shingles").alias("size"))
+        blocks = rows.join(size, "id").groupBy("v").agg(
+            F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        )
+        own, every = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = rows.join(blocks, "v").select("*", own.alias("own"), every.alias("other"))
+        probe = F.col("probe") == 1
+        dealt = dealt.select(
+            "v", "id", "label", "fp", "probe", F.when(probe, F.col("other")).otherwise(F.col("own")).alias("tb"),
+            F.when(probe, F.col("own")).otherwise(F.col("other")).alias("pb"),
+        )
+        # As many tasks as there are partitions: the rows are few, their comparisons aren't.
+        dealt = dealt.join(sets, "id").repartition(partitions(rows.sparkSession), "v", "tb", "pb")
+        return dealt.groupBy("v", "tb", "pb").applyInPandas(_deciding(self.radius, self.cuts, similarity), "a long, b long")
+
+    def nearest(self, spare: int) -> DataFrame:
         """a, b: each node's `spare` nearest of `dense`, and an edge to itself where it has more."""
-        found = self.dense(spare, asking).groupBy("a", "b").agg(F.min("d").alias("d"))
+        found = self.dense(spare).groupBy("a", "b").agg(F.min("d").alias("d"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy("itself", "d", "b"))
         found = found.withColumn("itself", F.col("a") == F.col("b")).withColumn("rank", rank).where(F.col("itself") | (F.col("rank") <= spare + 1))
         return found.select("a", F.when(F.col("rank") <= spare, F.col("b")).otherwise(F.col("a")).alias("b"))
 
 
-def buckets(nodes: DataFrame, radius: int, segments: int, dense: int, parts: int, ball: int | None) -> Buckets:
-    """The multi-index of nodes (id, fp, and label, their ids if they have none)."""
+def buckets(nodes: DataFrame, radius: int, segments: int, dense: int, parts: int, ball: int | None, hot: DataFrame | None = None) -> Buckets:
+    """The multi-index of nodes (id, fp, and label, their ids if they have none); `hot`: that of the same nodes, if known."""
     cuts = plan(64 * parts, radius, segments, ball)
     value = lambda s, n: F.shiftrightunsigned(F.col("fp")[s // 64], s % 64).bitwiseAND((1 << n) - 1)
     # A bucket's name: the segment's number above its value.
@@ -280,7 +352,8 @@ def buckets(nodes: DataFrame, radius: int, segments: int, dense: int, parts: int
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(parts)]
     table = nodes.select("id", label, *words, F.explode(F.array(*[named(i, value(s, n)) for i, (s, n, _) in enumerate(cuts)])).alias("v"))
     probes = nodes.select("id", label, *words, F.explode(F.concat(*[ball_of(i, *cut) for i, cut in enumerate(cuts)])).alias("v"))
-    hot = written(table.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > dense), "simhash-dense")
+    if hot is None:
+        hot = written(table.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > dense), "simhash-dense")
     return Buckets(radius, parts, cuts, table, probes, hot, bool(hot.take(1)))
 
 
@@ -359,15 +432,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def similar(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, parts: int = 3, radius: int = 42, segments: int = 12, ball: int = 1, dense: int | None = None
-) -> DataFrame:
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, parts: int = 3, radius: int = 42, segments: int = 12, ball: int = 1,
+    dense: int | None = None, spare: int = 4,
+) -> DataFrame:
     """doc_id, component_id of each row: groups of texts linked by a similarity of their sets of shingles of `words` words.
 
     At a similarity of 0.8 fingerprints differ in 15 % of their bits on average: 29 of 192 and seldom over 42;
     one of 12 segments of 16 bits differs by one bit or none in 98 of 100 such pairs, and in all but 4 of 1,000
     pairs at 0.85. These candidates are joined with the shingles, so no pair below `similarity` is linked.
-    In buckets of more than `dense` texts (8, and twice the mean, if not given) a text first names its nearest candidates; those that have more go on with eight times as
-    many, leaving out what is linked already, until none is left.
+    In buckets of more than `dense` texts (8, and twice the mean, if not given) a text first names its `spare` nearest candidates.
+    For those that have more, the sets of shingles go to blocks of the buckets where not all is linked yet, and blocks return links only.
     A null text counts as empty, and texts without words are alike. Rows of one doc_id are linked, and a null
     doc_id names no group. An empty table gives an empty one.
     """
@@ -378,22 +452,25 @@ def similar(
     sizes = rows.groupBy("did", "th").agg(F.count("*").alias("n"))
     dense = dense or 8 + 2 * nodes.count() // 2 ** (64 * parts // segments)
     at = buckets(nodes.select("id", "fp"), radius, segments, dense, parts, ball)
-    pairs, spare, edges = at.sparse(), 4, None
+    pairs = at.sparse()
     if at.some_hot:
         pairs = pairs.unionByName(at.nearest(spare))
-    while True:
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-        between = pairs.where("a <> b")
-        asked = between.select(F.col("a").alias("id")).unionByName(between.select(F.col("b").alias("id"))).distinct()
-        asked = written(asked.join(nodes.select("id", "did", "th"), "id"), "simhash-asked")
-        alike = _alike(written(shingle_sets(docs, asked, sizes, words), "simhash-shingles"), between, similarity)
-        edges = written(alike if edges is None else edges.unionByName(alike).distinct(), "simhash-edges")
-        asking = pairs.where("a = b").select(F.col("a").alias("id"))
-        if not at.some_hot or not asking.take(1):
-            break
-        spare *= 8
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    between = pairs.where("a <> b")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = written(ids.distinct().join(nodes.select("id", "did", "th"), "id"), "simhash-asked")
+        return written(shingle_sets(docs, asked, sizes, words), "simhash-shingles")
+
+    sets = sets_of(between.select(F.col("a").alias("id")).unionByName(between.select(F.col("b").alias("id"))))
+    edges = written(_alike(sets, between, similarity), "simhash-edges")
+    asking = pairs.where("a = b").select(F.col("a").alias("id"))
+    if at.some_hot and asking.take(1):
         labels = nodes.join(components(edges), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("label"))
-        pairs = buckets(written(labels, "simhash-labels"), radius, segments, dense, parts, ball).nearest(spare, asking)
+        at = buckets(written(labels, "simhash-labels"), radius, segments, dense, parts, ball, at.hot)
+        rows_left = written(at.meeting(asking), "simhash-meeting")
+        edges = edges.unionByName(at.decided(rows_left, sets_of(rows_left.select("id")), similarity))
+        edges = written(edges, "simhash-edges")
     return _groups(rows.select("doc_id", "id"), nodes.select("id", "least"), edges).select("doc_id", "component_id")
 
 
