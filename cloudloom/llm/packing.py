@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encode
@@ -139,6 +139,26 @@ def _bases(counts: DataFrame, queue: Column) -> DataFrame:
     return inner.join(blocks, ["q", "block"]).select("source", "part", (F.col("before") + F.col("within")).alias("base"))
 
 
+def _phase_tables(spark: SparkSession, runs: list, window: int) -> tuple[DataFrame, DataFrame]:
+    """The queues' parts of phases (q, phase, size, first, w0, from_, has), and what all queues take in a phase (phase, take).
+
+    There are as many phases as queues at most, so neither has more than about `QUEUES` squared numbers (8 MB a column):
+    both can be broadcast.
+    """
+    size = np.array([r[0] for r in runs], np.int64)
+    windows = -(-size // window)
+    sent, take = np.array([r[1] for r in runs], np.int64), np.array([r[2] for r in runs], np.int64)
+    phase, q = np.nonzero(take)
+    turns = {
+        "q": q.astype(np.int32), "phase": phase.astype(np.int32), "size": size[phase], "first": (np.cumsum(size) - size)[phase],
+        "w0": (np.cumsum(windows) - windows)[phase], "from_": sent[phase, q], "has": take[phase, q],
+    }
+    takes = {"phase": np.arange(len(runs), dtype=np.int32), "take": list(take)}
+    turns = spark.createDataFrame(pd.DataFrame(turns), "q int, phase int, size long, first long, w0 long, from_ long, has long")
+    takes = spark.createDataFrame(pd.DataFrame(takes), "phase int, take array<long>")
+    return written(turns, "pack-turns"), written(takes, "pack-takes")
+
+
 def _laid_out(
     t: DataFrame, bases: DataFrame, queue: Column, runs: list, total: int, length: int, window: int
 ) -> DataFrame:
@@ -146,32 +166,21 @@ def _laid_out(
         "doc_id", "source", "ids", F.col("n").alias("doc_tokens"), queue.alias("q"), (F.col("base") + F.col("at")).alias("a")
     )
     # Cut where a queue's phase ends, then at its windows' ends, then at the sequences' ends.
-    tables = F.array(
-        *[
-            F.struct(
-                F.lit(k).cast("long").alias("size"), F.lit(sum(r[0] for r in runs[:i])).cast("long").alias("first"),
-                F.lit(sum(-(-r[0] // window) for r in runs[:i])).cast("long").alias("w0"),
-                _long(*sent).alias("sent"), _long(*take).alias("take"),
-            )
-            for i, (k, sent, take) in enumerate(runs)
-        ]
-    )
+    turns, takes = _phase_tables(t.sparkSession, runs, window)
     # Only the phases that a document's tokens lie in.
-    meets = lambda r: (r["take"][F.col("q")] > 0) & (F.col("a") < r["sent"][F.col("q")] + r["take"][F.col("q")]) & (F.col("a") + F.col("doc_tokens") > r["sent"][F.col("q")])
-    out = out.select("*", F.explode(F.filter(tables, meets)).alias("r"))
-    out = out.select("*", F.expr("r.sent[q]").alias("from_"), F.expr("r.take[q]").alias("has"))
+    out = out.join(F.broadcast(turns), "q").where("a < from_ + has AND a + doc_tokens > from_")
     # lo, hi: the piece's tokens in its queue, counted from the phase's start.
     out = out.withColumn("lo", F.expr("greatest(a - from_, 0L)")).withColumn("hi", F.expr("least(a + doc_tokens - from_, has)"))
     d = lambda x: f"cast({x} AS decimal(19,0))"
     # The window w of a queue's token u is the last with floor(has * w * window / size) <= u.
-    at = lambda u: f"(({d(f'{u} + 1')} * {d('r.size')} - 1) div ({d('has')} * {window}))"
+    at = lambda u: f"(({d(f'{u} + 1')} * {d('size')} - 1) div ({d('has')} * {window}))"
     out = out.select("*", F.explode(F.expr(f"sequence({at('lo')}, {at('hi - 1')})")).alias("w"))
-    given = lambda has, w: f"({d(has)} * least({d('r.size')}, {d(w)} * {window}) div {d('r.size')})"
+    given = lambda has, w: f"({d(has)} * least({d('size')}, {d(w)} * {window}) div {d('size')})"
     out = out.withColumn("g", F.expr(given("has", "w")))
     out = out.withColumn("s", F.greatest("lo", "g")).withColumn("e", F.least("hi", F.expr(given("has", "w + 1"))))
     # Before it in the stream: all that any queue had by the window's start, and the window's part of earlier queues.
-    before = f"aggregate(r.take, 0L, (x, h) -> x + {given('h', 'w')}) + aggregate(slice(r.take, 1, q), 0L, (x, h) -> x + {given('h', 'w + 1')} - {given('h', 'w')})"
-    out = out.withColumn("pos", F.expr(f"r.first + {before} + s - g"))
+    before = f"aggregate(take, 0L, (x, h) -> x + {given('h', 'w')}) + aggregate(slice(take, 1, q), 0L, (x, h) -> x + {given('h', 'w + 1')} - {given('h', 'w')})"
+    out = out.join(F.broadcast(takes), "phase").withColumn("pos", F.expr(f"first + {before} + s - g")).drop("take")
     full = total // length
     tail, at_, rest = [], full * length, total % length
     for k in reversed(range(length.bit_length())):
@@ -191,7 +200,7 @@ def _laid_out(
     start = F.expr("from_ + s - a + p0 - pos")
     return out.select(
         "doc_id", "source", start.alias("start"), F.expr("substring(ids, int(4 * (from_ + s - a + p0 - pos) + 1), int(4 * (p1 - p0)))").alias("ids"),
-        F.expr("p1 - p0").alias("n"), "doc_tokens", F.expr("r.w0 + w").alias("window"), "sequence_id", (F.col("p0") - first(sid)).alias("offset"),
+        F.expr("p1 - p0").alias("n"), "doc_tokens", F.expr("w0 + w").alias("window"), "sequence_id", (F.col("p0") - first(sid)).alias("offset"),
     )
 
 

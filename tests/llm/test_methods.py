@@ -196,6 +196,32 @@ def test_packing_after_sources_run_dry(spark, monkeypatch, targets):
     assert not any(left.values())
 
 
+@pytest.mark.parametrize("queues", [1024, 50])
+def test_packing_of_many_sources(spark, monkeypatch, queues):
+    """200 sources, each running dry at another window, with queues of their own or most in the last one; null source among them."""
+    monkeypatch.setattr(packing, "QUEUES", queues)
+    rows = [(1000 * s + i, "a b c d e f g " * (1 + (s + i) % 3), f"s{s}" if s else None) for s in range(200) for i in range(1 + s % 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.pack(docs, length=64, window=1024, power=0.7).collect()
+    parts, seqs = defaultdict(list), defaultdict(list)
+    for r in got:
+        parts[r["doc_id"], r["doc_tokens"]].append((r["start"], r["n"]))
+        seqs[r["sequence_id"]].append((r["offset"], r["n"]))
+    assert {d for d, _ in parts} == {d for d, _, _ in rows}
+    for (_, n), pieces in parts.items():
+        at = 0
+        for start, k in sorted(pieces):
+            assert start == at
+            at += k
+        assert at == n
+    for pieces in seqs.values():
+        at = 0
+        for offset, k in sorted(pieces):
+            assert offset == at
+            at += k
+        assert at == 64 or at & (at - 1) == 0
+
+
 def test_decontamination_kinds(spark):
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8)))
