@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rot
 from ..functions import vec as v
-from ..operators import cleaning, clouds, evaluate, features, mesh, neighbors, orient, poses, ranks, register
+from ..functions.chance import uniform
+from ..operators import cleaning, clouds, evaluate, features, mesh, neighbors, orient, poses, ranks, register, sampling
 from . import views as w
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -638,6 +639,27 @@ def mesh_area(spark, sf_dir):
     return mesh.areas(*_faces(spark, sf_dir))
 
 
+_AREAS = f"""ar AS (SELECT *, cast(sum(area) OVER (PARTITION BY obj ORDER BY face) AS bigint) AS hi FROM
+    (SELECT *, {v.fixed(v.norm(_WIDE) + ' / 2', 9)} AS area FROM cf) AS t WHERE area > 0)"""
+_PLACES = f"""pl AS (SELECT obj, sample, cast(floor({uniform(11, 'obj', 'sample', duck=True)} * total) AS bigint) AS place
+    FROM (SELECT obj, max(hi) AS total, unnest(range(500)) AS sample FROM ar GROUP BY obj) AS t)"""
+_ON_FACE = ", ".join(f"round({e}, 6) AS {x}" for e, x in zip(sampling.barycentric(11, duck=True), "xyz", strict=True))
+
+
+@query(w.with_("pts", _FACES, _CORNERED, _AREAS, _PLACES, select=f"SELECT obj, sample, face, {_ON_FACE} FROM pl JOIN ar USING (obj) WHERE hi - area <= place AND place < hi"))
+def sample_surface(spark, sf_dir):
+    return sampling.surface(*_faces(spark, sf_dir), 500, 11).selectExpr("obj", "sample", "face", *w.rounded("x y z"))
+
+
+_HEAVY = "sqrt(x * x + y * y + z * z)"
+_DRAW = f"-ln({uniform(7, 'coalesce(obj, -1)', 'pt_id', duck=True)}) / {_HEAVY}"
+
+
+@query(w.with_("dense", select=f"SELECT obj, pt_id, round(draw, 9) AS draw FROM (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY draw, pt_id) AS k FROM (SELECT *, {_DRAW} AS draw FROM dense WHERE {_HEAVY} > 0) AS t) AS t WHERE k <= 300"))
+def sample_weighted(spark, sf_dir):
+    return sampling.weighted(w.dense(spark, sf_dir), 300, _HEAVY, 7).selectExpr("obj", "pt_id", "round(draw, 9) AS draw")
+
+
 _VN = "vn AS (SELECT obj, pt_id, count(*) AS faces, " + ", ".join(f"cast(sum({v.fixed(f'w{x}', 9)}) AS double) AS w{x}" for x in "xyz") + " FROM (SELECT obj, unnest([a, b, c]) AS pt_id, " + ", ".join(f"{e} AS w{x}" for e, x in zip(_WIDE, "xyz", strict=True)) + " FROM cf) AS t GROUP BY obj, pt_id)"
 _VN_SHOWN = ["obj", "pt_id", "faces", *[f"round({e}, 6) AS n{x}" for e, x in zip(v.unit(v.scale(v.vec("w"), "1e-9")), "xyz", strict=True)]]
 
