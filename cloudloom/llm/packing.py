@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,8 +155,8 @@ def _phase_tables(spark: SparkSession, runs: list, window: int) -> tuple[DataFra
         "w0": (np.cumsum(windows) - windows)[phase], "from_": sent[phase, q], "has": take[phase, q],
     }
     takes = {"phase": np.arange(len(runs), dtype=np.int32), "take": list(take)}
-    turns = spark.createDataFrame(pd.DataFrame(turns), "q int, phase int, size long, first long, w0 long, from_ long, has long")
-    takes = spark.createDataFrame(pd.DataFrame(takes), "phase int, take array<long>")
+    turns = spark.createDataFrame(pa.table(turns), "q int, phase int, size long, first long, w0 long, from_ long, has long")
+    takes = spark.createDataFrame(pa.table(takes), "phase int, take array<long>")
     return written(turns, "pack-turns"), written(takes, "pack-takes")
 
 
