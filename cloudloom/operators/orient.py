@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec as v
-from ..session import checkpointed
+from ..session import stored
 from .neighbors import knn
 
 
@@ -22,27 +22,27 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     nodes: id. edges: a < b, w (not null), turn (1 or -1), one row a pair. Components have at least doubled after each
     round, so there are at most log2(nodes) rounds; within a round, chains of merges are shortened by doubling.
     """
-    at = checkpointed(nodes.select("id", F.col("id").alias("root"), F.lit(1).alias("sign")))
-    left, tree = checkpointed(edges.select("a", "b", "w", "turn")), []
+    at = stored(nodes.select("id", F.col("id").alias("root"), F.lit(1).alias("sign")))
+    left, tree = stored(edges.select("a", "b", "w", "turn")), []
     while True:
         side = lambda x: at.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("sign").alias(f"s{x}"))
         cut = left.join(side("a"), "a").join(side("b"), "b").where("ra <> rb")
-        cut = checkpointed(cut.withColumn("flip", F.expr("turn * sa * sb")).select("a", "b", "w", "turn", "ra", "rb", "flip"))
+        cut = stored(cut.withColumn("flip", F.expr("turn * sa * sb")).select("a", "b", "w", "turn", "ra", "rb", "flip"))
         if cut.isEmpty():
             break
         # Edges inside a component never come back.
         left = cut.select("a", "b", "w", "turn")
         both = cut.select("a", "b", "w", F.col("ra").alias("root"), F.col("rb").alias("to"), "flip").unionByName(cut.select("a", "b", "w", F.col("rb").alias("root"), F.col("ra").alias("to"), "flip"))
-        best = checkpointed(both.groupBy("root").agg(F.min(F.struct("w", "a", "b", "to", "flip")).alias("e")).select("root", "e.*"))
+        best = stored(both.groupBy("root").agg(F.min(F.struct("w", "a", "b", "to", "flip")).alias("e")).select("root", "e.*"))
         tree.append(best.select("a", "b", "w").distinct())
         # Two components that chose the same edge: the smaller one is the root. No longer circle has a lightest edge.
         back = best.select(F.col("root").alias("to"), F.col("to").alias("root2"))
         hop = best.join(back, "to", "left").select("root", F.expr("IF(root2 = root AND root < to, root, to)").alias("to"), F.expr("IF(root2 = root AND root < to, 1, flip)").alias("flip"))
-        hop = checkpointed(hop)
+        hop = stored(hop)
         while not (further := _doubled(hop)).where("more").isEmpty():
-            # Two doublings a checkpoint.
-            hop = checkpointed(_doubled(further.drop("more")).drop("more"))
-        at = checkpointed(at.join(hop, "root", "left").selectExpr("id", "coalesce(to, root) AS root", "sign * coalesce(flip, 1) AS sign"))
+            # Two doublings a table.
+            hop = stored(_doubled(further.drop("more")).drop("more"))
+        at = stored(at.join(hop, "root", "left").selectExpr("id", "coalesce(to, root) AS root", "sign * coalesce(flip, 1) AS sign"))
     if not tree:
         return edges.select("a", "b", "w").limit(0), at
     out = tree[0]
@@ -72,6 +72,8 @@ def orient_normals(cloud: DataFrame, k: int, radius: float, key: str = "obj", po
     In each connected part of the neighbour graph the highest point (greatest z, then smallest id) gets a normal that
     doesn't look down. Points without a normal keep none and join nothing.
     """
+    # Computed normals first: as plain columns they aren't repeated in the plan by every filter and step below.
+    cloud = stored(cloud)
     have = cloud.where("nx IS NOT NULL AND ny IS NOT NULL AND nz IS NOT NULL")
     node = F.struct(F.col(key).alias("key"), F.col(point).alias("id"))
     _, at = spanning_forest(have.select(node.alias("id")), neighbour_edges(have, k, radius, key, point))

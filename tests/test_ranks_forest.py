@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudloom.functions import rot
-from cloudloom.operators import clouds, orient, ranks, register
+from cloudloom.operators import cleaning, clouds, orient, ranks, register
 from cloudloom.session import checkpointed
 
 
@@ -98,6 +98,32 @@ def ellipsoid(spark, n=150):
     return spark.createDataFrame(rows, "obj long, pt_id long, x double, y double, z double, nx double, ny double, nz double")
 
 
+def test_forest_keeps_sizes_small(spark):
+    """The size that Spark expects of a long chain's forest doesn't grow with the rounds."""
+    rng = random.Random(7)
+    edges = spark.createDataFrame([(i, i + 1, rng.random(), -1) for i in range(120)], "a long, b long, w double, turn int")
+    _, at = orient.spanning_forest(spark.range(121), edges)
+    assert at._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
+    assert len({(r["root"], r["sign"] * (-1) ** r["id"]) for r in at.collect()}) == 1
+
+
+def test_computed_normals_turned(spark, monkeypatch):
+    """Normals still to be computed: their expressions don't reach the plans of the neighbour search."""
+    df = ellipsoid(spark, 150).drop("nx", "ny", "nz")
+    edges, sizes = orient.neighbour_edges, []
+
+    def seen(cloud, *how):
+        sizes.append(len(cloud._jdf.queryExecution().analyzed().toString()))
+        assert sizes[-1] < 2000
+        return edges(cloud, *how)
+
+    monkeypatch.setattr(orient, "neighbour_edges", seen)
+    found = cleaning.normals(df, 8, 0.5).select("obj", "pt_id", "nx", "ny", "nz")
+    out = orient.orient_normals(df.join(found, ["obj", "pt_id"]), 8, 0.5).collect()
+    assert sizes and len(out) == 150
+    assert all(r["nx"] * r["x"] + r["ny"] * r["y"] + r["nz"] * r["z"] > 0 for r in out)
+
+
 def near_poses(spark, n):
     rng = np.random.default_rng(2)
     rows = []
