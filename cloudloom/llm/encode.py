@@ -121,7 +121,9 @@ class Pieces:
         return out
 
 
-def table(path: str) -> Pieces:
+def table(path: str, most: int = 200_000) -> Pieces:
+    """The worker's table of this tokenizer, with at least `most` pieces before it is full."""
     if path not in _TABLES:
-        _TABLES[path] = Pieces(path)
+        _TABLES[path] = Pieces(path, most)
+    _TABLES[path].most = max(most, _TABLES[path].most)
     return _TABLES[path]

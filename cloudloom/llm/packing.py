@@ -38,14 +38,15 @@ QUEUES = 1024
 SLICE = 500
 
 
-def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
+def tokens(docs: DataFrame, path: str, end: int, pieces: int = 200_000) -> DataFrame:
     """doc_id, source, part, at, n, ids (little-endian 32-bit) of each row, written to the shared folder.
 
+    A worker keeps the ids of up to twice `pieces` pieces of texts (about 200 bytes each).
     `at` counts the tokens of the same source before it in its partition `part`.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = encode.table(path)
+        table = encode.table(path, pieces)
         tail = np.array([end], "<u4").tobytes()
         sent: dict[str | None, int] = {}
         for whole in batches:
@@ -102,13 +103,14 @@ def pack(
     window: int = 64 * 4096,
     targets: dict[str, float] | None = None,
     power: float = 1.0,
+    pieces: int = 200_000,
 ) -> DataFrame:
     """doc_id, source, start, ids (binary), n, doc_tokens, window, sequence_id, offset of each piece.
 
     A null or empty text is the end id alone, and a null source a queue of its own
     (""). Repeated rows are packed each. An empty table gives no pieces.
     """
-    t = tokens(docs, path or public_tokenizers.path("word_bpe_49k.json"), end)
+    t = tokens(docs, path or public_tokenizers.path("word_bpe_49k.json"), end, pieces)
     spark = docs.sparkSession
     counts = written(t.groupBy("source", "part").agg(F.sum("n").alias("n")), "pack-counts")
     top = counts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES - 1)

@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(_read(spark, sf_dir, "documents"))
+    return packing.digest(_read(spark, sf_dir, "documents"), pieces=400_000)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
