@@ -38,7 +38,6 @@ SHARD_TERMS, CHUNK_TERMS, BLOCK_SOURCES = 1 << 21, 2048, 128
 SAMPLE = 64
 _ABSENT = "\0"
 _TEXTS = "lang string, source string, words string, sample array<long>, key string"
-_VECTOR = "source string, v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -102,7 +101,11 @@ def counted(path: str, spark: SparkSession, min_docs: int = 3, shard_terms: int
         # A term that no text has keeps the vocabulary from being empty.
         absent = spark.range(min_docs).select(F.lit("").alias("source"), F.array(F.lit(_ABSENT)).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=2**31 - 1).fit(rows.unionByName(absent))
-        model.transform(rows).select("source", "v").write.parquet(f"{out}/key={key}/shard={shard}")
+        # The vectors are summed as they come; they needn't be stored.
+        v = F.unwrap_udt("v")
+        cells = model.transform(rows).select("source", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))).alias("x"))
+        cells = cells.groupBy("source", F.col("x.i").alias("place")).agg(F.sum(F.col("x.n").cast("long")).alias("n"))
+        cells.write.parquet(f"{out}/key={key}/shard={shard}")
         model.save(at := new_path(spark, "vectorizer"))
         found = spark.read.parquet(f"{at}/data").select(F.lit(key).alias("key"), F.lit(shard).alias("shard"), F.posexplode("vocabulary").alias("place", "term")).where(F.col("term") != _ABSENT)
         words = found if words is None else words.unionByName(found)
@@ -110,9 +113,7 @@ def counted(path: str, spark: SparkSession, min_docs: int = 3, shard_terms: int
     langs = lists.select("key", "lang").distinct()
     if words is None:
         return spark.createDataFrame([], "lang string, source string, id long, n long"), spark.createDataFrame([], "lang string, id long, term string")
-    vectors = spark.read.schema(_VECTOR + ", shard int, key string").parquet(out)
-    cells = vectors.select("key", "shard", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
-    sums = cells.groupBy("key", "source", "shard", F.col("x.indices").alias("place")).agg(F.sum(F.col("x.values").cast("long")).alias("n"))
+    sums = spark.read.schema("source string, place int, n long, shard int, key string").parquet(out)
     langs = written(langs, "term-langs")
     sums = written(sums.join(langs, "key").select("lang", "source", ident, "n"), "term-sums")
     drop_path(spark, out)
@@ -120,8 +121,8 @@ def counted(path: str, spark: SparkSession, min_docs: int = 3, shard_terms: int
 
 
 def share(n: str, total: str) -> str:
-    """SQL of 1 + floor(SCALE (n + 1) / total), exact for every bigint."""
-    return f"1 + (cast({SCALE} AS decimal(18,0)) * (cast({n} AS decimal(20,0)) + 1)) div cast({total} AS decimal(20,0))"
+    """SQL of 1 + floor(SCALE (n + 1) / total), exact for every bigint; decimals only where the product may not be one."""
+    return f"CASE WHEN {n} < {2**63 // SCALE - 1} THEN 1 + ({SCALE}L * ({n} + 1L)) div ({total}) ELSE 1 + (cast({SCALE} AS decimal(18,0)) * (cast({n} AS decimal(20,0)) + 1)) div cast({total} AS decimal(20,0)) END"
 
 
 def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
