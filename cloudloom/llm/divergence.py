@@ -2,11 +2,19 @@ r"""Divergence between the sources of a language, from exact counts of its terms
 
 A term is a run of letters A-Z or characters above ASCII, with A-Z in lower case
 only. For each language a CountVectorizer with `min_docs` as its minDF and the
-largest vocabSize turns every document into an exact sparse vector; sums of these
-by (lang, source) give the counts. A vectorizer's vocabulary passes through the
+largest vocabSize turns texts into exact sparse vectors; sums of these by
+(lang, source) give the counts. A vectorizer's vocabulary passes through the
 driver, so terms are dealt to shards by their hash, of about SHARD_TERMS distinct
 terms each, and every shard has a vectorizer of its own over its part of the
-documents: what the driver holds at a time is bounded, the counts stay the same.
+texts: what the driver holds at a time is bounded, the counts stay the same.
+
+A sum of vectors is the vector of the joined texts, so a task joins its documents
+of one (lang, source), and cuts long ones, into texts of PIECE_TERMS terms. As
+minDF only asks whether a term is in `min_docs` documents, a vectorizer is fitted
+on layers instead of documents: layer j of a task has each term that is in j or
+more of its documents, for j up to `min_docs`. A term in n documents of a task
+thus counts as min(n, min_docs) there, and all tasks together reach `min_docs` for
+the same terms.
 
 With p = 1 + floor(SCALE (count + 1) / (N + V)) for each kept term of a group (V
 terms, N their occurrences there), f(p, q) = floor((p - q)^2 / q) is summed over
@@ -22,6 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,8 +46,12 @@ SCALE = 1_000_000_000
 SHARD_TERMS, CHUNK_TERMS, BLOCK_SOURCES = 1 << 21, 2048, 128
 #: One term in so many is counted to estimate how many there are.
 SAMPLE = 64
+#: Terms in a joined text, terms whose documents are counted at a time, most terms and most different ones that a task holds before it writes them.
+PIECE_TERMS, MET_TERMS, HELD_TERMS, HELD_DISTINCT = 1 << 15, 1 << 19, 1 << 21, 1 << 18
+#: Places of the vocabulary whose counts are summed at a time (2^CELL_BITS), and counts that are sorted at a time.
+CELL_BITS, SORTED = 14, 1 << 20
 _ABSENT = "\0"
-_TEXTS = "lang string, source string, words string, sample array<long>, key string"
+_TEXTS = "lang string, source string, words string, sample array<long>, key string, kind string"
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -45,79 +59,202 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def term_texts(docs: DataFrame) -> DataFrame:
-    """key (a hash of lang), lang, source, words (the terms, joined by spaces) and sample of each row of `docs`; nulls as empty strings.
-
-    `sample` has, for some of the rows, the hashes of different terms near them that are divisible by SAMPLE.
+def _documents(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """The different terms of texts (terms joined by spaces, at least one each), and the number of texts with each."""
+    split = pc.split_pattern(pa.array(texts, pa.large_binary()), " ")
+    coded = split.flatten().dictionary_encode()
+    n = len(coded.dictionary)
+    met = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy()) * n + coded.indices.to_numpy()
+    met.sort()
+    met = met[np.diff(met, prepend=-1) != 0]
+    return coded.dictionary.to_pylist(), np.bincount(met % n, minlength=n).tolist()
+
+
+class _Held:
+    """What a task has met and not written: the terms of each (lang, source), and of each language those in few documents."""
+
+    def __init__(self, min_docs: int) -> None:
+        self.min_docs = min_docs
+        self.full: dict[str, set[bytes]] = {}  # in min_docs documents, and in as many layers
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces: dict[tuple[str, str], list[list[bytes]]] = {}
+        self.ends: dict[tuple[str, str], int] = {}
+        self.new: dict[str, list[bytes]] = {}
+        self.seen: dict[str, dict[bytes, int]] = {}
+        self.terms = self.waiting = 0
+        if sum(map(len, self.full.values())) > HELD_DISTINCT:
+            self.full = {}
+
+    def add(self, lang: str, source: str, found: list[bytes]) -> bool:
+        """Hold a document's terms; whether enough are held to be written."""
+        pieces, n = self.pieces.setdefault((lang, source), [[]]), self.ends.get((lang, source), 0)
+        text = b" ".join(found)
+        for at in range(0, len(found), PIECE_TERMS):
+            part = found[at : at + PIECE_TERMS]
+            if n + len(part) > PIECE_TERMS:
+                pieces.append([])
+                n = 0
+            pieces[-1].append(text if len(part) == len(found) else b" ".join(part))
+            n += len(part)
+        self.ends[lang, source] = n
+        new = self.new.setdefault(lang, [])
+        if text:
+            new.append(text)
+        self.terms += len(found)
+        self.waiting += len(found)
+        if self.waiting >= MET_TERMS:
+            self.count()
+            return self.terms >= HELD_TERMS or sum(map(len, self.seen.values())) >= HELD_DISTINCT
+        return False
+
+    def count(self) -> None:
+        for lang, texts in self.new.items():
+            seen, full = self.seen.setdefault(lang, {}), self.full.setdefault(lang, set())
+            for t, n in zip(*_documents(texts), strict=True) if texts else ():
+                if t not in full:
+                    seen[t] = n = min(self.min_docs, seen.get(t, 0) + n)
+                    if n == self.min_docs:
+                        full.add(t)
+        self.new, self.waiting = {}, 0
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        """All that is held, some megabytes at a time."""
+        self.count()
+        out, size = [], 0
+        for lang, source, kind, words, sample in self._rows():
+            out.append((lang, source, kind, words.decode("utf-8", "surrogatepass"), sample))
+            size += len(words)
+            if size >= HELD_TERMS:
+                yield pd.DataFrame(out, columns=["lang", "source", "kind", "words", "sample"])
+                out, size = [], 0
+        self.clear()
+        yield pd.DataFrame(out, columns=["lang", "source", "kind", "words", "sample"])
+
+    def _rows(self) -> Iterator[tuple[str, str, str, bytes, list[int]]]:
+        for (lang, source), pieces in self.pieces.items():
+            for p in pieces:
+                yield lang, source, "texts", b" ".join(p), []
+        for lang, seen in self.seen.items():
+            left, j = list(seen), 1
+            while left or j == 1:
+                for at in range(0, max(1, len(left)), PIECE_TERMS):
+                    part = left[at : at + PIECE_TERMS]
+                    yield lang, "", "layers", b" ".join(part), [h for h in map(xxhash.xxh32_intdigest, part) if h % SAMPLE == 0] if j == 1 else []
+                j += 1
+                left = [t for t in left if seen[t] >= j]
+
+
+def term_texts(docs: DataFrame, min_docs: int = 3) -> DataFrame:
+    """key (a hash of lang), lang, source, kind, words (terms joined by spaces) and sample; nulls of `docs` as empty strings.
+
+    Rows of kind 'texts' have all terms of the documents, by (lang, source); each of these has a row. Rows of kind
+    'layers' have the layers of each language, in rows without a common term; the first layer's `sample` has the hashes
+    of its terms that are divisible by SAMPLE.
     """
     none = F.lit("")
-    rows = docs.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), "text").withColumn("key", F.md5(F.col("lang").cast("binary")))
+    rows = docs.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), "text")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _Held(min_docs)
         for b in batches:
-            met: dict[str, set[bytes]] = {}
-            words = []
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                found = terms(text)
-                met.setdefault(lang, set()).update(found)
-                words.append(b" ".join(found).decode("utf-8", "surrogatepass"))
-            sample = [[h for h in map(xxhash.xxh32_intdigest, met.pop(lang, ())) if h % SAMPLE == 0] for lang in b["lang"]]
-            yield b[["key", "lang", "source"]].assign(words=words, sample=sample)
+            for lang, source, text in zip(b["lang"], b["source"], b["text"], strict=True):
+                if held.add(lang, source, terms(text)):
+                    yield from held.rows()
+        yield from held.rows()
 
-    return rows.mapInPandas(each, "key string, lang string, source string, words string, sample array<long>")
+    return rows.mapInPandas(each, "lang string, source string, kind string, words string, sample array<long>").withColumn("key", F.md5(F.col("lang").cast("binary")))
 
 
 def _dealt(rows: DataFrame, shards: int) -> DataFrame:
-    """key, shard, source, words: the terms of each row by the shard of their hash."""
+    """key, shard, kind, source, words: the terms of each row by the shard of their hash."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, source, words in zip(b["key"], b["source"], b["words"], strict=True):
+            for key, kind, source, words in zip(b["key"], b["kind"], b["source"], b["words"], strict=True):
                 parts: dict[int, list[str]] = {}
                 for t in words.split(" ") if words else ():
                     parts.setdefault(zlib.crc32(t.encode("utf-8", "surrogatepass")) % shards, []).append(t)
-                out += [(key, k, source, " ".join(p)) for k, p in parts.items()]
-            yield pd.DataFrame(out, columns=["key", "shard", "source", "words"])
-
-    return rows.mapInPandas(each, "key string, shard int, source string, words string")
+                out += [(key, k, kind, source, " ".join(p)) for k, p in parts.items()]
+            yield pd.DataFrame(out, columns=["key", "shard", "kind", "source", "words"])
+
+    return rows.mapInPandas(each, "key string, shard int, kind string, source string, words string")
+
+
+def _summed(vectors: DataFrame, bits: int = CELL_BITS) -> DataFrame:
+    """source, place, n: the sums of the sparse vectors (source, places, counts) of each source, in blocks of places."""
+
+    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ends, at = np.cumsum(b["places"].value_lengths().to_numpy()), 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORTED)))
+            yield b.slice(at, to - at)
+            at = to
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in cut(whole)):
+            names = b["source"].dictionary_encode()
+            of = np.repeat(names.indices.to_numpy().astype(np.int64), b["places"].value_lengths().to_numpy())
+            cell = of << 31 | b["places"].flatten().to_numpy()
+            order = np.argsort(cell, kind="stable")  # each vector is in order already
+            cell = cell[order]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            n = np.add.reduceat(b["counts"].flatten().to_numpy()[order], first) if len(first) else np.zeros(0)
+            cell = cell[first]
+            at = np.flatnonzero(np.diff(cell >> bits, prepend=-1))
+            ends = pa.array(np.append(at, len(cell)).astype(np.int32))
+            places, counts = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((cell & (1 << 31) - 1).astype(np.int32), n.astype(np.int64)))
+            block = pa.array(((cell[at] & (1 << 31) - 1) >> bits).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(cell[at] >> 31)), block, places, counts], ["source", "block", "places", "counts"])
+
+    def total(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        source, block = key
+        # Every sum of a batch is a whole number; those of all are kept in 64 bits.
+        n = np.zeros(1 << bits, np.int64)
+        for places, counts in zip(g["places"], g["counts"], strict=True):
+            n[places - (block << bits)] += counts
+        k = np.flatnonzero(n)
+        return pd.DataFrame({"source": source, "place": (k + (block << bits)).astype(np.int32), "n": n[k]})
+
+    parts = vectors.mapInArrow(blocks, "source string, block int, places array<int>, counts array<long>")
+    return parts.groupBy("source", "block").applyInPandas(total, "source string, place int, n long")
 
 
 def counted(path: str, spark: SparkSession, min_docs: int = 3, shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, DataFrame]:
     """(lang, source, id, n) for the kept terms with occurrences, and the vocabulary (lang, id, term); `path` has `term_texts` by key."""
     lists = spark.read.schema(_TEXTS).parquet(path)
-    near = lists.select("key", F.explode("sample").alias("h")).groupBy("key").agg(F.count_distinct("h").alias("n"))
+    layers = lists.where("kind = 'layers'")
+    near = layers.select("key", F.explode("sample").alias("h")).groupBy("key").agg(F.count_distinct("h").alias("n"))
     shards = max(1, -(-SAMPLE * (near.agg(F.max("n")).first()[0] or 0) // shard_terms))
-    out = new_path(spark, "term-vectors")
+    # One row a language, and one a language and shard.
+    langs = dict(layers.select("key", "lang").distinct().collect())
+    out = new_path(spark, "term-sums")
     if shards > 1:
         path = new_path(spark, "terms")
-        _dealt(lists, shards).write.partitionBy("key", "shard").parquet(path)
-    # One row a language and shard.
+        _dealt(lists, shards).write.partitionBy("key", "shard", "kind").parquet(path)
     named = ["key", "shard"] if shards > 1 else ["key", F.lit(0).alias("shard")]
-    there = spark.read.schema("words string, key string" + ", shard int" * (shards > 1)).parquet(path).select(*named).distinct().collect()
+    there = spark.read.schema("words string, key string" + ", shard int" * (shards > 1) + ", kind string").parquet(path).where("kind = 'layers'").select(*named).distinct().collect()
     words = None
     for key, shard in sorted(tuple(r) for r in there):
-        rows = spark.read.schema("source string, words string").parquet(f"{path}/key={key}" + f"/shard={shard}" * (shards > 1)).where("words <> ''").select("source", F.split("words", " ").alias("terms"))
+        at = f"{path}/key={key}" + f"/shard={shard}" * (shards > 1)
+        layers, texts = (spark.read.schema("source string, words string").parquet(f"{at}/kind={kind}").where("words <> ''").select("source", F.split("words", " ").alias("terms")) for kind in ("layers", "texts"))
         # A term that no text has keeps the vocabulary from being empty.
-        absent = spark.range(min_docs).select(F.lit("").alias("source"), F.array(F.lit(_ABSENT)).alias("terms"))
-        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=2**31 - 1).fit(rows.unionByName(absent))
+        absent = spark.range(min_docs).select(F.array(F.lit(_ABSENT)).alias("terms"))
+        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_docs), vocabSize=2**31 - 1).fit(layers.select("terms").unionByName(absent))
         # The vectors are summed as they come; they needn't be stored.
         v = F.unwrap_udt("v")
-        cells = model.transform(rows).select("source", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))).alias("x"))
-        cells = cells.groupBy("source", F.col("x.i").alias("place")).agg(F.sum(F.col("x.n").cast("long")).alias("n"))
-        cells.write.parquet(f"{out}/key={key}/shard={shard}")
+        cells = _summed(model.transform(texts).select("source", v["indices"].alias("places"), v["values"].alias("counts")))
+        ident = F.lit(shard * 2**31).cast("long")
+        cells.select(F.lit(langs[key]).alias("lang"), "source", (ident + F.col("place")).alias("id"), "n").write.option("compression", "zstd").parquet(f"{out}/key={key}/shard={shard}")
         model.save(at := new_path(spark, "vectorizer"))
-        found = spark.read.parquet(f"{at}/data").select(F.lit(key).alias("key"), F.lit(shard).alias("shard"), F.posexplode("vocabulary").alias("place", "term")).where(F.col("term") != _ABSENT)
+        found = spark.read.parquet(f"{at}/data").select(F.posexplode("vocabulary").alias("place", "term")).where(F.col("term") != _ABSENT)
+        found = found.select(F.lit(langs[key]).alias("lang"), (ident + F.col("place")).alias("id"), "term")
         words = found if words is None else words.unionByName(found)
-    ident = F.expr("shard * 2147483648L + place").alias("id")
-    langs = lists.select("key", "lang").distinct()
     if words is None:
         return spark.createDataFrame([], "lang string, source string, id long, n long"), spark.createDataFrame([], "lang string, id long, term string")
-    sums = spark.read.schema("source string, place int, n long, shard int, key string").parquet(out)
-    langs = written(langs, "term-langs")
-    sums = written(sums.join(langs, "key").select("lang", "source", ident, "n"), "term-sums")
-    drop_path(spark, out)
-    return sums, words.join(langs, "key").select("lang", ident, "term")
+    return spark.read.schema("lang string, source string, id long, n long, key string, shard int").parquet(out).drop("key", "shard"), words
 
 
 def share(n: str, total: str) -> str:
@@ -174,7 +311,7 @@ def _pairs(values: DataFrame, groups: DataFrame, chunk: int, block: int) -> Data
     rows = present.unionByName(absent.select(*present.columns)).select("lang", "chunk", "k", "id", "p", F.explode(met).alias("m")).select("*", "m.a", "m.b").drop("m")
 
     def each(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        lang, _, a, b = key
+        _, lang, a, b = key
         at = g["k"] // block
         left, right = (g[at == x].assign(k=g["k"] - x * block) for x in (a, b))
         got, base = pair_sums(left, right)
@@ -182,7 +319,7 @@ def _pairs(values: DataFrame, groups: DataFrame, chunk: int, block: int) -> Data
         out = pd.DataFrame({"lang": lang, "s": s + a * block, "t": t + b * block, "got": got.ravel(), "base": base.ravel()})
         return out[out["s"] != out["t"]]
 
-    sums = rows.groupBy("lang", "chunk", "a", "b").applyInPandas(each, "lang string, s int, t int, got long, base long")
+    sums = rows.groupBy("chunk", "lang", "a", "b").applyInPandas(each, "lang string, s int, t int, got long, base long")
     sums = sums.groupBy("lang", "s", "t").agg(F.sum("got").alias("got"), F.max("base").alias("base"))
     sums = sums.join(of.select("lang", F.col("k").alias("s"), "source", "v"), ["lang", "s"]).join(of.select("lang", F.col("k").alias("t"), F.col("source").alias("item")), ["lang", "t"])
     return sums.select("lang", "source", F.lit("pair").alias("part"), "item", F.expr("got + v * base").alias("value"))
@@ -198,22 +335,26 @@ def audit(docs: DataFrame, min_docs: int = 3, most_terms: int = 200, shard_terms
     """
     spark = docs.sparkSession
     path = new_path(spark, "term-texts")
-    term_texts(docs).write.partitionBy("key").parquet(path)
+    term_texts(docs, min_docs).write.partitionBy("key", "kind").parquet(path)
     lists = spark.read.schema(_TEXTS).parquet(path)
-    groups = written(lists.select("lang", "source").distinct(), "term-groups")
+    groups = written(lists.where("kind = 'texts'").select("lang", "source").distinct(), "term-groups")
     sums, words = counted(path, spark, min_docs, shard_terms)
     words = written(words, "kept-terms")
     drop_path(spark, path)
-    kept = words.groupBy("lang").agg(F.count("*").alias("v"))
-    totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(kept, "lang", "left").fillna(0, ["total", "v"])
+    kept = written(words.groupBy("lang").agg(F.count("*").alias("v")), "kept-sizes")
+    totals = written(sums.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("n")), "term-totals")
+    groups = groups.join(totals.drop("n"), ["lang", "source"], "left").join(kept, "lang", "left").fillna(0, ["total", "v"])
     groups = written(groups.withColumn("p0", F.expr(f"IF(v = 0, 1, {share('0', 'total + v')})")), "group-totals")
-    values = written(join_spread(sums, groups.select("lang", "source", "total", "v"), "lang", "source").selectExpr("lang", "source", "id", "n", f"{share('n', 'total + v')} AS p"), "term-values")
-    in_lang = sums.groupBy("lang", "id").agg(F.sum("n").alias("n"))
+    values = written(join_spread(sums, groups.select("lang", "source", "total", "v"), "lang", "source", sizes=totals.drop("total")).selectExpr("lang", "source", "id", "n", f"{share('n', 'total + v')} AS p"), "term-values")
+    in_lang = sums.groupBy("id", "lang").agg(F.sum("n").alias("n"))
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    q = join_spread(in_lang, of_lang, "lang").selectExpr("lang", "id", f"{share('n', 'total + v')} AS q")
-    terms = values.join(q.join(words, ["lang", "id"]), ["lang", "id"]).where("p > q")
-    terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
+    # Each kept term occurs, so that a language has as many sums as kept terms.
+    q = join_spread(in_lang, of_lang, "lang", sizes=kept.select("lang", F.col("v").alias("n"))).selectExpr("lang", "id", f"{share('n', 'total + v')} AS q")
+    terms = values.join(q, ["id", "lang"]).where("p > q").select("lang", "source", "id", F.expr("((p - q) * (p - q)) div q").alias("value"))
+    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+    # Terms of equal value all stay until their texts decide.
+    terms = terms.withColumn("rank", F.rank().over(by_value)).where(F.col("rank") <= most_terms).join(words, ["id", "lang"])
+    terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     return _pairs(values, groups, chunk, block).withColumn("rank", rank).unionByName(terms.withColumn("rank", rank).where(F.col("rank") <= most_terms))
 

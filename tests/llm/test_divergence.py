@@ -105,3 +105,32 @@ def test_pair_sums_of_blocks():
     got, base = divergence.pair_sums(rows([0, 1]), rows([2, 3, 4]))
     want = [[int(((p[a] - p[b]) ** 2 // p[b]).sum()) for b in (2, 3, 4)] for a in (0, 1)]
     assert (got + 40 * base).tolist() == want
+
+
+def test_texts_and_layers_of_a_task(monkeypatch):
+    for name, n in (("PIECE_TERMS", 7), ("MET_TERMS", 5), ("HELD_TERMS", 90), ("HELD_DISTINCT", 25)):
+        monkeypatch.setattr(divergence, name, n)
+    rows = [(lang or "", source or "", divergence.terms(text)) for text, lang, source in invented(150)]
+    held, frames = divergence._Held(3), []
+    for lang, source, found_terms in rows:
+        if held.add(lang, source, found_terms):
+            frames += held.rows()
+    out = pd.concat([*frames, *held.rows()])
+    assert out["words"].str.split().str.len().max() <= 7
+    got, want, layers, docs = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    for lang, source, kind, words, _ in out.itertuples(index=False):
+        assert len(set(words.split(" "))) == len(words.split(" ")) or kind == "texts"
+        (got[lang, source] if kind == "texts" else layers[lang]).update(words.encode().split())
+    for lang, source, found_terms in rows:
+        want[lang, source].update(found_terms)
+        docs[lang].update(set(found_terms))
+    assert got == want
+    for lang, n in docs.items():
+        assert all(layers[lang][t] == n[t] if n[t] < 3 else layers[lang][t] >= 3 for t in n) and set(layers[lang]) == set(n)
+
+
+def test_documents_of_a_source_are_joined(spark):
+    df = frame(spark, [(f"aa bb w{chr(97 + i % 20)}", "en", "s") for i in range(500)]).coalesce(1)
+    kinds = Counter(r["kind"] for r in divergence.term_texts(df).collect())
+    assert kinds == {"texts": 1, "layers": 3}
+    assert found(divergence.audit(df)) == brute([(r["text"], "en", "s") for r in df.collect()])
