@@ -27,11 +27,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,8 +46,8 @@ SCALE = 1_000_000_000
 SHARD_TERMS, CHUNK_TERMS, BLOCK_SOURCES = 1 << 21, 2048, 128
 #: One term in so many is counted to estimate how many there are.
 SAMPLE = 64
-#: Terms in a joined text, terms whose documents are counted at a time, most terms and most different ones that a task holds before it writes them.
-PIECE_TERMS, MET_TERMS, HELD_TERMS, HELD_DISTINCT = 1 << 15, 1 << 19, 1 << 21, 1 << 18
+#: Terms in a joined text, most terms and most different ones that a task holds before it writes them.
+PIECE_TERMS, HELD_TERMS, HELD_DISTINCT = 1 << 15, 1 << 21, 1 << 18
 #: Places of the vocabulary whose counts are summed at a time (2^CELL_BITS), and counts that are sorted at a time.
 CELL_BITS, SORTED = 14, 1 << 20
 _ABSENT = "\0"
@@ -59,17 +59,6 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _documents(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
-    """The different terms of texts (terms joined by spaces, at least one each), and the number of texts with each."""
-    split = pc.split_pattern(pa.array(texts, pa.large_binary()), " ")
-    coded = split.flatten().dictionary_encode()
-    n = len(coded.dictionary)
-    met = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy()) * n + coded.indices.to_numpy()
-    met.sort()
-    met = met[np.diff(met, prepend=-1) != 0]
-    return coded.dictionary.to_pylist(), np.bincount(met % n, minlength=n).tolist()
-
-
 class _Held:
     """What a task has met and not written: the terms of each (lang, source), and of each language those in few documents."""
 
@@ -81,47 +70,34 @@ class _Held:
     def clear(self) -> None:
         self.pieces: dict[tuple[str, str], list[list[bytes]]] = {}
         self.ends: dict[tuple[str, str], int] = {}
-        self.new: dict[str, list[bytes]] = {}
         self.seen: dict[str, dict[bytes, int]] = {}
-        self.terms = self.waiting = 0
+        self.terms = self.distinct = 0
         if sum(map(len, self.full.values())) > HELD_DISTINCT:
             self.full = {}
 
     def add(self, lang: str, source: str, found: list[bytes]) -> bool:
         """Hold a document's terms; whether enough are held to be written."""
         pieces, n = self.pieces.setdefault((lang, source), [[]]), self.ends.get((lang, source), 0)
-        text = b" ".join(found)
         for at in range(0, len(found), PIECE_TERMS):
             part = found[at : at + PIECE_TERMS]
             if n + len(part) > PIECE_TERMS:
                 pieces.append([])
                 n = 0
-            pieces[-1].append(text if len(part) == len(found) else b" ".join(part))
+            pieces[-1].append(b" ".join(part))
             n += len(part)
         self.ends[lang, source] = n
-        new = self.new.setdefault(lang, [])
-        if text:
-            new.append(text)
+        seen, full = self.seen.setdefault(lang, {}), self.full.setdefault(lang, set())
+        before = len(seen)
+        for t in set(filterfalse(full.__contains__, found)):
+            n = seen[t] = seen.get(t, 0) + 1
+            if n == self.min_docs:
+                full.add(t)
         self.terms += len(found)
-        self.waiting += len(found)
-        if self.waiting >= MET_TERMS:
-            self.count()
-            return self.terms >= HELD_TERMS or sum(map(len, self.seen.values())) >= HELD_DISTINCT
-        return False
-
-    def count(self) -> None:
-        for lang, texts in self.new.items():
-            seen, full = self.seen.setdefault(lang, {}), self.full.setdefault(lang, set())
-            for t, n in zip(*_documents(texts), strict=True) if texts else ():
-                if t not in full:
-                    seen[t] = n = min(self.min_docs, seen.get(t, 0) + n)
-                    if n == self.min_docs:
-                        full.add(t)
-        self.new, self.waiting = {}, 0
+        self.distinct += len(seen) - before
+        return self.terms >= HELD_TERMS or self.distinct >= HELD_DISTINCT
 
     def rows(self) -> Iterator[pd.DataFrame]:
         """All that is held, some megabytes at a time."""
-        self.count()
         out, size = [], 0
         for lang, source, kind, words, sample in self._rows():
             out.append((lang, source, kind, words.decode("utf-8", "surrogatepass"), sample))

@@ -108,7 +108,7 @@ def test_pair_sums_of_blocks():
 
 
 def test_texts_and_layers_of_a_task(monkeypatch):
-    for name, n in (("PIECE_TERMS", 7), ("MET_TERMS", 5), ("HELD_TERMS", 90), ("HELD_DISTINCT", 25)):
+    for name, n in (("PIECE_TERMS", 7), ("HELD_TERMS", 90), ("HELD_DISTINCT", 25)):
         monkeypatch.setattr(divergence, name, n)
     rows = [(lang or "", source or "", divergence.terms(text)) for text, lang, source in invented(150)]
     held, frames = divergence._Held(3), []
