@@ -18,7 +18,7 @@ def match_stream(scenes: DataFrame, model: DataFrame, cfg: f.MatchConfig, path:
 
     def batch(scene: DataFrame, number: int) -> None:
         refs = sample_uniform(scene, cfg.scene_step)
-        acc = f.votes(f.pairs(scene, cfg, refs), index, cfg)
+        acc = f.votes(f.pairs(scene, cfg, refs), index, cfg, best=True)
         out = f.hypotheses(f.best_votes(acc), scene, model, cfg)
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
