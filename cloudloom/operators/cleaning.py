@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as v
 from ..session import checkpointed
 from .clouds import numbered
-from .neighbors import knn, radius_join
+from .neighbors import AROUND, celled, knn, radius_join
 
 
 def covariances(cloud: DataFrame, k: int, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
@@ -139,21 +139,55 @@ def merge_close(cloud: DataFrame, radius: float, key: str = "obj", point: str =
     return cloud.select(key, point).join(best, [key, point], "left").select(key, point, F.coalesce("b.t", point).alias("target"))
 
 
-def connected_parts(cloud: DataFrame, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
-    """key, point, part: the least id reachable over steps shorter than the radius, by label spreading with shortcuts."""
-    near = radius_join(cloud, cloud, radius, key)
-    edges = checkpointed(near.select(F.col(key), F.col(f"q_{point}").alias("a"), F.col(point).alias("b")))
-    label = cloud.select(F.col(key), F.col(point).alias("a"), F.col(point).alias("part"))
+def _least_reached(edges: DataFrame, key: str) -> DataFrame:
+    """key, a, part: the least id reachable over edges (key, a, b; both ways and from each node to itself), by label spreading with shortcuts."""
+    edges = checkpointed(edges.select(key, "a", "b"))
+    label = edges.select(key, "a", F.col("a").alias("part")).distinct()
     while True:
         seen = edges.join(label.withColumnRenamed("a", "b"), [key, "b"]).groupBy(key, "a").agg(F.min("part").alias("part"))
         # A shortcut: the label of the label.
         jump = seen.join(seen.select(F.col(key), F.col("a").alias("part"), F.col("part").alias("p2")), [key, "part"], "left")
         new = checkpointed(jump.select(key, "a", F.least("part", F.coalesce("p2", "part")).alias("part")))
         if label.exceptAll(new).isEmpty():
-            return new.select(key, F.col("a").alias(point), "part")
+            return new
         label = new
 
 
+def connected_parts(cloud: DataFrame, radius: float, key: str = "obj", point: str = "pt_id") -> DataFrame:
+    """key, point, part: the least id reachable over steps shorter than the radius.
+
+    Points of one small cell, or of two cells with a common face, are surely connected, so cells are joined first.
+    Pairs of points are only formed where several of these parts meet, and not inside a cloud's largest part.
+    """
+    real = " AND ".join(f"abs({c}) < double('infinity')" for c in "xyz")
+    # Two such cells are twice as long as wide: their diagonal, sqrt(6) sides, stays under the radius.
+    points = checkpointed(celled(cloud.select(key, point, "x", "y", "z").where(real), radius * 0.999 / 6**0.5))
+    cell = [key, "cx", "cy", "cz"]
+    nodes = checkpointed(points.groupBy(*cell).agg(F.min(point).alias("node")))
+    faces = ["struct(0 AS a, 0 AS b, 0 AS c)", *[f"struct({a} AS a, {b} AS b, {c} AS c)" for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]]
+    moved = nodes.withColumn("s", F.explode(F.expr(f"array({', '.join(faces)})"))).select(key, F.col("node").alias("a"), *[(F.col(f"c{c}") + F.col(f"s.{x}")).alias(f"c{c}") for c, x in zip("xyz", "abc", strict=True)])
+    edges = moved.join(nodes, cell).select(key, "a", F.col("node").alias("b"))
+    points = points.join(nodes, cell)
+    # Rows of one id are one point, wherever they lie.
+    twice = points.select(key, "node", F.min("node").over(Window.partitionBy(key, point)).alias("first")).where("node <> first").distinct()
+    edges = edges.unionByName(twice.selectExpr(key, "node AS a", "first AS b")).unionByName(twice.selectExpr(key, "first AS a", "node AS b"))
+    parts = _least_reached(edges, key)
+    points = checkpointed(points.select(key, point, "x", "y", "z", "node").join(parts.withColumnRenamed("a", "node"), [key, "node"]).select(key, point, "x", "y", "z", "part"))
+    # Where parts meet: cells as wide as the radius with more than one part in them and around.
+    wide = celled(points, radius)
+    each = wide.groupBy(*cell).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).withColumn("s", F.explode(F.expr(f"array({', '.join(AROUND)})")))
+    each = each.select(key, "lo", "hi", *[(F.col(f"c{c}") + F.col(f"s.{x}")).alias(f"c{c}") for c, x in zip("xyz", "abc", strict=True)])
+    mixed = each.groupBy(*cell).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select(*cell)
+    border = checkpointed(wide.join(mixed, cell, "left_semi").select(*points.columns))
+    largest = points.groupBy(key, "part").agg(F.count("*").alias("n")).groupBy(key).agg(F.max(F.struct("n", "part")).alias("m")).select(key, F.col("m.part").alias("part"))
+    links = radius_join(border.join(largest, [key, "part"], "left_anti").select(*border.columns), border, radius, key).where("q_part <> part")
+    links = checkpointed(links.select(key, F.col("q_part").alias("a"), F.col("part").alias("b")).distinct())
+    own = parts.select(key, F.col("part").alias("a"), F.col("part").alias("b")).distinct()
+    whole = _least_reached(own.unionByName(links).unionByName(links.selectExpr(key, "b AS a", "a AS b")), key)
+    out = points.select(key, point, F.col("part").alias("a")).distinct().join(whole, [key, "a"])
+    return out.select(key, point, "part").distinct()
+
+
 def drop_small_parts(cloud: DataFrame, radius: float, least: int, key: str = "obj", point: str = "pt_id") -> DataFrame:
     """The cloud without its connected parts of fewer than `least` points."""
     parts = connected_parts(cloud, radius, key, point)
@@ -193,8 +227,6 @@ def subtract_plane(cloud: DataFrame, distance: float, key: str = "obj", **how) -
 
 
 def _by(key: str, *order):
-    from pyspark.sql import Window
-
     return Window.partitionBy(key).orderBy(*order)
 
 
